@@ -1 +1,271 @@
-QUERIES = {}
+"""Topics: clustering, words, names, representatives, and the small-side fallback."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from commentarium.catalogue import inputs as i
+from commentarium.functions.dictionaries import TOPIC_NAMES, is_stopword
+from commentarium.operators import outliers
+from commentarium.operators import topics as tp
+
+KEY = ("topic_id",)
+SIMILAR = 0.9
+
+
+def _counts(spark, sf_dir):
+    return tp.topic_token_counts(i.with_given_topics(spark, sf_dir))
+
+
+def word_weights(spark, sf_dir):
+    weights = tp.topic_word_weights(_counts(spark, sf_dir))
+    return weights.select("sentiment", "topic_id", "token", "tf", F.round("weight", 9).alias("weight"))
+
+
+def _topic_table(rows):
+    top = tp.top_words(tp.topic_word_weights(tp.topic_token_counts(rows)))
+    return tp.topic_table(top, tp.topic_sizes(rows))
+
+
+def keywords(spark, sf_dir):
+    return _topic_table(i.with_given_topics(spark, sf_dir)).select("sentiment", "topic_id", "keywords", "n_rows")
+
+
+def names(spark, sf_dir):
+    return _topic_table(i.with_given_topics(spark, sf_dir)).select("sentiment", "topic_id", "label")
+
+
+def word_names(spark, sf_dir):
+    """Every distinct pair (language, word) of the data named as a one-word topic."""
+    words = i.prepared(spark, sf_dir).select("lang", F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    named = words.select("lang", "token", tp.topic_name(F.col("token")).alias("label"))
+    return named.groupBy("lang", "label").agg(F.count("*").alias("n_words"))
+
+
+def labelled_rows(spark, sf_dir):
+    rows = i.with_given_topics(spark, sf_dir)
+    return tp.attach_topics(rows, _topic_table(rows)).select("row_id", "topic_label", "topic_keywords")
+
+
+def _planted(spark, sf_dir):
+    """Ten separate blobs: the label sets the place, two vector entries the spread."""
+    rows = i.vectors(spark, sf_dir)
+    label, v = F.col("topic_id"), F.col("embedding")
+    return rows.select(
+        "row_id",
+        (20 * (label % 4) + F.get(v, F.lit(0)).cast("double")).alias("x"),
+        (20 * F.floor(label / 4) + F.get(v, F.lit(1)).cast("double")).alias("y"),
+    )
+
+
+def grid_clusters(spark, sf_dir):
+    return tp.cluster_grid(_planted(spark, sf_dir)).select("row_id", "topic_id")
+
+
+def projection(spark, sf_dir):
+    rows = i.vectors(spark, sf_dir)
+    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows, components=2))
+    c = F.col("components")
+    return reduced.select("row_id", F.round(F.get(c, F.lit(0)), 6).alias("x"), F.round(F.get(c, F.lit(1)), 6).alias("y"))
+
+
+def kmeans_clusters(spark, sf_dir):
+    rows = i.vectors(spark, sf_dir).drop("topic_id").persist()
+    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows)).persist()
+    return tp.cluster_kmeans(reduced).groupBy("topic_id").agg(F.count("*").alias("n_rows"))
+
+
+def diverse_words(spark, sf_dir):
+    rows = i.with_given_topics(spark, sf_dir).join(i.vectors(spark, sf_dir).drop("topic_id"), "row_id")
+    weights = tp.topic_word_weights(tp.topic_token_counts(rows))
+    return tp.diversify_words(tp.top_words(weights, tp.CANDIDATES), rows).select("sentiment", "topic_id", "place", "token")
+
+
+def merged_topics(spark, sf_dir):
+    rows = i.with_given_topics(spark, sf_dir)
+    weights = tp.topic_word_weights(tp.topic_token_counts(rows))
+    return tp.merge_map(weights, tp.topic_sizes(rows), SIMILAR)
+
+
+def similarities(spark, sf_dir):
+    pairs = tp.topic_similarities(tp.topic_word_weights(_counts(spark, sf_dir)))
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+def centroids(spark, sf_dir):
+    means = tp.topic_centroids(i.vectors(spark, sf_dir), keys=KEY)
+    return means.select("topic_id", F.posexplode("centroid").alias("d", "value")).withColumn("value", F.round("value", 6))
+
+
+def representatives(spark, sf_dir):
+    best = tp.representatives(i.vectors(spark, sf_dir), keys=KEY)
+    return best.withColumn("similarity", F.round("similarity", 6))
+
+
+def marked_rows(spark, sf_dir):
+    return tp.mark_representatives(i.vectors(spark, sf_dir), keys=KEY).select("row_id", "topic_id", "representative_doc")
+
+
+def frequent_words(spark, sf_dir):
+    return tp.frequent_words(i.prepared(spark, sf_dir)).select("token", "n")
+
+
+def fallback_columns(spark, sf_dir):
+    rows = tp.fallback_topics(i.prepared(spark, sf_dir))
+    return rows.select("row_id", *tp.TOPIC_COLUMNS)
+
+
+def stopword_use(spark, sf_dir):
+    words = i.prepared(spark, sf_dir).select("lang", F.explode("tokens").alias("token"))
+    stop = is_stopword(F.col("lang"), F.lower("token"))
+    return words.groupBy("lang").agg(F.count_if(stop).alias("n_stopwords"), F.count("*").alias("n_tokens"))
+
+
+# --- SQL twins -----------------------------------------------------------------------
+
+WEIGHTS = """tc AS (SELECT sentiment, topic_id, lower(token) AS token, count(*) AS tf
+  FROM (SELECT sentiment, topic_id, unnest(tokens) AS token FROM given) WHERE length(token) >= 2 GROUP BY ALL),
+totals AS (SELECT sentiment, topic_id, sum(tf) AS words FROM tc GROUP BY ALL),
+means AS (SELECT sentiment, avg(words) AS mean_words FROM totals GROUP BY ALL),
+weights AS (SELECT sentiment, topic_id, token, tf,
+  round(tf / words * ln(1 + mean_words / sum(tf) OVER (PARTITION BY sentiment, token)), 12) AS weight
+  FROM tc JOIN totals USING (sentiment, topic_id) JOIN means USING (sentiment))"""
+TOP = """ranked AS (SELECT sentiment, topic_id, token, row_number() OVER (PARTITION BY sentiment, topic_id ORDER BY weight DESC, token) AS place
+  FROM weights WHERE topic_id <> -1),
+sizes AS (SELECT sentiment, topic_id, count(*) AS n_rows FROM given WHERE topic_id <> -1 GROUP BY ALL),
+listed AS (SELECT sentiment, topic_id, any_value(n_rows) AS n_rows, coalesce(string_agg(token, ', ' ORDER BY place) FILTER (token IS NOT NULL), '') AS keywords
+  FROM sizes LEFT JOIN (SELECT * FROM ranked WHERE place <= 10) USING (sentiment, topic_id) GROUP BY ALL)"""
+DICT = "dict(ord, pattern, name) AS (VALUES " + ", ".join(
+    f"({k}, {i.quoted([p])}, {i.quoted([n])})" for k, (p, n) in enumerate(TOPIC_NAMES)
+) + ")"
+
+
+def sql_names(source: str, keys: str) -> str:
+    """CTE ``named(keys, keywords, label)`` from ``source(keys, keywords)``."""
+    cap = "CASE left({0}, 1) WHEN 'ß' THEN 'Ss' ELSE upper(left({0}, 1)) END || lower(substr({0}, 2))"
+    return f"""kw AS (SELECT {keys}, k, seat FROM (SELECT {keys}, unnest(string_split(keywords, ', ')) AS k,
+  generate_subscripts(string_split(keywords, ', '), 1) AS seat FROM {source}) WHERE k <> ''),
+uses AS (SELECT DISTINCT k FROM kw),
+votes AS (SELECT k, arg_min(name, ord) AS name FROM uses JOIN dict ON contains(k, pattern) OR contains(pattern, k) GROUP BY k),
+tally AS (SELECT {keys}, name, count(*) AS n, min(seat) AS first_at FROM kw JOIN votes USING (k) GROUP BY ALL),
+chosen AS (SELECT {keys}, name FROM tally QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n DESC, first_at) = 1),
+spare AS (SELECT {keys}, string_agg({cap.format('k')}, ' / ' ORDER BY seat) AS name FROM kw WHERE seat <= 2 GROUP BY {keys}),
+named AS (SELECT s.*, coalesce(chosen.name, spare.name, 'General') AS label
+  FROM {source} s LEFT JOIN chosen USING ({keys}) LEFT JOIN spare USING ({keys}))"""
+
+
+WEIGHTED = (*i.GIVEN_TOPICS, WEIGHTS)
+LISTED = (*WEIGHTED, TOP)
+NAMED = (*LISTED, DICT, sql_names("listed", "sentiment, topic_id"))
+SIMS = """norms AS (SELECT sentiment, topic_id, sqrt(sum(weight * weight)) AS norm FROM weights WHERE topic_id <> -1 GROUP BY ALL),
+sims AS (SELECT a.sentiment, a.topic_id AS a, b.topic_id AS b, round(sum(a.weight * b.weight) / (any_value(x.norm) * any_value(y.norm)), 9) AS similarity
+  FROM weights a JOIN weights b ON a.sentiment = b.sentiment AND a.token = b.token AND a.topic_id < b.topic_id AND a.topic_id <> -1
+  JOIN norms x ON x.sentiment = a.sentiment AND x.topic_id = a.topic_id JOIN norms y ON y.sentiment = b.sentiment AND y.topic_id = b.topic_id
+  GROUP BY 1, 2, 3)"""
+MERGED = f"""topic_n AS (SELECT sentiment, topic_id, count(*) AS n_rows FROM given WHERE topic_id <> -1 GROUP BY ALL),
+links AS (SELECT sentiment, a, b FROM sims WHERE similarity >= {SIMILAR} UNION SELECT sentiment, b, a FROM sims WHERE similarity >= {SIMILAR}),
+reach AS (SELECT sentiment, topic_id AS a, topic_id AS b FROM topic_n
+  UNION SELECT r.sentiment, r.a, l.b FROM reach r JOIN links l ON l.sentiment = r.sentiment AND l.a = r.b),
+comp AS (SELECT sentiment, a AS topic_id, min(b) AS component FROM reach GROUP BY ALL),
+groups AS (SELECT sentiment, component, sum(n_rows) AS n FROM comp JOIN topic_n USING (sentiment, topic_id) GROUP BY ALL),
+renamed AS (SELECT sentiment, component, row_number() OVER (PARTITION BY sentiment ORDER BY n DESC, component) - 1 AS merged_id FROM groups)"""
+CENTROIDS = """cells AS (SELECT row_id, topic_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vecs),
+centre AS (SELECT topic_id, d, avg(x) AS c FROM cells GROUP BY ALL)"""
+NEAREST = """near AS (SELECT row_id, topic_id, round(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 9) AS similarity
+  FROM cells JOIN centre USING (topic_id, d) GROUP BY ALL),
+best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY similarity DESC, row_id) = 1)"""
+GRID = """pts AS (SELECT row_id, 20 * (topic_id % 4) + v[1] AS x, 20 * (topic_id // 4) + v[2] AS y FROM vecs),
+box AS (SELECT min(x) AS x0, (max(x) - min(x)) / 32 AS dx, min(y) AS y0, (max(y) - min(y)) / 32 AS dy FROM pts),
+placed AS (SELECT row_id, least(floor((x - x0) / dx), 31)::BIGINT AS cx, least(floor((y - y0) / dy), 31)::BIGINT AS cy FROM pts, box),
+dense AS (SELECT cx, cy, cy * 32 + cx AS cell, count(*) AS n FROM placed GROUP BY ALL),
+reach AS (SELECT cell AS a, cell AS b FROM dense
+  UNION SELECT r.a, n.cell FROM reach r JOIN dense d ON d.cell = r.b JOIN dense n ON abs(n.cx - d.cx) <= 1 AND abs(n.cy - d.cy) <= 1),
+comp AS (SELECT a AS cell, min(b) AS component FROM reach GROUP BY ALL),
+sized AS (SELECT component, sum(n) AS n FROM comp JOIN dense USING (cell) GROUP BY ALL HAVING sum(n) >= (SELECT greatest(10, count(*) // 10) FROM pts)),
+ids AS (SELECT component, row_number() OVER (ORDER BY n DESC, component) - 1 AS topic_id FROM sized)"""
+FREQUENT = """fw AS (SELECT p.row_id, p.lang, lower(t.token) AS token, t.pos FROM prep p,
+  LATERAL (SELECT unnest(p.tokens) AS token, generate_subscripts(p.tokens, 1) AS pos) t),
+counted AS (SELECT token, count(*) AS n, arg_min(pos, row_id * 1000000 + pos) AS pos, min(row_id) AS first_row FROM fw
+  WHERE NOT EXISTS (SELECT 1 FROM stops WHERE stops.lang = fw.lang AND stops.token = fw.token) GROUP BY token),
+top20 AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, first_row, pos) AS place FROM counted ORDER BY n DESC, first_row, pos LIMIT 20)"""
+
+QUERIES = {
+    "top02_projection": (projection, None),
+    "top03_grid_clusters": (
+        grid_clusters,
+        i.with_ctes(
+            i.VECS, GRID,
+            select="""SELECT row_id, coalesce(topic_id, -1) AS topic_id FROM placed JOIN comp ON comp.cell = cy * 32 + cx LEFT JOIN ids USING (component)""",
+            recursive=True,
+        ),
+    ),
+    "top03_kmeans_clusters": (kmeans_clusters, None),
+    "top04_word_weights": (
+        word_weights,
+        i.with_ctes(*WEIGHTED, select="SELECT sentiment, topic_id, token, tf, round(weight, 9) AS weight FROM weights"),
+    ),
+    "top05_diverse_words": (diverse_words, None),
+    "top06_similarities": (
+        similarities, i.with_ctes(*WEIGHTED, SIMS, select="SELECT sentiment, a, b, round(similarity, 6) AS similarity FROM sims")
+    ),
+    "top06_merged_topics": (
+        merged_topics,
+        i.with_ctes(
+            *WEIGHTED, SIMS, MERGED,
+            select="SELECT sentiment, topic_id, merged_id FROM comp JOIN renamed USING (sentiment, component)",
+            recursive=True,
+        ),
+    ),
+    "top07_keywords": (keywords, i.with_ctes(*LISTED, select="SELECT sentiment, topic_id, keywords, n_rows FROM listed")),
+    "top08_topic_names": (names, i.with_ctes(*NAMED, select="SELECT sentiment, topic_id, label FROM named")),
+    "top08_word_names": (
+        word_names,
+        i.with_ctes(
+            *i.PREPARED, i.TOKS, "one AS (SELECT DISTINCT lang, token AS keywords, token FROM toks)", DICT, sql_names("one", "lang, token"),
+            select="SELECT lang, label, count(*) AS n_words FROM named GROUP BY ALL",
+        ),
+    ),
+    "top09_labelled_rows": (
+        labelled_rows,
+        i.with_ctes(
+            *NAMED,
+            select="""SELECT row_id, coalesce(label, 'General') AS topic_label, coalesce(keywords, '') AS topic_keywords
+              FROM given LEFT JOIN named USING (sentiment, topic_id)""",
+        ),
+    ),
+    "top10_centroids": (
+        centroids,
+        i.with_ctes(i.VECS, CENTROIDS, select="SELECT topic_id, d - 1 AS d, round(c, 6) AS value FROM centre"),
+    ),
+    "top11_representatives": (
+        representatives,
+        i.with_ctes(i.VECS, CENTROIDS, NEAREST, select="SELECT topic_id, row_id, round(similarity, 6) AS similarity FROM best"),
+    ),
+    "top11_marked_rows": (
+        marked_rows,
+        i.with_ctes(
+            i.VECS, CENTROIDS, NEAREST,
+            select="SELECT v.row_id, v.topic_id, best.row_id IS NOT NULL AS representative_doc FROM vecs v LEFT JOIN best ON best.row_id = v.row_id",
+        ),
+    ),
+    "top12_frequent_words": (
+        frequent_words, i.with_ctes(*i.PREPARED, i.STOPS, FREQUENT, select="SELECT token, n FROM top20")
+    ),
+    "top13_fallback_columns": (
+        fallback_columns,
+        i.with_ctes(
+            *i.PREPARED, i.STOPS, FREQUENT,
+            select="""SELECT row_id, -1 AS topic_id, 'word_frequency_fallback' AS topic_label,
+              (SELECT string_agg(token, ', ' ORDER BY place) FROM top20) AS topic_keywords,
+              NULL::DOUBLE AS x, NULL::DOUBLE AS y, false AS representative_doc FROM prep""",
+        ),
+    ),
+    "top15_stopword_use": (
+        stopword_use,
+        i.with_ctes(
+            *i.PREPARED, i.TOKS, i.STOPS,
+            select="""SELECT t.lang, count(s.token) AS n_stopwords, count(*) AS n_tokens
+              FROM toks t LEFT JOIN stops s ON s.lang = t.lang AND s.token = lower(t.token) GROUP BY t.lang""",
+        ),
+    ),
+}

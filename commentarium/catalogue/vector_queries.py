@@ -1 +1,202 @@
-QUERIES = {}
+"""Vectors and outliers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from commentarium.catalogue import inputs as i
+from commentarium.functions.keys import content_hash
+from commentarium.functions.vectors import norm
+from commentarium.operators import embed, outliers
+from commentarium.operators.search import add_similarity
+from commentarium.operators.storage import scratch_path
+
+
+def _encoder(rows):
+    model = embed.fit_hashed_encoder(rows)
+    return lambda df: embed.hashed_vectors(df, model)
+
+
+def encode_texts(spark, sf_dir):
+    rows = i.prepared(spark, sf_dir)
+    coded = _encoder(rows)(rows)
+    return coded.select(
+        "row_id", F.size("embedding").alias("width"), F.round(norm(F.col("embedding")), 4).alias("length")
+    )
+
+
+def encode_with_plugin(spark, sf_dir):
+    """A stand-in user model (three length features) through the plug-in point."""
+
+    def load():
+        return lambda texts: [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
+
+    rows = i.prepared(spark, sf_dir)
+    coded = rows.withColumn("embedding", embed.encoder_expression(load)(F.col("clean_text")))
+    v = F.col("embedding")
+    return coded.select(
+        "row_id", F.get(v, F.lit(0)).cast("bigint").alias("n_chars"), F.get(v, F.lit(1)).cast("bigint").alias("n_spaces"),
+        F.get(v, F.lit(2)).cast("bigint").alias("n_e"),
+    )
+
+
+def content_hashes(spark, sf_dir):
+    rows = i.prepared(spark, sf_dir).select(content_hash(F.col("clean_text")).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.count("*").alias("copies"))
+
+
+def fingerprint(spark, sf_dir):
+    return embed.dataset_fingerprint(i.prepared(spark, sf_dir))
+
+
+def concept_vector(spark, sf_dir):
+    """A phrase taken from the data and encoded like the rows is at similarity 1 from its source."""
+    rows = i.prepared(spark, sf_dir)
+    encode = _encoder(rows)
+    source = rows.where("lang = 'es' AND clean_text <> ''").orderBy("row_id").select("row_id", "clean_text").first()
+    vector = embed.encode_phrase(rows, source["clean_text"], encode)
+    scored = add_similarity(encode(rows), vector).where(F.col("lang") == "es")
+    best = F.struct(F.round("concept_similarity", 4).alias("similarity"), (-F.col("row_id")).alias("r"))
+    return scored.agg(F.max(best).alias("b")).select((-F.col("b.r")).alias("row_id"), "b.similarity")
+
+
+def vector_cache(spark, sf_dir):
+    """First run encodes every distinct text, the second none; both attach a vector to every row."""
+    rows = i.prepared(spark, sf_dir)
+    encode = _encoder(rows)
+    path = scratch_path(spark, "vector-cache")
+    embed.cached_vectors(rows.where(F.col("lang") == "en"), path, "hashed", encode)
+    attached = embed.cached_vectors(rows, path, "hashed", encode)
+    stored = spark.read.parquet(path).select("content_hash").groupBy("content_hash").agg(F.count("*").alias("stored"))
+    return attached.join(stored, "content_hash", "left").select(
+        "row_id", "content_hash", F.col("embedding").isNotNull().alias("has_vector"), "stored"
+    )
+
+
+def principal_components(spark, sf_dir):
+    rows = i.vectors(spark, sf_dir)
+    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows))
+    parts = reduced.select(F.posexplode("components").alias("component", "value"))
+    return parts.groupBy("component").agg(
+        F.count("*").alias("n_rows"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_samp("value"), 6).alias("variance")
+    )
+
+
+def _forest(spark, sf_dir):
+    rows = i.vectors(spark, sf_dir).persist()
+    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows)).select("row_id", "topic_id", "components").persist()
+    return reduced, *outliers.grow_forest(reduced)
+
+
+def forest_model(spark, sf_dir):
+    _, model, _ = _forest(spark, sf_dir)
+    return model.groupBy("tree").agg(
+        F.count("*").alias("n_nodes"), F.count_if(F.col("feature") < 0).alias("n_leaves"), F.round(F.max("path"), 6).alias("longest_path")
+    )
+
+
+def forest_scored(spark, sf_dir):
+    reduced, model, size = _forest(spark, sf_dir)
+    return outliers.forest_scores(reduced, model, size).select("row_id", F.round("outlier_score", 6).alias("outlier_score"))
+
+
+def forest_flags(spark, sf_dir):
+    rows = i.vectors(spark, sf_dir).persist()
+    return outliers.detect_outliers(rows).select("row_id", "is_outlier")
+
+
+def forest_on_texts(spark, sf_dir):
+    """Vectors of the comments themselves: encode, reduce, grow, score, cut, per language."""
+    rows = i.prepared(spark, sf_dir)
+    coded = _encoder(rows)(rows).select("row_id", "lang", "embedding").persist()
+    return outliers.outlier_share(outliers.detect_outliers(coded), "lang").select("lang", "n_outliers", "n_rows")
+
+
+def _flagged(spark, sf_dir):
+    return outliers.detect_outliers(i.vectors(spark, sf_dir).persist(), method="centroid")
+
+
+def centroid_scores(spark, sf_dir):
+    return outliers.centroid_distances(i.vectors(spark, sf_dir)).select("row_id", F.round("outlier_score", 6).alias("outlier_score"))
+
+
+def contamination_cut(spark, sf_dir):
+    return _flagged(spark, sf_dir).select("row_id", "is_outlier")
+
+
+def split_rows(spark, sf_dir):
+    clean, out = outliers.split_outliers(_flagged(spark, sf_dir).persist())
+    return clean.select("row_id", F.lit("clean").alias("part")).unionByName(out.select("row_id", F.lit("outlier").alias("part")))
+
+
+def outlier_counts(spark, sf_dir):
+    shares = outliers.outlier_share(_flagged(spark, sf_dir), "topic_id")
+    return shares.select("topic_id", "n_outliers", "n_rows", F.round("outlier_share", 6).alias("outlier_share"))
+
+
+_DISTANCES = (
+    i.VECS,
+    "cells AS (SELECT row_id, topic_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vecs)",
+    "centre AS (SELECT d, avg(x) AS c FROM cells GROUP BY d)",
+    """dist AS (SELECT row_id, topic_id, round(sqrt(sum((x - c) * (x - c))), 9) AS score
+      FROM cells JOIN centre USING (d) GROUP BY row_id, topic_id)""",
+    "flagged AS (SELECT *, score > (SELECT quantile_cont(score, 0.95) FROM dist) AS is_outlier FROM dist)",
+)
+
+QUERIES = {
+    "emb01_encode_texts": (
+        encode_texts,
+        i.with_ctes(
+            *i.PREPARED,
+            select="SELECT row_id, 384 AS width, CASE WHEN len(tokens) > 0 THEN 1.0 ELSE 0.0 END AS length FROM prep",
+        ),
+    ),
+    "emb01_encode_with_plugin": (
+        encode_with_plugin,
+        i.with_ctes(
+            *i.PREPARED,
+            select="""SELECT row_id, length(clean_text) AS n_chars, length(clean_text) - length(replace(clean_text, ' ', '')) AS n_spaces,
+              length(clean_text) - length(replace(clean_text, 'e', '')) AS n_e FROM prep""",
+        ),
+    ),
+    "emb02_content_hashes": (
+        content_hashes,
+        i.with_ctes(*i.PREPARED, select="SELECT sha256(clean_text) AS content_hash, count(*) AS copies FROM prep GROUP BY 1"),
+    ),
+    "emb02_dataset_fingerprint": (fingerprint, None),
+    "emb03_concept_vector": (
+        concept_vector,
+        i.with_ctes(
+            *i.PREPARED,
+            select="SELECT min(row_id) AS row_id, 1.0 AS similarity FROM prep WHERE lang = 'es' AND clean_text <> ''",
+        ),
+    ),
+    "src08_vector_cache": (
+        vector_cache,
+        i.with_ctes(
+            *i.PREPARED,
+            select="SELECT row_id, sha256(clean_text) AS content_hash, true AS has_vector, 1 AS stored FROM prep",
+        ),
+    ),
+    "out01_principal_components": (principal_components, None),
+    "out02_isolation_forest": (forest_model, None),
+    "out03_forest_scores": (forest_scored, None),
+    "out03_forest_flags": (forest_flags, None),
+    "out03_forest_on_texts": (forest_on_texts, None),
+    "out04_contamination_cut": (contamination_cut, i.with_ctes(*_DISTANCES, select="SELECT row_id, is_outlier FROM flagged")),
+    "out05_split": (
+        split_rows,
+        i.with_ctes(*_DISTANCES, select="SELECT row_id, CASE WHEN is_outlier THEN 'outlier' ELSE 'clean' END AS part FROM flagged"),
+    ),
+    "out07_outlier_share": (
+        outlier_counts,
+        i.with_ctes(
+            *_DISTANCES,
+            select="""SELECT topic_id, count(*) FILTER (is_outlier) AS n_outliers, count(*) AS n_rows,
+              round(count(*) FILTER (is_outlier) / count(*), 6) AS outlier_share FROM flagged GROUP BY topic_id""",
+        ),
+    ),
+    "out08_centroid_distance": (
+        centroid_scores, i.with_ctes(*_DISTANCES, select="SELECT row_id, round(score, 6) AS outlier_score FROM dist")
+    ),
+}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from commentarium.functions.keys import content_hash
-from commentarium.functions.text import split_tokens
+from commentarium.functions.text import clean, split_tokens
 from commentarium.operators.joins import join_on_content
 from commentarium.operators.storage import cut_lineage
 
@@ -70,7 +70,7 @@ def encode_phrase(df: DataFrame, phrase: str, encode: Encode) -> list[float]:
     """The vector of one concept phrase, by the encoder that served the comments."""
     session = df.sparkSession
     row = session.createDataFrame([(0, phrase)], "row_id bigint, clean_text string")
-    row = row.withColumn("tokens", split_tokens(F.lower("clean_text")))
+    row = row.withColumn("tokens", split_tokens(clean(F.col("clean_text"))))
     return [float(x) for x in encode(row).select("embedding").first()[0]]
 
 

@@ -167,7 +167,7 @@ def predictor_expression(load_model: Callable[[], PredictBatch], batch: int = PR
     return predict
 
 
-def fit_classifier(labelled: DataFrame, tokens: str = "tokens", label: str = "label", features: int = 1 << 18) -> PipelineModel:
+def fit_classifier(labelled: DataFrame, tokens: str = "tokens", label: str = "label", features: int = 1 << 16) -> PipelineModel:
     """The built-in predictor: hashed TF-IDF and logistic regression.
 
     Labels: 0 negative, 1 positive and, if present, 2 neutral.
@@ -180,8 +180,11 @@ def fit_classifier(labelled: DataFrame, tokens: str = "tokens", label: str = "la
             rawPredictionCol="_raw", predictionCol="_prediction", maxIter=20, regParam=0.01,
         ),
     ]
-    rows = labelled.select(tokens, F.col(label).cast("double").alias("_label"))
-    return Pipeline(stages=stages).fit(rows)
+    rows = labelled.select(tokens, F.col(label).cast("double").alias("_label")).persist()
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def classify(df: DataFrame, model: PipelineModel, out: str = "probabilities") -> DataFrame:

@@ -9,9 +9,11 @@ map-side or a top-k with a map-side limit, never a gathered group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer
@@ -40,6 +42,7 @@ MAX_TOPICS = 10  # follows from the minimum cluster size of a tenth
 CANDIDATES = 30
 MIN_WORD_CHARS = 2
 NOISE_QUANTILE = 0.95
+CHOICE_ROWS = 200_000
 TOPIC_KEYS = ("sentiment", "topic_id")
 
 # Columns both paths add, in order.
@@ -64,6 +67,39 @@ def drop_small_clusters(df: DataFrame, min_rows: int, cluster: str = "cluster",
     return lookup_join(df, ranked, cluster, "left").withColumn(out, F.coalesce(out, F.lit(NOISE)).cast("int"))
 
 
+def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
+    return KMeans(k=k, featuresCol="_unit", predictionCol="cluster", seed=seed, maxIter=max_iter)
+
+
+def _choose_k(points: DataFrame, n: int, row_id: str, max_topics: int, seed: int, max_iter: int) -> int | None:
+    """The k of best silhouette. Only this choice may look at a share of the rows.
+
+    Above ``CHOICE_ROWS`` rows a hash cut-off keeps about that many; the model
+    itself is then fitted on every row. The candidates are fitted side by side.
+    """
+    spark = points.sparkSession
+    seen = points
+    if n > CHOICE_ROWS:
+        cutoff = int(-(2**63) + CHOICE_ROWS / n * (2**64 - 1))
+        seen = points.where(F.xxhash64(F.lit(seed), F.col(row_id)) <= F.lit(cutoff)).persist()
+    judge = ClusteringEvaluator(featuresCol="_unit", predictionCol="cluster")
+
+    @inheritable_thread_target(spark)
+    def quality(k: int) -> tuple[float, int] | None:
+        assigned = _kmeans(k, seed, max_iter).fit(seen).transform(seen)
+        if assigned.select("cluster").distinct().count() < 2:
+            return None
+        return judge.evaluate(assigned), -k  # ties: fewer topics
+
+    try:
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            found = [q for q in pool.map(quality, range(2, min(max_topics, n) + 1)) if q is not None]
+    finally:
+        if seen is not points:
+            seen.unpersist()
+    return -max(found)[1] if found else None
+
+
 def cluster_kmeans(
     df: DataFrame,
     features: str = "components",
@@ -84,24 +120,10 @@ def cluster_kmeans(
         df.select(row_id, array_to_vector(F.col(features).cast("array<double>")).alias("_v"))
     ).select(row_id, "_unit").persist()
     try:
-        judge = ClusteringEvaluator(featuresCol="_unit", predictionCol="cluster")
-        best = None
-        for k in range(2, max_topics + 1):
-            model = KMeans(
-                k=k, featuresCol="_unit", predictionCol="cluster", seed=seed, maxIter=max_iter
-            ).fit(points)
-            centres = model.clusterCenters()
-            if len(centres) < 2:
-                continue
-            assigned = model.transform(points)
-            if assigned.agg(F.count_distinct("cluster")).first()[0] < 2:
-                continue
-            quality = judge.evaluate(assigned)
-            if best is None or quality > best[0]:
-                best = (quality, model)
-        if best is None:
+        k = _choose_k(points, n, row_id, max_topics, seed, max_iter)
+        if k is None:
             return df.withColumn("topic_id", F.lit(NOISE))
-        model = best[1]
+        model = _kmeans(k, seed, max_iter).fit(points)
         centres = [[float(x) for x in c] for c in model.clusterCenters()]  # k small vectors
         placed = (
             model.transform(points)
@@ -201,6 +223,7 @@ def topic_word_weights(counts: DataFrame, keys: Sequence[str] = TOPIC_KEYS) -> D
     """
     keys = list(keys)
     corpus = keys[:-1]
+    counts = cut_lineage(counts)  # read three times below; far smaller than the texts
     totals = counts.groupBy(*keys).agg(F.sum("tf").alias("words"))
     per_corpus = totals.groupBy(*corpus).agg(F.avg("words").alias("mean_words"))
     if corpus:
