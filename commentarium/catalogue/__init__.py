@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("source", "text", "vector", "sentiment", "topic", "search", "chart", "summary")
+FAMILIES = ("source", "text", "vector", "sentiment", "topic", "search", "chart", "summary", "run")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

@@ -117,7 +117,7 @@ def fallback_columns(spark, sf_dir):
 
 def stopword_use(spark, sf_dir):
     words = i.prepared(spark, sf_dir).select("lang", F.explode("tokens").alias("token"))
-    stop = is_stopword(F.col("lang"), F.lower("token"))
+    stop = is_stopword("lang", "lower(token)")
     return words.groupBy("lang").agg(F.count_if(stop).alias("n_stopwords"), F.count("*").alias("n_tokens"))
 
 

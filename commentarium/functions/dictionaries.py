@@ -203,9 +203,17 @@ def stopword_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, token string")
 
 
-def is_stopword(lang: Column, token: Column) -> Column:
-    """Whether ``token`` is a stopword of ``lang``: literal hash sets, no join."""
-    found = F.lit(False)
-    for code in LANGUAGE_CODES:
-        found = found | ((lang == code) & token.isin(list(stopwords(code))))
-    return F.coalesce(found, F.lit(False))
+def stopword_condition(lang: str, token: str) -> str:
+    """SQL text: whether expression ``token`` is a stopword of language ``lang``.
+
+    Literal lists this long become hash sets. As text it can stand inside a
+    lambda and costs one parse.
+    """
+    cases = " ".join(
+        f"WHEN '{code}' THEN {token} IN ({', '.join(repr(w) for w in stopwords(code))})" for code in LANGUAGE_CODES
+    )
+    return f"coalesce(CASE {lang} {cases} END, false)"
+
+
+def is_stopword(lang: str, token: str) -> Column:
+    return F.expr(stopword_condition(lang, token))

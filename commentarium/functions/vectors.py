@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 SCORE_DIGITS = 9  # finer differences are summation noise, not order
 
 
+def literal(values: Sequence, ddl: str = "array<double>") -> Column:
+    """A numeric array constant. One JSON text folds to a literal; no call per number."""
+    return F.from_json(F.lit(json.dumps(values)), ddl)
+
+
 def _fold(products: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -45,7 +51,7 @@ def cosine_to(a: Column, target: Sequence[float]) -> Column:
     length = norm(a)
     if size == 0:
         return F.lit(0.0)
-    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, F.lit(target)) / (length * F.lit(size)))
+    return F.when(length == 0, F.lit(0.0)).otherwise(dot(a, literal(target)) / (length * F.lit(size)))
 
 
 def mean_vector(a: Column) -> Column:

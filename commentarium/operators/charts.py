@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from commentarium.functions.dictionaries import is_stopword
+from commentarium.functions.dictionaries import is_stopword, stopword_condition
 from commentarium.functions.keys import SEED, shuffled_key
 from commentarium.functions.text import ngrams
 from commentarium.operators.joins import lookup_join
@@ -102,7 +102,7 @@ def scatter_points(
     """The topic scatter: sampled points with series, shape and size. Empty without x."""
     points = sample_with_representatives(df.where(F.col("x").isNotNull()), n, row_id)
     return (
-        lookup_join(points, topic_series(points, keys), list(keys), "left")
+        lookup_join(points, topic_series(points, keys), list(keys), "left", small=True)
         .withColumn("point_size", point_size(F.col("representative_doc")))
     )
 
@@ -122,6 +122,7 @@ def ngram_counts(
     lang: str = "lang",
     min_docs: int = MIN_DOCS,
     max_doc_share: float = MAX_DOC_SHARE,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """(gram, n_total, n_docs): top n-grams by total count over distributed counts.
 
@@ -131,10 +132,11 @@ def ngram_counts(
     once for the row count, so both are plain sums: one shuffle, no
     count-distinct.
     """
-    kept = F.filter(
-        F.transform(tokens, lambda t: F.lower(t)), lambda t: (F.length(t) >= 2) & ~is_stopword(F.col(lang), t)
+    kept = F.expr(
+        f"filter(transform({tokens}, t -> lower(t)), t -> length(t) >= 2 AND NOT {stopword_condition(lang, 't')})"
     )
-    n_rows = df.count()
+    if n_rows is None:
+        n_rows = df.count()
     grams = df.select(ngrams(kept, n).alias("g"))
     each = F.concat(
         F.transform("g", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
@@ -167,7 +169,7 @@ def word_weights(
     taken after the per-part limit, so no window ever spans a vocabulary.
     """
     exploded = df.select(part, lang, F.explode(tokens).alias("_t")).withColumn("token", F.lower("_t"))
-    stop = is_stopword(F.col(lang), F.col("token"))
+    stop = is_stopword(lang, "token")
     if extra_stopwords:
         stop = stop | F.col("token").isin(list(extra_stopwords))
     counts = exploded.where(~stop).groupBy(part, "token").agg(F.count("*").alias("n"))

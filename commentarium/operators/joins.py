@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from commentarium.operators.storage import cut_lineage
 
+SMALL_ROWS = 1_000
 MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
@@ -40,6 +41,12 @@ def fits_broadcast(
     return measured["n"] <= max_rows and (measured["b"] or 0) <= max_bytes
 
 
+def small_table(dim: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
+    """The dimension as a local relation if it has at most ``max_rows`` rows."""
+    rows = dim.limit(max_rows + 1).collect()
+    return dim.sparkSession.createDataFrame(rows, dim.schema) if len(rows) <= max_rows else None
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -48,20 +55,23 @@ def lookup_join(
     spread_by: str = "row_id",
     salts: int = SALTS,
     max_rows: int = MAX_BROADCAST_ROWS,
-    keep: bool = True,
+    small: bool = False,
 ) -> DataFrame:
     """Join facts to a keyed dimension (left, inner, left_semi or left_anti).
 
     A dimension measured to be small is broadcast. A larger one is shuffled with
     each of its rows repeated under every salt, while each fact row draws one
     salt from ``spread_by``: a key that holds a third of the facts ("the")
-    becomes ``salts`` even parts, and the result is the same. ``keep`` writes the
-    dimension to the shared folder first, so that measuring it does not compute
-    it a second time; turn it off for a plain stored table.
+    becomes ``salts`` even parts, and the result is the same. The dimension is
+    written to the shared folder first, so that measuring it does not compute it
+    twice. ``small`` says that a few rows are likely (one per topic, say): then one
+    bounded fetch both checks that and makes the table local.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if keep:
-        dim = cut_lineage(dim)
+    local = small_table(dim) if small else None
+    if local is not None:
+        return facts.join(F.broadcast(local), on, how)
+    dim = cut_lineage(dim)
     if fits_broadcast(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
     salted_dim = dim.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

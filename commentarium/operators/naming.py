@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -21,7 +22,9 @@ def topic_name(keywords: Column, names: Sequence[tuple[str, str]] = TOPIC_NAMES)
     the first two keywords, title-cased, are the name. An expression over a
     literal dictionary: topic tables are named without a join.
     """
-    entries = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("name")) for p, n in names])
+    entries = F.from_json(
+        F.lit(json.dumps([{"pattern": p, "name": n} for p, n in names])), "array<struct<pattern: string, name: string>>"
+    )
     split = F.filter(
         F.transform(F.split(F.coalesce(keywords, F.lit("")), ","), lambda k: F.lower(F.trim(k))), lambda k: k != ""
     )

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from commentarium.functions.forest import MODEL_SCHEMA, Forest, grow_tree
 from commentarium.functions.keys import SEED
-from commentarium.functions.vectors import SCORE_DIGITS, distance, mean_vector
+from commentarium.functions.vectors import SCORE_DIGITS, distance, literal, mean_vector
 from commentarium.operators.quantiles import exact_quantile
 
 # Fixed values.
@@ -23,7 +24,6 @@ DEFAULT_CONTAMINATION = 0.05
 MAX_COMPONENTS = 50
 TREES = 100
 ROWS_PER_TREE = 256
-_EULER_GAMMA = 0.5772156649015329
 
 
 def check_contamination(share: float) -> float:
@@ -74,14 +74,6 @@ def reduce_vectors(df: DataFrame, model: PipelineModel, vector: str = "embedding
 # --- Isolation forest ----------------------------------------------------------
 
 
-def _mean_path(size):
-    """Average depth of an unsuccessful search in a binary tree of ``size`` rows."""
-    size = np.asarray(size, dtype=float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        path = 2.0 * (np.log(size - 1.0) + _EULER_GAMMA) - 2.0 * (size - 1.0) / size
-    return np.where(size > 2, path, np.where(size == 2, 1.0, 0.0))
-
-
 def _deal_rows(df: DataFrame, features: str, row_id: str, n: int, trees: int, per_tree: int, seed: int) -> DataFrame:
     """(tree, key, features): ``per_tree`` rows for each tree, without replacement.
 
@@ -111,38 +103,6 @@ def _deal_rows(df: DataFrame, features: str, row_id: str, n: int, trees: int, pe
     return drawn.join(rows, row_id).select("tree", "key", features)
 
 
-_MODEL_SCHEMA = "tree int, node int, feature int, threshold double, below int, above int, path double"
-
-
-def _grow_tree(rows: pd.DataFrame, features: str, seed: int) -> pd.DataFrame:
-    """Random axis cuts down to single rows or the depth limit; at most 511 nodes."""
-    rows = rows.sort_values("key")
-    tree = int(rows["tree"].iloc[0])
-    points = np.stack(rows[features].to_numpy())
-    depth_limit = int(np.ceil(np.log2(max(len(points), 2))))
-    rng = np.random.default_rng([seed, tree])
-    nodes: list[list] = []
-    waiting = [(np.arange(len(points)), 0, None)]
-    while waiting:
-        members, depth, parent = waiting.pop()
-        here = len(nodes)
-        if parent is not None:
-            nodes[parent[0]][parent[1]] = here
-        spans = points[members].max(axis=0) - points[members].min(axis=0)
-        splittable = np.flatnonzero(spans > 0)
-        if depth >= depth_limit or len(members) < 2 or not len(splittable):
-            nodes.append([tree, here, -1, 0.0, here, here, depth + float(_mean_path(len(members)))])
-            continue
-        feature = int(rng.choice(splittable))
-        column = points[members, feature]
-        threshold = float(rng.uniform(column.min(), column.max()))
-        nodes.append([tree, here, feature, threshold, -1, -1, 0.0])
-        goes_below = column <= threshold
-        waiting.append((members[~goes_below], depth + 1, (here, 5)))
-        waiting.append((members[goes_below], depth + 1, (here, 4)))
-    return pd.DataFrame(nodes, columns=[c.split()[0] for c in _MODEL_SCHEMA.split(", ")])
-
-
 def grow_forest(
     df: DataFrame,
     features: str = "components",
@@ -157,7 +117,7 @@ def grow_forest(
     """
     n = df.count()
     dealt = _deal_rows(df, features, row_id, n, trees, per_tree, seed)
-    model = dealt.groupBy("tree").applyInPandas(lambda rows: _grow_tree(rows, features, seed), _MODEL_SCHEMA)
+    model = dealt.groupBy("tree").applyInPandas(lambda rows: grow_tree(rows, features, seed), MODEL_SCHEMA)
     return model, min(per_tree, n)
 
 
@@ -169,35 +129,11 @@ def forest_scores(
     The node table has at most ``trees * (2 * rows per tree - 1)`` rows (51,100 by
     default), so it travels with the task. Rows are scored a batch at a time.
     """
-    nodes = model.orderBy("tree", "node").toPandas()
-    starts = nodes.groupby("tree").cumcount() == 0
-    roots = np.flatnonzero(starts.to_numpy())
-    base = np.repeat(roots, np.diff(np.append(roots, len(nodes))))
-    feature = nodes["feature"].to_numpy()
-    threshold = nodes["threshold"].to_numpy()
-    below = nodes["below"].to_numpy() + base
-    above = nodes["above"].to_numpy() + base
-    path = nodes["path"].to_numpy()
-    scale = float(_mean_path(sample_size)) or 1.0
+    forest = Forest(model.toPandas(), sample_size)
 
     @F.pandas_udf("double")
     def score(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype="float64")
-        points = np.stack(vectors.to_numpy())
-        rows = np.arange(len(points))
-        depth = np.zeros(len(points))
-        for root in roots:
-            at = np.full(len(points), root)
-            while True:
-                cut = feature[at]
-                moving = cut >= 0
-                if not moving.any():
-                    break
-                goes_below = points[rows, np.maximum(cut, 0)] <= threshold[at]
-                at = np.where(moving, np.where(goes_below, below[at], above[at]), at)
-            depth += path[at]
-        return pd.Series(2.0 ** (-(depth / len(roots)) / scale))
+        return forest.score(vectors)
 
     return df.withColumn(out, score(features))
 
@@ -210,7 +146,7 @@ def centroid_distances(df: DataFrame, vector: str = "embedding", out: str = "out
     centre = df.agg(mean_vector(F.col(vector)).alias("c")).first()["c"]
     if centre is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    return df.withColumn(out, distance(F.col(vector), F.lit([float(x) for x in centre])))
+    return df.withColumn(out, distance(F.col(vector), literal([float(x) for x in centre])))
 
 
 def flag_outliers(df: DataFrame, contamination: float = DEFAULT_CONTAMINATION, score: str = "outlier_score") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from commentarium.functions.keys import content_hash
-from commentarium.functions.vectors import cosine, cosine_to
+from commentarium.functions.vectors import cosine, cosine_to, literal
 
 # Fixed values.
 TOP_N = 5
@@ -29,8 +29,9 @@ def score_concepts(df: DataFrame, concepts: Mapping[str, Sequence[float]], vecto
     """One row per (row, concept): many phrases in one scan."""
     if len(concepts) > MAX_CONCEPTS:
         raise ValueError(f"At most {MAX_CONCEPTS} concepts per scan; got {len(concepts)}.")
-    listed = F.array(
-        *[F.struct(F.lit(name).alias("concept"), F.lit([float(x) for x in v]).alias("target")) for name, v in concepts.items()]
+    listed = literal(
+        [{"concept": name, "target": [float(x) for x in v]} for name, v in concepts.items()],
+        "array<struct<concept: string, target: array<double>>>",
     )
     paired = df.withColumn("_c", F.explode(listed))
     return (

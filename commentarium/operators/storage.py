@@ -36,6 +36,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame, key: str = "row_id", partitioned: bool = False) -> DataFrame:
+    """Write a frame to the shared folder, bucketed by ``key``, and read it back.
+
+    Later joins and groupings on ``key`` find the rows already together and need
+    no shuffle; columns not asked for are not read; a lost executor costs a
+    re-read of files. Say ``partitioned`` when the frame comes from staged
+    tables of the same key: then writing needs no shuffle either.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stage_{uuid.uuid4().hex}"
+    laid_out = df if partitioned else df.repartition(buckets, key)
+    (
+        laid_out.write.format("parquet")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", scratch_path(spark, name))
+        .saveAsTable(name)
+    )
+    return spark.table(name)
+
+
 def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
     """Hash-partition by ``key`` when the input has fewer splits than there are cores.
 

@@ -15,16 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from commentarium.functions.dictionaries import is_stopword
 from commentarium.functions.keys import SEED
-from commentarium.functions.vectors import SCORE_DIGITS, cosine, distance, mean_vector
+from commentarium.functions.vectors import SCORE_DIGITS, cosine, distance, literal, mean_vector, norm
 from commentarium.operators.components import connected_components
 from commentarium.operators.joins import lookup_join
 from commentarium.operators.naming import GENERAL, SEPARATOR, topic_name
@@ -43,6 +43,8 @@ CANDIDATES = 30
 MIN_WORD_CHARS = 2
 NOISE_QUANTILE = 0.95
 CHOICE_ROWS = 200_000
+ROWS_PER_TASK = 5_000
+SMALL_FIT_ROWS = 100_000
 TOPIC_KEYS = ("sentiment", "topic_id")
 
 # Columns both paths add, in order.
@@ -64,7 +66,7 @@ def drop_small_clusters(df: DataFrame, min_rows: int, cluster: str = "cluster",
     sizes = df.where(F.col(cluster) != NOISE).groupBy(cluster).agg(F.count("*").alias("n"))
     kept = sizes.where(F.col("n") >= min_rows)
     ranked = kept.withColumn(out, F.row_number().over(Window.orderBy(F.desc("n"), cluster)) - 1).drop("n")
-    return lookup_join(df, ranked, cluster, "left").withColumn(out, F.coalesce(out, F.lit(NOISE)).cast("int"))
+    return lookup_join(df, ranked, cluster, "left", small=True).withColumn(out, F.coalesce(out, F.lit(NOISE)).cast("int"))
 
 
 def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
@@ -72,32 +74,40 @@ def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
 
 
 def _choose_k(points: DataFrame, n: int, row_id: str, max_topics: int, seed: int, max_iter: int) -> int | None:
-    """The k of best silhouette. Only this choice may look at a share of the rows.
+    """The k of best variance ratio (Calinski & Harabasz, 1974).
 
-    Above ``CHOICE_ROWS`` rows a hash cut-off keeps about that many; the model
-    itself is then fitted on every row. The candidates are fitted side by side.
+    It needs the fit's own cost and one total, no pass per k to judge a
+    clustering. Only this choice may look at a share of the rows: above
+    ``CHOICE_ROWS`` a hash cut-off keeps about that many, and the model itself is
+    then fitted on every row. Candidates are fitted side by side.
     """
-    spark = points.sparkSession
     seen = points
     if n > CHOICE_ROWS:
         cutoff = int(-(2**63) + CHOICE_ROWS / n * (2**64 - 1))
         seen = points.where(F.xxhash64(F.lit(seed), F.col(row_id)) <= F.lit(cutoff)).persist()
-    judge = ClusteringEvaluator(featuresCol="_unit", predictionCol="cluster")
+    figures = seen.agg(
+        F.count("*").alias("n"),
+        Summarizer.mean(F.col("_unit")).alias("mean"),
+        F.sum(F.pow(norm(vector_to_array("_unit")), 2)).alias("squares"),
+    ).first()
 
-    @inheritable_thread_target(spark)
-    def quality(k: int) -> tuple[float, int] | None:
-        assigned = _kmeans(k, seed, max_iter).fit(seen).transform(seen)
-        if assigned.select("cluster").distinct().count() < 2:
-            return None
-        return judge.evaluate(assigned), -k  # ties: fewer topics
+    @inheritable_thread_target(points.sparkSession)
+    def ratio(k: int) -> tuple[float, int]:
+        within = max(_kmeans(k, seed, max_iter).fit(seen).summary.trainingCost, 1e-12)
+        between = total - within
+        return (between / (k - 1)) / (within / (rows - k)), -k  # ties: fewer topics
 
     try:
+        rows = figures["n"]
+        if rows < 3:
+            return None
+        total = figures["squares"] - rows * float(figures["mean"].dot(figures["mean"]))
         with ThreadPoolExecutor(max_workers=4) as pool:
-            found = [q for q in pool.map(quality, range(2, min(max_topics, n) + 1)) if q is not None]
+            found = list(pool.map(ratio, range(2, min(max_topics, rows - 1) + 1)))
     finally:
         if seen is not points:
             seen.unpersist()
-    return -max(found)[1] if found else None
+    return -max(found)[1]
 
 
 def cluster_kmeans(
@@ -109,16 +119,20 @@ def cluster_kmeans(
     seed: int = SEED,
     max_iter: int = 10,
 ) -> DataFrame:
-    """Add ``topic_id`` by spherical k-means with k chosen by silhouette.
+    """Add ``topic_id`` by spherical k-means, choosing k.
 
     Rows beyond the ``noise_quantile`` of distance to their centre, and clusters
-    under the minimum size, are noise. ``df`` is read for each k; persist it.
+    under the minimum size, are noise. Unit vectors are kept while the candidates are fitted.
     """
     n = df.count()
     unit = Normalizer(inputCol="_v", outputCol="_unit")
     points = unit.transform(
         df.select(row_id, array_to_vector(F.col(features).cast("array<double>")).alias("_v"))
-    ).select(row_id, "_unit").persist()
+    ).select(row_id, "_unit")
+    # Few rows in many partitions would make every iteration mostly scheduling.
+    if n < SMALL_FIT_ROWS:
+        points = points.coalesce(1 + n // ROWS_PER_TASK)
+    points = points.persist()
     try:
         k = _choose_k(points, n, row_id, max_topics, seed, max_iter)
         if k is None:
@@ -127,7 +141,7 @@ def cluster_kmeans(
         centres = [[float(x) for x in c] for c in model.clusterCenters()]  # k small vectors
         placed = (
             model.transform(points)
-            .withColumn("_gap", distance(vector_to_array("_unit"), F.get(F.lit(centres), F.col("cluster"))))
+            .withColumn("_gap", distance(vector_to_array("_unit"), F.get(literal(centres, "array<array<double>>"), F.col("cluster"))))
             .select(row_id, "cluster", F.round("_gap", SCORE_DIGITS).alias("_gap"))
         )
         placed = cut_lineage(placed)
@@ -232,7 +246,7 @@ def topic_word_weights(counts: DataFrame, keys: Sequence[str] = TOPIC_KEYS) -> D
         sizes = totals.withColumn("mean_words", F.avg("words").over(Window.partitionBy(F.lit(0))))
     # A token's rows are one per topic: tiny window partitions, even for "the".
     overall = F.sum("tf").over(Window.partitionBy(*corpus, "token"))
-    weighted = lookup_join(counts.withColumn("overall", overall), sizes, keys, "inner", spread_by="token")
+    weighted = lookup_join(counts.withColumn("overall", overall), sizes, keys, "inner", spread_by="token", small=True)
     weight = F.col("tf") / F.col("words") * F.log1p(F.col("mean_words") / F.col("overall"))
     return weighted.select(*keys, "token", "tf", F.round(weight, SCORE_DIGITS + 3).alias("weight"))
 
@@ -283,7 +297,7 @@ def diversify_words(
     listed = candidates.where(F.col("place") <= CANDIDATES)
     wanted = listed.select("token").distinct()
     held = rows.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))).alias("token"), vector)
-    vectors = lookup_join(held, wanted, "token", "inner", spread_by="token").groupBy("token").agg(
+    vectors = lookup_join(held, wanted, "token", "inner", spread_by="token", small=True).groupBy("token").agg(
         mean_vector(F.col(vector)).alias("v")
     )
     pool = listed.join(vectors, "token").select(*keys, "token", "weight", "place", "v")
@@ -364,9 +378,11 @@ def merge_map(
     return members.join(merged.drop("n"), [*corpus, "component"]).select(*keys, "merged_id")
 
 
-def apply_merge(df: DataFrame, mapping: DataFrame, keys: Sequence[str] = TOPIC_KEYS) -> DataFrame:
+def apply_merge(
+    df: DataFrame, mapping: DataFrame, keys: Sequence[str] = TOPIC_KEYS, spread_by: str = "row_id"
+) -> DataFrame:
     keys = list(keys)
-    joined = lookup_join(df, mapping, keys, "left")
+    joined = lookup_join(df, mapping, keys, "left", spread_by=spread_by, small=True)
     return joined.withColumn(keys[-1], F.coalesce("merged_id", F.col(keys[-1])).cast("int")).drop("merged_id")
 
 
@@ -376,7 +392,7 @@ def apply_merge(df: DataFrame, mapping: DataFrame, keys: Sequence[str] = TOPIC_K
 def attach_topics(df: DataFrame, topics: DataFrame, keys: Sequence[str] = TOPIC_KEYS) -> DataFrame:
     """Add ``topic_label`` and ``topic_keywords``; noise rows are "General" with none."""
     named = topics.select(*keys, F.col("label").alias("topic_label"), F.col("keywords").alias("topic_keywords"))
-    return lookup_join(df, named, list(keys), "left").withColumns(
+    return lookup_join(df, named, list(keys), "left", small=True).withColumns(
         {
             "topic_label": F.coalesce("topic_label", F.lit(GENERAL)),
             "topic_keywords": F.coalesce("topic_keywords", F.lit("")),
@@ -399,6 +415,7 @@ def representatives(
         keys,
         "inner",
         spread_by=row_id,
+        small=True,
     ).select(*keys, row_id, F.round(cosine(F.col(vector), F.col("centroid")), SCORE_DIGITS).alias("similarity"))
     best = near.groupBy(*keys).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col(row_id).alias("r"))).alias("b"))
     return best.select(*keys, F.col("b.r").alias(row_id), (-F.col("b.s")).alias("similarity"))
@@ -409,7 +426,7 @@ def mark_representatives(
 ) -> DataFrame:
     """Add ``representative_doc``: one True per topic, none for noise."""
     chosen = representatives(df, vector, row_id, keys).select(row_id, F.lit(True).alias("representative_doc"))
-    return lookup_join(df, chosen, row_id, "left", spread_by=row_id).withColumn(
+    return lookup_join(df, chosen, row_id, "left", spread_by=row_id, small=True).withColumn(
         "representative_doc", F.coalesce("representative_doc", F.lit(False))
     )
 
@@ -428,7 +445,7 @@ def frequent_words(
     carried = [row_id] + ([lang] if lang else [])
     exploded = df.select(*carried, F.posexplode(tokens).alias("pos", "_t")).withColumn("token", F.lower("_t"))
     if lang:
-        exploded = exploded.where(~is_stopword(F.col(lang), F.col("token")))
+        exploded = exploded.where(~is_stopword(lang, "token"))
     return (
         exploded.groupBy("token")
         .agg(F.count("*").alias("n"), F.min(_first_use(exploded, row_id)).alias("first_use"))

@@ -21,7 +21,8 @@ def unsupported(df: DataFrame, lang: str = "lang") -> DataFrame:
 
 
 def require_supported(df: DataFrame, lang: str = "lang") -> DataFrame:
-    row = unsupported(df, lang).select(lang).first()
+    known = F.coalesce(F.col(lang).isin(list(LANGUAGE_CODES)), F.lit(False))
+    row = df.where(~known).select(lang).first()
     if row is not None:
         raise ValueError(
             f"Unsupported language code: '{row[0]}'. Supported codes: {', '.join(sorted(LANGUAGE_CODES))}."
