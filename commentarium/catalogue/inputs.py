@@ -14,6 +14,7 @@ from commentarium.functions.text import NEGATION_PREFIX
 from commentarium.operators.preprocess import preprocess
 from commentarium.operators.sentiment import analyse_sentiment, merge_lexicons
 from commentarium.operators.storage import spread
+from commentarium.operators.tokens import each
 
 MIN_TOKEN_DOCS = 5
 
@@ -108,7 +109,7 @@ def _digit_valence(place: int, size: float) -> Column:
 
 def lexicon(prepared_rows: DataFrame) -> DataFrame:
     words = (
-        prepared_rows.select(F.explode(F.array_distinct("tokens")).alias("token"))
+        each(prepared_rows, F.array_distinct("tokens"), "token")
         .where(~F.startswith("token", F.lit(NEGATION_PREFIX)))
         .groupBy("token")
         .agg(F.count("*").alias("n_docs"))

@@ -8,6 +8,7 @@ from commentarium.catalogue import inputs as i
 from commentarium.functions import text as tx
 from commentarium.operators import preprocess as pp
 from commentarium.functions.dictionaries import language
+from commentarium.operators.tokens import each
 
 
 def _step(expression):
@@ -61,7 +62,7 @@ def keep_negations(spark, sf_dir):
 
 def _plural_lemmas(rows):
     """A lemma table from the data: a word whose form without its final s is also a word."""
-    words = rows.where(F.col("lang") == "en").select(F.explode(F.array_distinct("tokens")).alias("surface")).distinct()
+    words = each(rows.where(F.col("lang") == "en"), F.array_distinct("tokens"), "surface").distinct()
     stems = words.where((F.length("surface") >= 4) & F.endswith("surface", F.lit("s"))).withColumn(
         "lemma", F.expr("substring(surface, 1, length(surface) - 1)")
     )

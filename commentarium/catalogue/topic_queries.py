@@ -8,6 +8,7 @@ from commentarium.catalogue import inputs as i
 from commentarium.functions.dictionaries import TOPIC_NAMES, is_stopword
 from commentarium.operators import outliers
 from commentarium.operators import topics as tp
+from commentarium.operators.tokens import each
 
 KEY = ("topic_id",)
 SIMILAR = 0.9
@@ -37,7 +38,7 @@ def names(spark, sf_dir):
 
 def word_names(spark, sf_dir):
     """Every distinct pair (language, word) of the data named as a one-word topic."""
-    words = i.prepared(spark, sf_dir).select("lang", F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    words = each(i.prepared(spark, sf_dir), F.array_distinct("tokens"), "token", "lang").distinct()
     named = words.select("lang", "token", tp.topic_name(F.col("token")).alias("label"))
     return named.groupBy("lang", "label").agg(F.count("*").alias("n_words"))
 
@@ -116,7 +117,7 @@ def fallback_columns(spark, sf_dir):
 
 
 def stopword_use(spark, sf_dir):
-    words = i.prepared(spark, sf_dir).select("lang", F.explode("tokens").alias("token"))
+    words = each(i.prepared(spark, sf_dir), "tokens", "token", "lang")
     stop = is_stopword("lang", "lower(token)")
     return words.groupBy("lang").agg(F.count_if(stop).alias("n_stopwords"), F.count("*").alias("n_tokens"))
 

@@ -82,13 +82,17 @@ def clean(text: Column, max_chars: int | None = None, any_case_urls: bool = Fals
 
 
 def split_tokens(text: Column) -> Column:
-    """Tokens of a cleaned text; the empty text has none."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    """Tokens of a cleaned text; the empty text has none.
+
+    Like the gate below it names its input once: Spark may inline an expression
+    wherever it is named, and this one carries all of the cleaning.
+    """
+    return F.array_remove(F.split(text, " "), "")
 
 
 def blank_if_short(cleaned: Column) -> Column:
     """Blank a cleaned text of fewer than two tokens (no inner space); keep the row."""
-    return F.when(F.instr(cleaned, " ") == 0, F.lit("")).otherwise(cleaned)
+    return F.regexp_replace(cleaned, r"\A[^ ]*\z", "")
 
 
 def keep_tokens(tokens: Column, stopwords: Iterable[str], always: Iterable[str] = ()) -> Column:

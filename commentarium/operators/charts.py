@@ -13,6 +13,7 @@ from commentarium.functions.keys import SEED, shuffled_key
 from commentarium.functions.text import ngrams
 from commentarium.operators.joins import lookup_join
 from commentarium.operators.storage import cut_lineage
+from commentarium.operators.tokens import each
 from commentarium.operators.topics import NOISE, TOPIC_KEYS
 
 # Fixed values.
@@ -138,12 +139,12 @@ def ngram_counts(
     if n_rows is None:
         n_rows = df.count()
     grams = df.select(ngrams(kept, n).alias("g"))
-    each = F.concat(
+    counted = F.concat(
         F.transform("g", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(F.array_distinct("g"), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
     )
     return (
-        grams.select(F.explode(each).alias("e"))
+        each(grams, counted, "e")
         .groupBy(F.col("e.gram").alias("gram"))
         .agg(F.sum("e.tf").alias("n_total"), F.sum("e.df").alias("n_docs"))
         .where((F.col("n_docs") >= min_docs) & (F.col("n_docs") <= F.lit(max_doc_share * n_rows)))
@@ -168,7 +169,7 @@ def word_weights(
     All parts in one pass. The weight is the count over the part's largest count,
     taken after the per-part limit, so no window ever spans a vocabulary.
     """
-    exploded = df.select(part, lang, F.explode(tokens).alias("_t")).withColumn("token", F.lower("_t"))
+    exploded = each(df, tokens, "_t", part, lang).withColumn("token", F.lower("_t"))
     stop = is_stopword(lang, "token")
     if extra_stopwords:
         stop = stop | F.col("token").isin(list(extra_stopwords))

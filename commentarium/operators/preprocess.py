@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from commentarium.functions import text as tx
 from commentarium.functions.dictionaries import LANGUAGES, stopwords
 from commentarium.operators.joins import lookup_join
+from commentarium.operators.tokens import each
 
 # Fields the stage adds, in order.
 ADDED = ("clean_text", "tokens", "is_blank", "is_truncated")
@@ -48,9 +49,8 @@ def lemmatise(
     """
     routes = [l for l in LANGUAGES if l.scorer == "lexicon"]
     codes = [l.code for l in routes]
-    exploded = (
-        df.where(F.col(lang).isin(codes) & (F.col(text) != ""))
-        .select(row_id, lang, F.posexplode(F.split(text, " ")).alias("pos", "surface"))
+    exploded = each(
+        df.where(F.col(lang).isin(codes)), tx.split_tokens(F.col(text)), "surface", row_id, lang, position="pos"
     )
     # One lemma per surface form, whatever the table holds.
     unique = lemmas.groupBy(lang, "surface").agg(F.min("lemma").alias("lemma"))

@@ -30,6 +30,7 @@ from commentarium.operators.joins import lookup_join
 from commentarium.operators.naming import GENERAL, SEPARATOR, topic_name
 from commentarium.operators.quantiles import exact_quantile
 from commentarium.operators.storage import cut_lineage
+from commentarium.operators.tokens import each
 
 # Fixed values.
 NOISE = -1
@@ -221,7 +222,7 @@ def cluster_grid(
 def topic_token_counts(df: DataFrame, keys: Sequence[str] = TOPIC_KEYS, tokens: str = "tokens") -> DataFrame:
     """(keys, token, tf): one shuffle, after a map-side count."""
     return (
-        df.select(*keys, F.explode(tokens).alias("_t"))
+        each(df, tokens, "_t", *keys)
         .select(*keys, F.lower("_t").alias("token"))
         .where(F.length("token") >= MIN_WORD_CHARS)
         .groupBy(*keys, "token")
@@ -296,7 +297,7 @@ def diversify_words(
     keys = list(keys)
     listed = candidates.where(F.col("place") <= CANDIDATES)
     wanted = listed.select("token").distinct()
-    held = rows.select(F.explode(F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))).alias("token"), vector)
+    held = each(rows, F.array_distinct(F.transform(tokens, lambda t: F.lower(t))), "token", vector)
     vectors = lookup_join(held, wanted, "token", "inner", spread_by="token", small=True).groupBy("token").agg(
         mean_vector(F.col(vector)).alias("v")
     )
@@ -443,7 +444,7 @@ def frequent_words(
 ) -> DataFrame:
     """(token, n): the most frequent lowercased non-stopwords, ties by first use."""
     carried = [row_id] + ([lang] if lang else [])
-    exploded = df.select(*carried, F.posexplode(tokens).alias("pos", "_t")).withColumn("token", F.lower("_t"))
+    exploded = each(df, tokens, "_t", *carried, position="pos").withColumn("token", F.lower("_t"))
     if lang:
         exploded = exploded.where(~is_stopword(lang, "token"))
     return (
