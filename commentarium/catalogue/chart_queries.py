@@ -51,7 +51,7 @@ def scatter(spark, sf_dir):
 
 
 def _polar(spark, sf_dir):
-    return i.with_sentiment(i.prepared(spark, sf_dir)).select("row_id", F.round("polarity", 6).alias("concept_similarity"))
+    return i.labels(i.prepared(spark, sf_dir)).select("row_id", F.round("polarity", 6).alias("concept_similarity"))
 
 
 def colour_scale(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from commentarium.functions.dictionaries import LANGUAGE_CODES, language, stopwords
 from commentarium.functions.text import NEGATION_PREFIX
 from commentarium.operators.preprocess import preprocess
-from commentarium.operators.sentiment import analyse_sentiment, merge_lexicons
+from commentarium.operators.sentiment import analyse_sentiment, lexicon_labels, merge_lexicons
 from commentarium.operators.storage import spread
 from commentarium.operators.tokens import each
 
@@ -145,6 +145,11 @@ def with_sentiment(prepared_rows: DataFrame) -> DataFrame:
     return analyse_sentiment(prepared_rows, lexicon(prepared_rows))
 
 
+def labels(prepared_rows: DataFrame, *carry: str) -> DataFrame:
+    """The same labels on narrow rows, with no join back to the texts."""
+    return lexicon_labels(prepared_rows, lexicon(prepared_rows), carry)
+
+
 # --- Rows with vectors, given topics and flags ---------------------------------------
 
 

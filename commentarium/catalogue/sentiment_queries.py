@@ -11,7 +11,7 @@ _CONTRACT = ("row_id", "sentiment", F.round("polarity", 6).alias("polarity"), "s
 
 
 def _labelled(spark, sf_dir):
-    return i.with_sentiment(i.prepared(spark, sf_dir))
+    return i.labels(i.prepared(spark, sf_dir), "lang")
 
 
 def compound_scores(spark, sf_dir):
@@ -37,11 +37,13 @@ def side_labels(spark, sf_dir):
 
 
 def lexicon_contract(spark, sf_dir):
-    return _labelled(spark, sf_dir).select(*_CONTRACT)
+    """Attached to the texts, as a user of the texts would have it."""
+    return i.with_sentiment(i.prepared(spark, sf_dir)).select(*_CONTRACT)
 
 
 def blank_rows(spark, sf_dir):
-    return _labelled(spark, sf_dir).where(st.is_blank(F.col("clean_text"))).select(*_CONTRACT)
+    rows = i.with_sentiment(i.prepared(spark, sf_dir))
+    return rows.where(st.is_blank(F.col("clean_text"))).select(*_CONTRACT)
 
 
 def _given_probabilities(spark, sf_dir):

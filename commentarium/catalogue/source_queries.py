@@ -86,7 +86,7 @@ def unknown_languages(spark, sf_dir):
 
 def run_folder(spark, sf_dir):
     """Result tables and parameters of one run, written and read back."""
-    flagged = i.with_sentiment(i.prepared(spark, sf_dir)).persist()
+    flagged = i.labels(i.prepared(spark, sf_dir), "lang").persist()
     base = sinks.write_run(
         {"kpi": kpis(flagged, "lang"), "points": flagged.select("row_id", "lang", "sentiment")},
         scratch_path(spark, "runs"), "first", {"concept": "precio valor costo", "contamination": 0.05},

@@ -14,9 +14,9 @@ from commentarium.operators import topics as tp
 def _flagged(spark, sf_dir):
     """Comments with sentiment; the longest are the outliers, polarity the concept score."""
     rows = i.prepared(spark, sf_dir)
-    scored = rows.withColumn("outlier_score", F.size("tokens").cast("double")).persist()
-    flagged = i.with_sentiment(outliers.flag_outliers(scored))
-    return flagged.withColumn("concept_similarity", F.round("polarity", 6))
+    flagged = outliers.flag_outliers(rows.withColumn("outlier_score", F.size("tokens").cast("double")))
+    labelled = i.labels(flagged, "lang", "source", "is_outlier")
+    return labelled.withColumn("concept_similarity", F.round("polarity", 6))
 
 
 _SHARES = ("pos_share", "neg_share", "confidence_rate")

@@ -108,16 +108,16 @@ def cached_vectors(
     tokens)`` of distinct texts and adds ``embedding``.
     """
     keyed = df.withColumn("content_hash", content_hash(F.col(text)))
-    contents = keyed.groupBy("content_hash").agg(
-        F.count("*").alias("copies"), F.min(text).alias("clean_text"), F.min(row_id).alias("row_id")
+    # Hashes only: texts move just for rows that must be encoded.
+    contents = cut_lineage(
+        keyed.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min(row_id).alias(row_id))
     )
-    # The two jobs below must see the same contents, and grouping whole texts is
-    # the dear part: keep it once.
-    contents = cut_lineage(contents)
     cached = _read_cache(df, path, model_id)
-    misses = contents if cached is None else contents.join(cached, "content_hash", "left_anti")
-    misses = misses.select("content_hash", "row_id", "clean_text").withColumn(
-        "tokens", split_tokens(F.col("clean_text"))
+    missing = contents if cached is None else contents.join(cached, "content_hash", "left_anti")
+    misses = (
+        missing.select("content_hash", row_id)
+        .join(df.select(row_id, F.col(text).alias("clean_text")), row_id)
+        .withColumn("tokens", split_tokens(F.col("clean_text")))
     )
     (
         encode(misses)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from commentarium.functions.keys import content_hash
 from commentarium.functions.vectors import cosine, cosine_to, literal
+from commentarium.operators.storage import cut_lineage
 
 # Fixed values.
 TOP_N = 5
@@ -63,18 +64,15 @@ def top_similar_texts(
 ) -> DataFrame:
     """The ``n`` best among distinct texts; the first row speaks for its copies.
 
-    Copies meet on the text's hash, so a text held by a third of all rows is one
-    line per map task, and whole texts are not sort keys.
+    Copies meet on the text's hash, with numbers alone: a text held by a third of
+    all rows is one line per map task. Only the ``n`` winners fetch their text.
     """
     first = df.groupBy(content_hash(F.col(text)).alias("_h")).agg(
-        F.min_by(F.struct(row_id, text, score, *carry), row_id).alias("r")
-    )
-    return (
-        first.select("r.*")
-        .orderBy(F.desc(score), row_id)
-        .limit(n)
-        .withColumn(text, F.substring(text, 1, preview))
+        F.min(row_id).alias(row_id), F.min_by(score, row_id).alias(score)
     )
+    winners = cut_lineage(first.orderBy(F.desc(score), row_id).limit(n).select(row_id))
+    kept = df.select(row_id, text, score, *carry).join(F.broadcast(winners), row_id, "left_semi")
+    return kept.orderBy(F.desc(score), row_id).withColumn(text, F.substring(text, 1, preview))
 
 
 def similarity_spread(df: DataFrame, score: str = "concept_similarity") -> DataFrame:

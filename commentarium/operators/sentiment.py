@@ -50,15 +50,15 @@ def is_blank(text: Column) -> Column:
     return F.trim(F.coalesce(text, F.lit(""))) == ""
 
 
-def resolve_lexicon(df: DataFrame, text: str = "clean_text", first: str = "score_1", second: str = "score_2") -> DataFrame:
+def resolve_lexicon(df: DataFrame, blank: Column, first: str = "score_1", second: str = "score_2") -> DataFrame:
     """Two scores to the contract: the first lexicon decides, agreement is confidence."""
-    blank = is_blank(F.col(text))
     a = F.coalesce(first, F.lit(0.0))
     b = F.coalesce(second, F.lit(0.0))
     return (
         df.withColumn("sentiment", F.when(blank, "neg").otherwise(side(a)))
         .withColumn("polarity", F.when(blank, 0.0).otherwise(a))
         .withColumn("sentiment_confidence", F.when(blank, False).otherwise(side(a) == side(b)))
+        .drop(first, second)
     )
 
 
@@ -108,7 +108,7 @@ def lexicon_scores(
     negation: str = "mute",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """(row_id, *carry, score_1, score_2) for every row, hits or none.
+    """(row_id, *carry, n_tokens, score_1, score_2) for every row, hits or none.
 
     ``score_1`` is the compound of the summed first valences; ``score_2`` the mean
     of the second valences that hit. ``negation``: a ``NEG_`` token is unknown to
@@ -134,17 +134,29 @@ def lexicon_scores(
     return (
         hits.groupBy(*grouping)
         .agg(
+            F.count("_word").alias("n_tokens"),
             F.sum(F.col("valence_1") * F.col("_factor")).alias("_sum_1"),
             F.avg(F.col("valence_2") * F.col("_factor")).alias("_mean_2"),
         )
         .select(
             *grouping,
+            "n_tokens",
             compound(F.col("_sum_1")).alias("score_1"),
             F.coalesce("_mean_2", F.lit(0.0)).alias("score_2"),
         )
     )
 
 
+def lexicon_labels(df: DataFrame, lexicon: DataFrame, carry: Sequence[str] = (), **options) -> DataFrame:
+    """(row_id, *carry, and the contract), without going back to the texts.
+
+    A row without tokens is blank. One pass, and one line per comment shuffled:
+    ``carry`` takes short columns along (language, source, flags).
+    """
+    scores = lexicon_scores(df, lexicon, carry=carry, **options)
+    return resolve_lexicon(scores, F.col("n_tokens") == 0).drop("n_tokens")
+
+
 # --- Model route ---------------------------------------------------------------
 
 
@@ -227,8 +239,8 @@ def analyse_sentiment(
     codes = [l.code for l in LANGUAGES if l.scorer == "lexicon"]
     on_lexicon = F.lit(True) if predict is None else F.coalesce(F.col(lang).isin(codes), F.lit(False))
     lexicon_rows = df.where(on_lexicon)
-    scores = lexicon_scores(lexicon_rows, lexicon, row_id=row_id, keys=keys, negation=negation)
-    lexicon_side = resolve_lexicon(lexicon_rows.join(scores, row_id, "left")).drop("score_1", "score_2")
+    labels = lexicon_labels(lexicon_rows, lexicon, row_id=row_id, keys=keys, negation=negation)
+    lexicon_side = lexicon_rows.join(labels, row_id)
     if predict is None:
         return lexicon_side
     model_side = resolve_probabilities(predict(df.where(~on_lexicon)), text="clean_text")

@@ -86,12 +86,16 @@ def topic_cards(df: DataFrame, row_id: str = "row_id", text: str = "clean_text")
 
     Keywords come from the label's first row and the text from its first
     representative. Fallback rows have no card; noise is the "General" card.
-    Counts travel alone; the one text per card is picked from representatives only.
+    Rows are counted per keyword list first, which a hash aggregate can do; the one
+    text per card is picked from representatives only.
     """
     labelled = df.where(F.col("topic_label").isNotNull() & (F.col("topic_label") != FALLBACK_LABEL))
     keys = ["sentiment", F.col("topic_label").alias("label")]
-    counted = labelled.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), F.min_by("topic_keywords", row_id).alias("keywords")
+    counted = (
+        labelled.groupBy(*keys, "topic_keywords")
+        .agg(F.count("*").alias("n"), F.min(row_id).alias("first_row"))
+        .groupBy("sentiment", "label")
+        .agg(F.sum("n").alias("n_rows"), F.min_by("topic_keywords", "first_row").alias("keywords"))
     )
     texts = (
         labelled.where("representative_doc")

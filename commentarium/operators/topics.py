@@ -48,6 +48,10 @@ ROWS_PER_TASK = 5_000
 SMALL_FIT_ROWS = 100_000
 TOPIC_KEYS = ("sentiment", "topic_id")
 
+# Decimal literals that put a whole-number id below another number.
+_PACK = "1" + "0" * 20 + "BD"
+_SHIFT = f"{2**63}BD"
+
 # Columns both paths add, in order.
 TOPIC_COLUMNS = ("topic_id", "topic_label", "topic_keywords", "x", "y", "representative_doc")
 
@@ -418,8 +422,16 @@ def representatives(
         spread_by=row_id,
         small=True,
     ).select(*keys, row_id, F.round(cosine(F.col(vector), F.col("centroid")), SCORE_DIGITS).alias("similarity"))
-    best = near.groupBy(*keys).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col(row_id).alias("r"))).alias("b"))
-    return best.select(*keys, F.col("b.r").alias(row_id), (-F.col("b.s")).alias("similarity"))
+    if not _is_whole(near, row_id):
+        best = near.groupBy(*keys).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col(row_id).alias("r"))).alias("b"))
+        return best.select(*keys, F.col("b.r").alias(row_id), (-F.col("b.s")).alias("similarity"))
+    # (distance from 1, row) as one decimal, for the same reason as in _first_use.
+    far = F.round((1 - F.col("similarity")) * 10**SCORE_DIGITS).cast("decimal(17,0)")
+    packed = (far * F.expr(_PACK) + F.col(row_id) + F.expr(_SHIFT)).cast("decimal(38,0)")
+    best = near.groupBy(*keys).agg(F.min(packed).alias("b"))
+    row = F.expr(f"cast(b % {_PACK} - {_SHIFT} as bigint)")
+    gap = F.expr(f"cast(b div {_PACK} as double)")
+    return best.select(*keys, row.alias(row_id), (1 - gap / 10**SCORE_DIGITS).alias("similarity"))
 
 
 def mark_representatives(
@@ -455,13 +467,17 @@ def frequent_words(
     )
 
 
+def _is_whole(df: DataFrame, row_id: str) -> bool:
+    return df.schema[row_id].dataType.typeName() in ("long", "integer", "short", "byte")
+
+
 def _first_use(df: DataFrame, row_id: str) -> Column:
     """(row, position) as one ordered value.
 
     For whole-number ids it is a decimal, which a hash aggregate can hold; a struct
     would make Spark sort all tokens instead.
     """
-    if df.schema[row_id].dataType.typeName() in ("long", "integer", "short", "byte"):
+    if _is_whole(df, row_id):
         packed = F.col(row_id).cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)")
         return (packed + F.col("pos")).cast("decimal(38,0)")
     return F.struct(F.col(row_id), F.col("pos"))

@@ -129,7 +129,10 @@ def analyse(
     # Sentiment and similarity of clean rows.
     lexicon = lexicon(texts) if callable(lexicon) else lexicon
     clean = texts.join(flags.where(~F.col("is_outlier")).select("row_id"), "row_id", "left_semi")
-    labelled = sentiment.analyse_sentiment(clean, lexicon, predict, keys)
+    if predict is None:
+        labelled = sentiment.lexicon_labels(clean, lexicon, ("lang",), keys=keys)
+    else:
+        labelled = sentiment.analyse_sentiment(clean, lexicon, predict, keys)
     target = embed.encode_phrase(comments, concept, encode)
     similar = search.add_similarity(coded, target).select("row_id", "concept_similarity")
     labels = stage(
