@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from commentarium.catalogue import inputs as i
 from commentarium.functions.dictionaries import TOPIC_NAMES, is_stopword
 from commentarium.operators import outliers
+from commentarium.operators import sentiment as st
 from commentarium.operators import topics as tp
 from commentarium.operators.tokens import each
 
@@ -18,6 +19,10 @@ def _counts(spark, sf_dir):
     return tp.topic_token_counts(i.with_given_topics(spark, sf_dir))
 
 
+def paths(spark, sf_dir):
+    return tp.topic_path(st.side_sizes(i.labels(i.prepared(spark, sf_dir))))
+
+
 def word_weights(spark, sf_dir):
     weights = tp.topic_word_weights(_counts(spark, sf_dir))
     return weights.select("sentiment", "topic_id", "token", "tf", F.round("weight", 9).alias("weight"))
@@ -191,6 +196,15 @@ counted AS (SELECT token, count(*) AS n, arg_min(pos, row_id * 1000000 + pos) AS
 top20 AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, first_row, pos) AS place FROM counted ORDER BY n DESC, first_row, pos LIMIT 20)"""
 
 QUERIES = {
+    "top01_path": (
+        paths,
+        i.with_ctes(
+            *i.SENTIMENT,
+            select="""SELECT s.sentiment, count(sent.row_id) AS n_rows,
+              CASE WHEN count(sent.row_id) < 100 THEN 'word_frequency_fallback' ELSE 'clusters' END AS path
+              FROM (VALUES ('pos'), ('neg')) s(sentiment) LEFT JOIN sent USING (sentiment) GROUP BY s.sentiment""",
+        ),
+    ),
     "top02_projection": (projection, None),
     "top03_grid_clusters": (
         grid_clusters,

@@ -9,7 +9,7 @@ from commentarium.functions.keys import content_hash
 from commentarium.functions.vectors import norm
 from commentarium.operators import embed, outliers
 from commentarium.operators.search import add_similarity
-from commentarium.operators.storage import scratch_path
+from commentarium.operators.storage import scratch_path, stage
 
 
 def _encoder(rows):
@@ -62,7 +62,7 @@ def concept_vector(spark, sf_dir):
 
 def vector_cache(spark, sf_dir):
     """First run encodes every distinct text, the second none; both attach a vector to every row."""
-    rows = i.prepared(spark, sf_dir)
+    rows = stage(i.prepared(spark, sf_dir))
     encode = _encoder(rows)
     path = scratch_path(spark, "vector-cache")
     embed.cached_vectors(rows.where(F.col("lang") == "en"), path, "hashed", encode)

@@ -36,8 +36,11 @@ def grow_tree(rows: pd.DataFrame, features: str, seed: int) -> pd.DataFrame:
         feature = int(rng.choice(splittable))
         column = points[members, feature]
         threshold = float(rng.uniform(column.min(), column.max()))
-        nodes.append([tree, here, feature, threshold, -1, -1, 0.0])
         goes_below = column <= threshold
+        if goes_below.all():  # the draw rounded up to the largest value
+            threshold = float(column.min())
+            goes_below = column <= threshold
+        nodes.append([tree, here, feature, threshold, -1, -1, 0.0])
         waiting.append((members[~goes_below], depth + 1, (here, 5)))
         waiting.append((members[goes_below], depth + 1, (here, 4)))
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in MODEL_SCHEMA.split(", ")])

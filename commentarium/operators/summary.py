@@ -63,7 +63,7 @@ def breakdown(kpi: DataFrame) -> DataFrame:
     """Percent of positive, negative and outlier rows.
 
     ``*_pct`` is of all rows and adds up to 100; ``*_pct_of_clean`` divides by the
-    clean rows only, as the reported bar of the original did. No rows: 0.
+    clean rows only, the other base in use for this bar. No rows: 0.
     """
     whole = F.greatest(F.col("n_rows"), F.lit(1))
     clean = F.greatest(F.col("n_clean"), F.lit(1))

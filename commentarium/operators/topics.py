@@ -56,6 +56,12 @@ _SHIFT = f"{2**63}BD"
 TOPIC_COLUMNS = ("topic_id", "topic_label", "topic_keywords", "x", "y", "representative_doc")
 
 
+def topic_path(sizes: DataFrame) -> DataFrame:
+    """(sentiment, n_rows, path): how each side's topics are found."""
+    path = F.when(F.col("is_small"), FALLBACK_LABEL).otherwise("clusters")
+    return sizes.select("sentiment", "n_rows", path.alias("path"))
+
+
 def min_cluster_rows(n: int) -> int:
     return max(10, n // 10)
 
