@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from commentarium.catalogue import inputs as i
 from commentarium.operators import search as se
+from commentarium.operators.storage import stage
 
 CONCEPTS = (0, 1, 2)  # vectors of the table that stand in for phrase vectors
 
@@ -51,7 +52,7 @@ def similarity_by_topic(spark, sf_dir):
 
 def top_texts(spark, sf_dir):
     """Distinct comments of highest score; the lexicon score stands in for similarity."""
-    rows = i.with_sentiment(i.prepared(spark, sf_dir))
+    rows = stage(i.with_sentiment(i.prepared(spark, sf_dir)).select("row_id", "clean_text", "sentiment", "polarity"))
     scored = rows.withColumn("concept_similarity", F.round("polarity", 9))
     return se.top_similar_texts(scored).select("row_id", "clean_text", _SIM, "sentiment")
 
