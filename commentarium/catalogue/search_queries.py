@@ -20,15 +20,15 @@ def _scored(spark, sf_dir):
     return se.add_similarity(rows, _concept(rows))
 
 
-_SIM = F.round("concept_similarity", 6).alias("concept_similarity")
+_SIM = "round(concept_similarity, 6) AS concept_similarity"
 
 
 def similarity(spark, sf_dir):
-    return _scored(spark, sf_dir).select("row_id", _SIM)
+    return _scored(spark, sf_dir).selectExpr("row_id", _SIM)
 
 
 def top_rows(spark, sf_dir):
-    return se.top_similar(_scored(spark, sf_dir)).select("row_id", _SIM)
+    return se.top_similar(_scored(spark, sf_dir)).selectExpr("row_id", _SIM)
 
 
 def spread(spark, sf_dir):
@@ -54,14 +54,14 @@ def top_texts(spark, sf_dir):
     """Distinct comments of highest score; the lexicon score stands in for similarity."""
     rows = stage(i.with_sentiment(i.prepared(spark, sf_dir)).select("row_id", "clean_text", "sentiment", "polarity"))
     scored = rows.withColumn("concept_similarity", F.round("polarity", 9))
-    return se.top_similar_texts(scored).select("row_id", "clean_text", _SIM, "sentiment")
+    return se.top_similar_texts(scored).selectExpr("row_id", "clean_text", _SIM, "sentiment")
 
 
 def many_concepts(spark, sf_dir):
     rows = i.vectors(spark, sf_dir)
     concepts = {f"c{k}": _concept(rows, k) for k in CONCEPTS}
     best = se.top_similar_per_concept(se.score_concepts(rows, concepts))
-    return best.select("concept", "place", "row_id", _SIM)
+    return best.selectExpr("concept", "place", "row_id", _SIM)
 
 
 _SIMS = (

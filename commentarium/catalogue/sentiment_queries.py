@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from commentarium.catalogue import inputs as i
 from commentarium.operators import sentiment as st
 
-_CONTRACT = ("row_id", "sentiment", F.round("polarity", 6).alias("polarity"), "sentiment_confidence")
+_CONTRACT = ("row_id", "sentiment", "round(polarity, 6) AS polarity", "sentiment_confidence")
 
 
 def _labelled(spark, sf_dir):
@@ -38,12 +38,12 @@ def side_labels(spark, sf_dir):
 
 def lexicon_contract(spark, sf_dir):
     """Attached to the texts, as a user of the texts would have it."""
-    return i.with_sentiment(i.prepared(spark, sf_dir)).select(*_CONTRACT)
+    return i.with_sentiment(i.prepared(spark, sf_dir)).selectExpr(*_CONTRACT)
 
 
 def blank_rows(spark, sf_dir):
     rows = i.with_sentiment(i.prepared(spark, sf_dir))
-    return rows.where(st.is_blank(F.col("clean_text"))).select(*_CONTRACT)
+    return rows.where(st.is_blank(F.col("clean_text"))).selectExpr(*_CONTRACT)
 
 
 def _given_probabilities(spark, sf_dir):
@@ -83,7 +83,7 @@ def model_predictions(spark, sf_dir):
     """A classifier fitted on the labelled comments, applied to all of them."""
     rows = i.prepared(spark, sf_dir)
     scored = st.classify(rows, _quality_model(spark, sf_dir, rows))
-    return st.resolve_probabilities(scored, text="clean_text").select(*_CONTRACT)
+    return st.resolve_probabilities(scored, text="clean_text").selectExpr(*_CONTRACT)
 
 
 def plugin_predictions(spark, sf_dir):
@@ -101,7 +101,7 @@ def plugin_predictions(spark, sf_dir):
 
     rows = i.prepared(spark, sf_dir)
     scored = rows.withColumn("probabilities", st.predictor_expression(load)(F.col("clean_text")))
-    return st.resolve_probabilities(scored, text="clean_text").select(*_CONTRACT)
+    return st.resolve_probabilities(scored, text="clean_text").selectExpr(*_CONTRACT)
 
 
 def mixed_routes(spark, sf_dir):

@@ -138,8 +138,9 @@ _DISTANCES = (
     i.VECS,
     "cells AS (SELECT row_id, topic_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vecs)",
     "centre AS (SELECT d, avg(x) AS c FROM cells GROUP BY d)",
-    """dist AS (SELECT row_id, topic_id, round(sqrt(sum((x - c) * (x - c))), 9) AS score
+    """far AS (SELECT row_id, topic_id, sqrt(sum((x - c) * (x - c))) AS length
       FROM cells JOIN centre USING (d) GROUP BY row_id, topic_id)""",
+    "dist AS (SELECT row_id, topic_id, length, round(length, 9) AS score FROM far)",
     "flagged AS (SELECT *, score > (SELECT quantile_cont(score, 0.95) FROM dist) AS is_outlier FROM dist)",
 )
 
@@ -197,6 +198,6 @@ QUERIES = {
         ),
     ),
     "out08_centroid_distance": (
-        centroid_scores, i.with_ctes(*_DISTANCES, select="SELECT row_id, round(score, 6) AS outlier_score FROM dist")
+        centroid_scores, i.with_ctes(*_DISTANCES, select="SELECT row_id, round(length, 6) AS outlier_score FROM dist")
     ),
 }
