@@ -153,3 +153,42 @@ def grouped(df: DataFrame, *keys: str) -> DataFrame:
 def word_count(text) -> "F.Column":
     """Number of words of a text column; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): for every node of ``edges(src, dst)`` the smallest node that it reaches.
+
+    Every round each node joins the neighbour (or itself) that comes first in a fresh
+    random order, and the graph shrinks to the nodes joined to, in expectation
+    by a constant factor whatever its shape; edges within a merged node vanish. The
+    rounds' maps are then followed from the last to the first.
+    """
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+
+    def tidy(a, b) -> list:
+        return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+
+    left = written(edges.where("src <> dst").select(*tidy("src", "dst")).distinct(), "edges")
+    maps: list[DataFrame] = []
+    while left.limit(1).count():
+        order = F.xxhash64(F.lit(len(maps)), "other")
+        both = left.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(
+            left.select(F.col("dst").alias("node"), F.col("src").alias("other"))
+        )
+        best = both.groupBy("node").agg(F.min(F.struct(order.alias("turn"), F.col("other").alias("to"))).alias("b"))
+        own = F.struct(F.xxhash64(F.lit(len(maps)), "node").alias("turn"), F.col("node").alias("to"))
+        joined = written(best.select("node", F.least(F.col("b"), own)["to"].alias("to")), "joined")
+        maps.append(joined)
+        a, b = (joined.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")) for end in ("src", "dst"))
+        moved = left.join(a, "src").join(b, "dst").where("src_to <> dst_to")
+        left = written(moved.select(*tidy("src_to", "dst_to")).distinct(), "edges")
+    if not maps:
+        return spark.createDataFrame([], f"node {kind}, component {kind}")
+    found = maps[-1]
+    for earlier in reversed(maps[:-1]):
+        later = found.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        found = earlier.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    found = written(found, "ends")
+    least = found.groupBy("to").agg(F.min("node").alias("component"))
+    return found.join(least, "to").select("node", "component")

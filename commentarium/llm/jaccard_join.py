@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from commentarium.llm.common import (
     WordHashes,
     bounded_batches,
+    components,
     grouped,
     mixed,
     odd_constants,
@@ -42,11 +43,11 @@ from commentarium.llm.common import (
     texts_of,
     written,
 )
-from commentarium.operators.components import connected_components
 from commentarium.operators.joins import fits_broadcast, join_on_content, lookup_join
 
 PERCENT = 80
 ORDERS, DIAGRAMS = 5, 56
+FIRST_DIAGRAMS = 4  # their cells are joined first, so that close copies are one label in the others
 REGION_SHINGLES = 2_000_000  # of a region joined in one task: 16 MB of hashes
 PIVOTS = 16
 ROUNDS = 4  # of document pivots, before what is still larger is compared in blocks
@@ -109,8 +110,8 @@ def shingle_sets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return given.mapInArrow(sign, "doc_id bigint, n_shingles bigint, digest binary, cells array<bigint>")
 
 
-def cell_edges(points: DataFrame) -> DataFrame:
-    """(src, dst): every point of ``points(id, cells)`` tied to the first point of each cell it shares."""
+def _shared_cells(points: DataFrame) -> DataFrame:
+    """(src, dst): every id of ``points(id, cells)`` tied to the first id of each cell it shares."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, first = None, None
@@ -132,6 +133,25 @@ def cell_edges(points: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(stars, "src bigint, dst bigint").distinct()
 
 
+def cell_regions(points: DataFrame) -> DataFrame:
+    """(id, region) of the points that share a cell with another, directly or by others.
+
+    The first diagrams join close copies to one label each; in the other diagrams
+    only labels meet, so a large group of copies is not tied together again and
+    again.
+    """
+    first = F.slice("cells", 1, FIRST_DIAGRAMS)
+    close = written(components(_shared_cells(points.select("id", first.alias("cells")))), "close")
+    rest = F.slice("cells", FIRST_DIAGRAMS + 1, DIAGRAMS - FIRST_DIAGRAMS)
+    labelled = points.join(close.withColumnRenamed("node", "id"), "id", "left")
+    labels = labelled.select(F.coalesce("component", "id").alias("id"), rest.alias("cells"))
+    wide = written(components(_shared_cells(labels)), "wide")
+    up = wide.select(F.col("node").alias("label"), F.col("component").alias("region"))
+    inner = close.select(F.col("node").alias("id"), F.col("component").alias("label"))
+    outer = wide.select(F.col("node").alias("id"), F.col("component").alias("region")).join(inner.select("id"), "id", "left_anti")
+    return inner.join(up, "label", "left").select("id", F.coalesce("region", "label").alias("region")).unionByName(outer)
+
+
 # Step 3 -------------------------------------------------------------------
 
 
@@ -174,16 +194,32 @@ def join_region(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
+def _least_reached(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """For every id in ``pairs`` that reaches a smaller one: the smallest."""
+    up: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {i: top(i) for i in up if top(i) != i}
+
+
 def _join_in_tasks(members: DataFrame, *keys: str) -> DataFrame:
-    """(src, dst) links of ``members(*keys, id, shingles)``, each group of bounded size."""
+    """(src, dst): in each bounded group of ``members(*keys, id, shingles)``, the smallest id of a component and the others."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, *keys):
             ids = group["id"].to_pylist()
             pairs = join_region([np.frombuffer(b, dtype=np.uint64) for b in group["shingles"].to_pylist()])
+            least = _least_reached([(ids[a], ids[b]) for a, b in pairs])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[a] for a, _ in pairs], pa.int64()), pa.array([ids[b] for _, b in pairs], pa.int64())],
-                ["src", "dst"],
+                [pa.array(list(least.values()), pa.int64()), pa.array(list(least), pa.int64())], ["src", "dst"]
             )
 
     rows = members.select(*keys, "id", "shingles")
@@ -241,14 +277,16 @@ def _sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("region").agg(F.sum(F.octet_length("shingles") / 8).alias("weight"))
 
 
-def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
-    """(src, dst): the links within regions of any size, up to closure."""
+def region_components(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
+    """(node, component): what ``members(region, id, shingles)`` reach by links, in regions of any size."""
     links: list[DataFrame] = []
     for _ in range(ROUNDS):
         sizes = written(_sizes(members), "region-sizes")
         large = sizes.where(F.col("weight") > limit).select("region")
         if not large.limit(1).count():
             links.append(_join_in_tasks(members, "region"))
+            if len(links) == 1:  # every region was joined whole in one task: nothing is left to follow
+                return links[0].select(F.col("dst").alias("node"), F.col("src").alias("component"))
             break
         small = lookup_join(members, large, "region", "left_anti", spread_by="id")
         links.append(_join_in_tasks(small, "region"))
@@ -260,7 +298,7 @@ def region_links(members: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
     whole = links[0]
     for more in links[1:]:
         whole = whole.unionByName(more)
-    return whole.distinct()
+    return components(whole)
 
 
 def _join_in_blocks(members: DataFrame, limit: int) -> DataFrame:
@@ -298,9 +336,7 @@ def near_duplicates(
     )
     heads = classes.select("digest", F.col("id").alias("doc_id"))
     points = sets.join(heads, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "cells")
-    edges = written(cell_edges(points), "cell-edges")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
-    regions = written(connected_components(nodes, edges).select(F.col("node").alias("id"), F.col("component").alias("region")), "regions")
+    regions = written(cell_regions(written(points, "cells")), "regions")
 
     @F.pandas_udf("binary")
     def shingles(texts):
@@ -312,8 +348,7 @@ def near_duplicates(
     wanted = F.broadcast(regions) if fits_broadcast(regions) else regions
     members = given.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
     members = members.select("region", F.col("doc_id").alias("id"), shingles("text").alias("shingles")).where(F.octet_length("shingles") > 0)
-    links = written(region_links(written(members, "members"), limit), "links")
-    reached = connected_components(links.select(F.col("src").alias("node")).union(links.select("dst")), links)
+    reached = region_components(written(members, "members"), limit)
     named = classes.join(reached.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", "copies", F.coalesce("component", "id").alias("component_id")
     )

@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentarium.llm.common import bounded_batches, grouped, mixed, odd_constants, plain, runs, written
-from commentarium.operators.components import connected_components
+from commentarium.llm.common import bounded_batches, components, grouped, mixed, odd_constants, plain, runs, written
 from commentarium.operators.joins import join_on_content, lookup_join
 
 COSINE = 0.95
@@ -152,11 +151,7 @@ def _meeting_cells(points: DataFrame) -> DataFrame:
             )
 
     rows = points.select("id", F.explode("cells").alias("cell"))
-    return grouped_by_cell(rows).mapInArrow(meet, "cell bigint, block int, id bigint")
-
-
-def grouped_by_cell(rows: DataFrame) -> DataFrame:
-    return rows.repartition("cell").sortWithinPartitions("cell", "id")
+    return rows.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(meet, "cell bigint, block int, id bigint")
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -242,7 +237,7 @@ def near_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     found = written(_verify(units.join(heads, "id")), "vector-links")
     counts = found.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
     links = found.where("src IS NOT NULL").select("src", "dst").distinct()
-    reached = connected_components(links.select(F.col("src").alias("node")).union(links.select("dst")), links)
+    reached = components(links)
     named = classes.join(counts, "id", "left").join(reached.withColumnRenamed("node", "id"), "id", "left").select(
         "digest",
         "copies",
