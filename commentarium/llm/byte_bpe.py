@@ -16,10 +16,13 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commentarium.llm.common import bounded_batches
 
@@ -122,7 +125,7 @@ def _finish(parts: list[bytes], rank_of) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of words; one per task."""
+    """Encodes texts with a bounded memory of words; one per worker process, kept from task to task."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -148,7 +151,7 @@ class Encoder:
         split = [self.split(t) for t in texts]
         missing = list({w for words in split for w in words}.difference(self.known))
         if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known = {}
+            self.known.clear()
             missing = list({w for words in split for w in words})
         for at in range(0, len(missing), REPLAY_WORDS):
             part = missing[at : at + REPLAY_WORDS]
@@ -158,19 +161,22 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def _worker(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the column ``into array<int>``: the token ids of every whole text.
 
     No special tokens: their strings are ordinary text. A null or empty text has no
     ids. All other columns stay (one named ``into`` is replaced).
     """
-    import numpy as np
-
     bounded_batches(docs.sparkSession)
     docs = docs.drop(into)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = _worker(path, pattern)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(text_column).to_pylist()]
             blobs = encoder.encode(texts)
@@ -178,8 +184,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
 
-    from pyspark.sql import types as T
-
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
@@ -188,8 +192,6 @@ def decode(docs: DataFrame, path: str, ids_column: str = "ids", into: str = "dec
 
     Null ids give null; ids outside the vocabulary fail. All other columns stay.
     """
-    from pyspark.sql import types as T
-
     docs = docs.drop(into)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,12 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=1)
+def _worker(path: str) -> tuple:
+    """The tokenizer and the cache of this worker process, kept from task to task."""
+    return load_tokenizer(path), {}
+
+
 def _lengths(tokenizer, words: list[bytes]) -> list[int]:
     texts = [w.decode("utf-8") for w in words]
     return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,7 +108,7 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, sizes = compact.value
         tiers = _Tiers(zip(blob.split(b" "), np.frombuffer(sizes, dtype=np.int32).tolist(), strict=False) if sizes else ())
-        tokenizer = load_tokenizer(path)
+        tokenizer, tiers.cache = _worker(path)
         for batch in batches:
             texts = texts_of(batch.column("text"))
             totals: list[int] = []
@@ -109,7 +116,7 @@ def token_counts(
                 split = [t.split() for t in chunk]
                 missing = list({w for words in split for w in words}.difference(tiers, tiers.cache))
                 if len(tiers.cache) + len(missing) > CACHE_ENTRIES:
-                    tiers.cache = {}
+                    tiers.cache.clear()
                     missing = list({w for words in split for w in words}.difference(tiers))
                 tiers.cache.update(zip(missing, _lengths(tokenizer, missing), strict=True))
                 totals += [sum(map(tiers.__getitem__, words)) for words in split]
