@@ -170,7 +170,7 @@ QUERIES = {
         i.with_ctes(
             *i.GIVEN_TOPICS, i.STOPS,
             """w AS (SELECT sentiment AS part, lang, lower(unnest(tokens)) AS token FROM given),
-            n AS (SELECT part, token, count(*) AS n FROM w WHERE NOT EXISTS (SELECT 1 FROM stops s WHERE s.lang = w.lang AND s.token = w.token) GROUP BY ALL),
+            n AS (SELECT part, token, count(*) AS n FROM w WHERE length(token) >= 2 AND NOT EXISTS (SELECT 1 FROM stops s WHERE s.lang = w.lang AND s.token = w.token) GROUP BY ALL),
             r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, token) AS place FROM n)""",
             select="SELECT part, token, n, round(n / max(n) OVER (PARTITION BY part), 6) AS weight, place FROM r QUALIFY place <= 200",
         ),

@@ -8,8 +8,6 @@ from commentarium.catalogue import inputs as i
 from commentarium.operators import search as se
 from commentarium.operators.storage import stage
 
-CONCEPTS = (0, 1, 2)  # vectors of the table that stand in for phrase vectors
-
 
 def _concept(rows, row_id=0):
     return rows.where(F.col("row_id") == row_id).select("embedding").first()[0]
@@ -58,16 +56,16 @@ def top_texts(spark, sf_dir):
 
 
 def many_concepts(spark, sf_dir):
+    """Every twentieth vector stands in for a phrase; all rows are searched."""
     rows = i.vectors(spark, sf_dir)
-    concepts = {f"c{k}": _concept(rows, k) for k in CONCEPTS}
-    best = se.top_similar_per_concept(se.score_concepts(rows, concepts))
-    return best.selectExpr("concept", "place", "row_id", _SIM)
+    concepts = rows.where("row_id % 20 = 0").select(F.concat(F.lit("c"), "row_id").alias("concept"), F.col("embedding").alias("target"))
+    return se.top_per_concept(rows, concepts).selectExpr("concept", "place", "row_id", _SIM)
 
 
 _SIMS = (
     i.VECS,
     """sims AS (SELECT a.row_id, a.topic_id, q.row_id AS concept, list_cosine_similarity(a.v, q.v) AS s
-      FROM vecs a, vecs q WHERE q.row_id IN (0, 1, 2))""",
+      FROM vecs a, vecs q WHERE q.row_id % 20 = 0)""",
     "one AS (SELECT * FROM sims WHERE concept = 0)",
 )
 
@@ -107,7 +105,7 @@ QUERIES = {
         i.with_ctes(
             *_SIMS,
             """ranked AS (SELECT 'c' || concept AS concept, row_id, s,
-              row_number() OVER (PARTITION BY concept ORDER BY s DESC, row_id) AS place FROM sims)""",
+              row_number() OVER (PARTITION BY concept ORDER BY round(s, 9) DESC, row_id) AS place FROM sims)""",
             select="SELECT concept, place, row_id, round(s, 6) AS concept_similarity FROM ranked WHERE place <= 5",
         ),
     ),

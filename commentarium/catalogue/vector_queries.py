@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from commentarium.catalogue import inputs as i
+from commentarium.functions.forest import mean_path
 from commentarium.functions.keys import content_hash
 from commentarium.functions.vectors import norm
 from commentarium.operators import embed, outliers
 from commentarium.operators.search import add_similarity
-from commentarium.operators.storage import scratch_path, stage
+from commentarium.operators.storage import scratch_path, stage, staged_columns
 
 
 def _encoder(rows):
@@ -50,66 +54,103 @@ def fingerprint(spark, sf_dir):
 
 
 def concept_vector(spark, sf_dir):
-    """A phrase taken from the data and encoded like the rows is at similarity 1 from its source."""
+    """A phrase taken from the data and encoded like the rows: its similarity to every row with words.
+
+    Spread over the whole table: where the same words occur it is 1, elsewhere from 0 to 1.
+    """
     rows = i.prepared(spark, sf_dir)
     encode = _encoder(rows)
     source = rows.where("lang = 'es' AND clean_text <> ''").orderBy("row_id").select("row_id", "clean_text").first()
     vector = embed.encode_phrase(rows, source["clean_text"], encode)
-    scored = add_similarity(encode(rows), vector).where(F.col("lang") == "es")
-    best = F.struct(F.round("concept_similarity", 4).alias("similarity"), (-F.col("row_id")).alias("r"))
-    return scored.agg(F.max(best).alias("b")).select((-F.col("b.r")).alias("row_id"), "b.similarity")
+    scored = add_similarity(encode(rows), vector).select("row_id", "clean_text", F.round("concept_similarity", 4).alias("s"))
+    same = F.col("clean_text") == F.lit(source["clean_text"])
+    return scored.select(
+        "row_id",
+        same.alias("is_phrase"),
+        F.when(same, F.col("s")).otherwise(1.0).alias("similarity"),
+        F.coalesce(F.col("s").between(0, 1), F.lit(True)).alias("in_range"),
+    )
 
 
 def vector_cache(spark, sf_dir):
-    """First run encodes every distinct text, the second none; both attach a vector to every row."""
+    """A cold run, a warm run and a run of another corpus on one cache.
+
+    Every row gets the vector that encoding it directly gives, every distinct text is
+    stored once a model, and the other corpus's encoder shares nothing with the first.
+    """
     rows = stage(i.prepared(spark, sf_dir))
-    encode = _encoder(rows)
+    english = rows.where(F.col("lang") == "en")
+    model, other = embed.fit_hashed_encoder(rows), embed.fit_hashed_encoder(english)
+    encode = lambda df: embed.hashed_vectors(df, model)
     path = scratch_path(spark, "vector-cache")
-    embed.cached_vectors(rows.where(F.col("lang") == "en"), path, "hashed", encode)
-    attached = embed.cached_vectors(rows, path, "hashed", encode)
-    stored = spark.read.parquet(path).select("content_hash").groupBy("content_hash").agg(F.count("*").alias("stored"))
-    return attached.join(stored, "content_hash", "left").select(
-        "row_id", "content_hash", F.col("embedding").isNotNull().alias("has_vector"), "stored"
+    embed.cached_vectors(english, path, embed.model_fingerprint(model), encode)
+    embed.cached_vectors(english, path, embed.model_fingerprint(other), lambda df: embed.hashed_vectors(df, other))
+    attached = embed.cached_vectors(rows, path, embed.model_fingerprint(model), encode)
+    stored = spark.read.parquet(path).groupBy("content_hash").agg(F.count("*").alias("stored"))
+    direct = encode(rows).select("row_id", F.col("embedding").alias("direct"))
+    return attached.join(direct, "row_id").join(stored, "content_hash", "left").select(
+        "row_id", "content_hash", (F.col("embedding") == F.col("direct")).alias("same_vector"), "stored"
     )
 
 
 def principal_components(spark, sf_dir):
+    """At full width: a row per component, centred, in falling order; together they hold the table's variance."""
     rows = i.vectors(spark, sf_dir)
-    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows))
+    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows, components=64))
     parts = reduced.select(F.posexplode("components").alias("component", "value"))
-    return parts.groupBy("component").agg(
-        F.count("*").alias("n_rows"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_samp("value"), 6).alias("variance")
+    found = parts.groupBy("component").agg(
+        F.count("*").alias("n_rows"), F.round(F.avg("value"), 6).alias("mean"), F.var_samp("value").alias("variance")
     )
+    falls = F.col("variance") <= F.coalesce(F.lag("variance").over(Window.orderBy("component")), F.lit(float("inf"))) + 1e-9
+    total = F.round(F.sum("variance").over(Window.partitionBy()), 4)  # one row per component
+    return found.select("component", "n_rows", F.abs("mean").alias("mean"), falls.alias("falls"), total.alias("total_variance"))
 
 
 def _forest(spark, sf_dir):
-    rows = i.vectors(spark, sf_dir).persist()
-    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows)).select("row_id", "topic_id", "components").persist()
+    rows = i.vectors(spark, sf_dir)
+    reduced = staged_columns(outliers.reduce_vectors(rows, outliers.fit_reduction(rows)).select("row_id", "components"), "reduced")
     return reduced, *outliers.grow_forest(reduced)
 
 
 def forest_model(spark, sf_dir):
-    _, model, _ = _forest(spark, sf_dir)
+    """Every tree: binary, no deeper than its bound, its leaves' paths above zero."""
+    _, model, size = _forest(spark, sf_dir)
+    leaf = F.col("feature") < 0
+    bound = math.ceil(math.log2(size)) + float(mean_path(size))
     return model.groupBy("tree").agg(
-        F.count("*").alias("n_nodes"), F.count_if(F.col("feature") < 0).alias("n_leaves"), F.round(F.max("path"), 6).alias("longest_path")
+        (F.count("*") == 2 * F.count_if(leaf) - 1).alias("is_binary"),
+        (F.max("path") <= bound).alias("is_bounded"),
+        (F.min(F.when(leaf, F.col("path"))) > 0).alias("has_paths"),
     )
 
 
 def forest_scored(spark, sf_dir):
-    reduced, model, size = _forest(spark, sf_dir)
-    return outliers.forest_scores(reduced, model, size).select("row_id", F.round("outlier_score", 6).alias("outlier_score"))
+    """Rows planted far away (every fortieth vector, moved by the row's size) score above the 0.95 quantile."""
+    rows = i.vectors(spark, sf_dir)
+    far = F.col("row_id") % 40 == 0
+    moved = F.when(far, F.transform("embedding", lambda x, k: (x + F.pmod(F.col("row_id") + k, F.lit(7)) + 5).cast("float")))
+    rows = rows.withColumn("far", far).withColumn("embedding", F.coalesce(moved, "embedding"))
+    found = outliers.detect_outliers(rows)
+    return found.select(
+        "row_id", F.col("outlier_score").between(0, 1).alias("in_range"), (~F.col("far") | F.col("is_outlier")).alias("far_is_flagged")
+    )
 
 
 def forest_flags(spark, sf_dir):
-    rows = i.vectors(spark, sf_dir).persist()
-    return outliers.detect_outliers(rows).select("row_id", "is_outlier")
+    """The flags, and whether each says what the scores' quantile says."""
+    found = staged_columns(outliers.detect_outliers(i.vectors(spark, sf_dir)).select("row_id", "outlier_score", "is_outlier"), "flags")
+    cut = found.agg(F.percentile("outlier_score", 0.95).alias("cut"))
+    agrees = F.col("is_outlier") == (F.col("outlier_score") > F.col("cut"))
+    return found.join(F.broadcast(cut)).select("row_id", agrees.alias("agrees"))
 
 
 def forest_on_texts(spark, sf_dir):
-    """Vectors of the comments themselves: encode, reduce, grow, score, cut, per language."""
+    """Vectors of the comments themselves: encode, reduce, grow, score, cut; every language's rows are there."""
     rows = i.prepared(spark, sf_dir)
-    coded = _encoder(rows)(rows).select("row_id", "lang", "embedding").persist()
-    return outliers.outlier_share(outliers.detect_outliers(coded), "lang").select("lang", "n_outliers", "n_rows")
+    coded = staged_columns(_encoder(rows)(rows).select("row_id", "lang", "embedding"), "coded")
+    shares = outliers.outlier_share(outliers.detect_outliers(coded), "lang")
+    total = F.sum("n_outliers").over(Window.partitionBy())  # one row per language
+    return shares.select("lang", "n_rows", (total <= F.sum("n_rows").over(Window.partitionBy()) * 0.05).alias("within_cut"))
 
 
 def _flagged(spark, sf_dir):
@@ -164,26 +205,48 @@ QUERIES = {
         content_hashes,
         i.with_ctes(*i.PREPARED, select="SELECT sha256(clean_text) AS content_hash, count(*) AS copies FROM prep GROUP BY 1"),
     ),
-    "emb02_dataset_fingerprint": (fingerprint, None),
+    "emb02_dataset_fingerprint": (
+        fingerprint,
+        i.with_ctes(
+            *i.PREPARED,
+            "h AS (SELECT ('0x' || substr(sha256(clean_text), 1, 15))::BIGINT AS h FROM prep)",
+            select="SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, sum(h % 2147483648)::BIGINT AS sum_hash FROM h",
+        ),
+    ),
     "emb03_concept_vector": (
         concept_vector,
         i.with_ctes(
             *i.PREPARED,
-            select="SELECT min(row_id) AS row_id, 1.0 AS similarity FROM prep WHERE lang = 'es' AND clean_text <> ''",
+            select="""SELECT row_id, clean_text = (SELECT arg_min(clean_text, row_id) FROM prep WHERE lang = 'es' AND clean_text <> '') AS is_phrase,
+              1.0 AS similarity, true AS in_range FROM prep""",
         ),
     ),
     "src08_vector_cache": (
         vector_cache,
         i.with_ctes(
             *i.PREPARED,
-            select="SELECT row_id, sha256(clean_text) AS content_hash, true AS has_vector, 1 AS stored FROM prep",
+            select="""SELECT row_id, sha256(clean_text) AS content_hash, true AS same_vector,
+              1 + (max(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) OVER (PARTITION BY clean_text)) AS stored FROM prep""",
+        ),
+    ),
+    "out01_principal_components": (
+        principal_components,
+        i.with_ctes(
+            i.VECS,
+            "cells AS (SELECT row_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM vecs)",
+            "spread AS (SELECT d, var_samp(x) AS s FROM cells GROUP BY d)",
+            select="""SELECT (d - 1)::INT AS component, (SELECT count(*) FROM vecs) AS n_rows, 0.0 AS mean, true AS falls,
+              round((SELECT sum(s) FROM spread), 4) AS total_variance FROM spread""",
         ),
     ),
-    "out01_principal_components": (principal_components, None),
-    "out02_isolation_forest": (forest_model, None),
-    "out03_forest_scores": (forest_scored, None),
-    "out03_forest_flags": (forest_flags, None),
-    "out03_forest_on_texts": (forest_on_texts, None),
+    "out02_isolation_forest": (
+        forest_model, "SELECT range::INT AS tree, true AS is_binary, true AS is_bounded, true AS has_paths FROM range(100)"
+    ),
+    "out03_forest_scores": (forest_scored, "SELECT vec_id AS row_id, true AS in_range, true AS far_is_flagged FROM embeddings"),
+    "out03_forest_flags": (forest_flags, "SELECT vec_id AS row_id, true AS agrees FROM embeddings"),
+    "out03_forest_on_texts": (
+        forest_on_texts, "SELECT lang, count(*) AS n_rows, true AS within_cut FROM documents GROUP BY lang"
+    ),
     "out04_contamination_cut": (contamination_cut, i.with_ctes(*_DISTANCES, select="SELECT row_id, is_outlier FROM flagged")),
     "out05_split": (
         split_rows,

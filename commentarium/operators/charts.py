@@ -129,9 +129,9 @@ def ngram_counts(
 
     Stopwords and one-character tokens go before n-grams form. A gram must be in
     ``min_docs`` rows and at most ``max_doc_share`` of all rows, blank ones
-    included. Each row emits its grams once for the total and its distinct grams
-    once for the row count, so both are plain sums: one shuffle, no
-    count-distinct.
+    included. A row's grams are sorted, and the first of each run also counts for the
+    row, so both figures are plain sums: one shuffle, no count-distinct, every gram
+    emitted once.
     """
     kept = F.expr(
         f"filter(transform({tokens}, t -> lower(t)), t -> length(t) >= 2 AND NOT {stopword_condition(lang, 't')})"
@@ -139,14 +139,14 @@ def ngram_counts(
     if n_rows is None:
         n_rows = df.count()
     grams = df.select(ngrams(kept, n).alias("g"))
-    counted = F.concat(
-        F.transform("g", lambda g: F.struct(g.alias("gram"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("g"), lambda g: F.struct(g.alias("gram"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
+    ordered = grams.select(F.array_sort("g").alias("g"))
+    marked = F.transform(
+        "g", lambda g, k: F.struct(g.alias("gram"), ((k == 0) | (F.get("g", k - 1) != g)).cast("int").alias("first"))
     )
     return (
-        each(grams, counted, "e")
+        each(ordered, marked, "e")
         .groupBy(F.col("e.gram").alias("gram"))
-        .agg(F.sum("e.tf").alias("n_total"), F.sum("e.df").alias("n_docs"))
+        .agg(F.count("*").alias("n_total"), F.sum("e.first").alias("n_docs"))
         .where((F.col("n_docs") >= min_docs) & (F.col("n_docs") <= F.lit(max_doc_share * n_rows)))
         .orderBy(F.desc("n_total"), "gram")
         .limit(top)
@@ -164,7 +164,7 @@ def word_weights(
     top: int = CLOUD_WORDS,
     extra_stopwords: Sequence[str] = (),
 ) -> DataFrame:
-    """(part, token, n, weight, place): the commonest words of each part of the data.
+    """(part, token, n, weight, place): the commonest words of each part of the data, of two characters or more.
 
     All parts in one pass. The weight is the count over the part's largest count,
     taken after the per-part limit, so no window ever spans a vocabulary.
@@ -173,7 +173,7 @@ def word_weights(
     stop = is_stopword(lang, "token")
     if extra_stopwords:
         stop = stop | F.col("token").isin(list(extra_stopwords))
-    counts = exploded.where(~stop).groupBy(part, "token").agg(F.count("*").alias("n"))
+    counts = exploded.where(~stop & (F.length("token") >= 2)).groupBy(part, "token").agg(F.count("*").alias("n"))
     order = Window.partitionBy(part).orderBy(F.desc("n"), "token")
     kept = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     largest = F.max("n").over(Window.partitionBy(part))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from commentarium.functions.keys import content_hash
 from commentarium.functions.text import clean, split_tokens
@@ -36,10 +37,10 @@ def encoder_expression(load_model: Callable[[], TextModel], batch: int = ENCODE_
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for texts in batches:
-            vectors: list[list[float]] = []
+            vectors: list[np.ndarray] = []
             for start in range(0, len(texts), batch):
                 chunk = texts.iloc[start : start + batch].tolist()
-                vectors.extend([float(x) for x in v] for v in model(chunk))
+                vectors.extend(np.asarray(model(chunk), dtype="float32"))
             yield pd.Series(vectors)
 
     return encode
@@ -76,7 +77,8 @@ def encode_phrase(df: DataFrame, phrase: str, encode: Encode) -> list[float]:
 
 def dataset_fingerprint(df: DataFrame, text: str = "clean_text") -> DataFrame:
     """One row that changes when the set of texts changes; row order does not matter."""
-    h = F.xxhash64(text)
+    # The first 60 bits of a digest that other engines have as well.
+    h = F.conv(F.substring(content_hash(F.coalesce(F.col(text), F.lit(""))), 1, 15), 16, 10).cast("bigint")
     return df.agg(
         F.count("*").alias("n_rows"),
         F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor_hash"),
@@ -84,12 +86,20 @@ def dataset_fingerprint(df: DataFrame, text: str = "clean_text") -> DataFrame:
     )
 
 
+def model_fingerprint(model: PipelineModel) -> str:
+    """A name for a fitted built-in encoder: other weights, another name."""
+    weights = model.stages[1].idf.toArray()
+    return "hashed-" + hashlib.sha256(weights.round(12).tobytes()).hexdigest()[:16]
+
+
 def _read_cache(df: DataFrame, path: str, model_id: str) -> DataFrame | None:
-    try:
-        cached = df.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None  # nothing cached yet
-    return cached.where(F.col("model_id") == model_id).select("content_hash", "embedding")
+    """The model's part of the cache; None if nothing is cached yet. Other faults of the store are not hidden."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    schema = "content_hash string, embedding array<float>, model_id string"
+    return spark.read.schema(schema).parquet(path).where(F.col("model_id") == model_id).select("content_hash", "embedding")
 
 
 def cached_vectors(
@@ -103,9 +113,11 @@ def cached_vectors(
     """Attach vectors, encoding each distinct text the cache does not hold, once.
 
     The cache is a parquet table keyed by the SHA-256 of the text and split by
-    model. A changed text has a new key, so nothing is ever stale; a missing
-    piece is simply encoded again. ``encode`` gets ``(row_id, clean_text,
-    tokens)`` of distinct texts and adds ``embedding``.
+    model. A changed text has a new key; a model fitted on other data must have
+    another ``model_id`` (``model_fingerprint`` for the built-in one), so nothing is
+    ever stale, and a missing piece is simply encoded again. Only the hashes asked for
+    leave the cache. ``encode`` gets ``(row_id, clean_text, tokens)`` of distinct texts and
+    adds ``embedding``.
     """
     keyed = df.withColumn("content_hash", content_hash(F.col(text)))
     # Hashes only: texts move just for rows that must be encoded.
@@ -130,6 +142,8 @@ def cached_vectors(
     written = _read_cache(df, path, model_id)
     if written is None:  # no rows at all
         return keyed.withColumn("embedding", F.lit(None).cast("array<float>"))
-    vectors = written.groupBy("content_hash").agg(F.first("embedding").alias("embedding"))
-    needed = contents.select("content_hash", "copies").join(vectors, "content_hash")
+    asked = contents.select("content_hash", "copies")
+    held = written.join(asked.select("content_hash"), "content_hash", "left_semi")
+    vectors = held.groupBy("content_hash").agg(F.min("embedding").alias("embedding"))
+    needed = asked.join(vectors, "content_hash")
     return join_on_content(keyed, needed, "content_hash", "copies", spread_by=row_id)

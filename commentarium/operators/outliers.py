@@ -16,7 +16,7 @@ from commentarium.functions.forest import MODEL_SCHEMA, Forest, grow_tree
 from commentarium.functions.keys import SEED
 from commentarium.functions.vectors import SCORE_DIGITS, distance, literal, mean_vector
 from commentarium.operators.quantiles import exact_quantile
-from commentarium.operators.storage import cut_lineage
+from commentarium.operators.storage import cut_lineage, staged_columns
 
 # Fixed values.
 MIN_CONTAMINATION = 0.01
@@ -29,9 +29,7 @@ ROWS_PER_TREE = 256
 
 def check_contamination(share: float) -> float:
     if not MIN_CONTAMINATION <= share <= MAX_CONTAMINATION:
-        raise ValueError(
-            f"Contamination must be between {MIN_CONTAMINATION} and {MAX_CONTAMINATION}. Got: {share}."
-        )
+        raise ValueError(f"{share} is no share of outliers to look for; allowed: {MIN_CONTAMINATION} to {MAX_CONTAMINATION}.")
     return share
 
 
@@ -78,30 +76,31 @@ def reduce_vectors(df: DataFrame, model: PipelineModel, vector: str = "embedding
 def _deal_rows(df: DataFrame, features: str, row_id: str, n: int, trees: int, per_tree: int, seed: int) -> DataFrame:
     """(tree, key, features): ``per_tree`` rows for each tree, without replacement.
 
-    Large n: the ``trees * per_tree`` rows with the lowest hash are dealt out, one
-    round per row per tree. A hash cut-off that keeps about twice as many rows
-    comes first, so that tasks do not each ship a full candidate list. Small n:
-    every tree draws from all rows by its own hash; that is at most
-    ``trees * trees * per_tree`` narrow rows.
+    Every tree draws from all rows, by the lowest hashes of (tree, row id). Hashes
+    beyond a cut-off that some twice ``per_tree`` rows pass cannot win, so only rows
+    that may win leave their task; should a tree be short of them, the draw is
+    done again without the cut-off, with the same winners.
     """
     rows = df.select(row_id, features)
-    pool = trees * per_tree
-    if n >= pool:
-        keyed = rows.withColumn("key", F.xxhash64(F.lit(seed), F.col(row_id)))
-        share = min(1.0, 2.0 * pool / n + 1e-6)
-        cutoff = int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else 2**63 - 1
-        candidates = keyed.where(F.col("key") <= F.lit(cutoff))
-        if share < 1.0 and candidates.count() < pool:
-            candidates = keyed
-        chosen = candidates.orderBy("key", row_id).limit(pool)
-        place = F.row_number().over(Window.orderBy("key", row_id))  # at most trees * per_tree rows
-        return chosen.withColumn("tree", F.pmod(place, F.lit(trees)).cast("int")).drop(row_id)
-    # Rank ids only; vectors are joined to the winners.
-    drawn = rows.select(row_id).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = drawn.withColumn("key", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id)))
+    share = min(1.0, (2.0 * per_tree + 64) / max(n, 1))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+
+    def drawn(cutoff: int) -> DataFrame:
+        keyed = F.transform(
+            numbers, lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(row_id)).alias("key"))
+        )
+        kept = F.filter(keyed, lambda d: d["key"] <= F.lit(cutoff))
+        return rows.select(row_id, F.explode(kept).alias("d")).select(row_id, "d.tree", "d.key")
+
+    candidates = cut_lineage(drawn(int(-(2**63) + share * (2**64 - 1)) if share < 1.0 else 2**63 - 1))
+    if share < 1.0:
+        held = candidates.groupBy("tree").count().agg(F.count("*").alias("trees"), F.min("count").alias("least")).first()
+        if held["trees"] < trees or held["least"] < per_tree:
+            candidates = drawn(2**63 - 1)
     order = Window.partitionBy("tree").orderBy("key", row_id)
-    drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_tree)
-    return drawn.join(rows, row_id).select("tree", "key", features)
+    winners = candidates.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_tree).drop("place")
+    # At most trees * per_tree narrow rows.
+    return rows.join(F.broadcast(winners), row_id).select("tree", "key", features)
 
 
 def grow_forest(
@@ -154,15 +153,17 @@ def flag_outliers(df: DataFrame, contamination: float = DEFAULT_CONTAMINATION, s
     """Add ``is_outlier``: scores strictly above the ``1 - contamination`` quantile.
 
     Scores are rounded to 9 digits first, so that ties do not hang on summation noise.
+    The quantile is that of the finite scores: a score that is not a number or infinite
+    (a vector with such parts) is an outlier itself and moves no other row's flag.
+    Rows without a score are not flagged.
     """
     check_contamination(contamination)
     rounded = df.withColumn(score, F.round(score, SCORE_DIGITS))
     # The quantile takes several passes: let them read eight bytes a row.
-    threshold = exact_quantile(cut_lineage(rounded.select(score)), score, 1.0 - contamination)
-    if threshold is None:
-        return rounded.withColumn("is_outlier", F.lit(False))
-    flag = F.coalesce(F.col(score) > F.lit(threshold), F.lit(False))
-    return rounded.withColumn("is_outlier", flag)
+    threshold = exact_quantile(staged_columns(rounded.select(score), "scores"), score, 1.0 - contamination)
+    limit = F.lit(float("inf") if threshold is None else threshold)
+    odd = F.isnan(score) | (F.abs(score) == float("inf"))
+    return rounded.withColumn("is_outlier", F.coalesce(odd | (F.col(score) > limit), F.lit(False)))
 
 
 def detect_outliers(
@@ -185,8 +186,11 @@ def detect_outliers(
     if reduction is None:
         return df.withColumn("outlier_score", F.lit(0.0)).withColumn("is_outlier", F.lit(False))
     reduced = reduce_vectors(df, reduction, vector)
+    # Reduced once and scored once: the deal, the scoring and the cut read what is written.
+    reduced = staged_columns(reduced, "reduced")
     model, sample_size = grow_forest(reduced, row_id=row_id)
-    return flag_outliers(forest_scores(reduced, model, sample_size), contamination)
+    scored = staged_columns(forest_scores(reduced, model, sample_size), "scored")
+    return flag_outliers(scored, contamination)
 
 
 def split_outliers(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:

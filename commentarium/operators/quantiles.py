@@ -43,11 +43,11 @@ def _order_statistic(values: DataFrame, rank: int, low: float, high: float, size
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """Quantile ``q`` with linear interpolation between neighbours; None when empty.
+    """Quantile ``q`` of the finite values, with linear interpolation between neighbours; None without any.
 
     Reads ``df`` a handful of times: persist it first.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.abs("v") < float("inf"))
     seen = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
     n = seen["n"]
     if n == 0:

@@ -36,6 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged_columns(df: DataFrame, name: str) -> DataFrame:
+    """Write the frame to the shared folder as Parquet: several passes then read just what they use."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df: DataFrame, key: str = "row_id", partitioned: bool = False) -> DataFrame:
     """Write a frame to the shared folder, bucketed by ``key``, and read it back.
 

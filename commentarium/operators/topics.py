@@ -9,15 +9,10 @@ map-side or a top-k with a map-side limit, never a gathered group.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,8 +23,7 @@ from commentarium.functions.vectors import SCORE_DIGITS, cosine, distance, liter
 from commentarium.operators.components import connected_components
 from commentarium.operators.joins import lookup_join
 from commentarium.operators.naming import GENERAL, SEPARATOR, topic_name
-from commentarium.operators.quantiles import exact_quantile
-from commentarium.operators.storage import cut_lineage
+from commentarium.operators.storage import cut_lineage, staged_columns
 from commentarium.operators.tokens import each
 
 # Fixed values.
@@ -42,10 +36,9 @@ DIVERSITY = 0.7
 MAX_TOPICS = 10  # follows from the minimum cluster size of a tenth
 CANDIDATES = 30
 MIN_WORD_CHARS = 2
-NOISE_QUANTILE = 0.95
-CHOICE_ROWS = 200_000
-ROWS_PER_TASK = 5_000
-SMALL_FIT_ROWS = 100_000
+NOISE_WIDTH = 3 * 1.4826  # three standard deviations, if distances were normal
+GAP_BINS = 4_096
+FIXED_POINT = float(1 << 24)
 TOPIC_KEYS = ("sentiment", "topic_id")
 
 # Decimal literals that put a whole-number id below another number.
@@ -80,45 +73,135 @@ def drop_small_clusters(df: DataFrame, min_rows: int, cluster: str = "cluster",
     return lookup_join(df, ranked, cluster, "left", small=True).withColumn(out, F.coalesce(out, F.lit(NOISE)).cast("int"))
 
 
-def _kmeans(k: int, seed: int, max_iter: int) -> KMeans:
-    return KMeans(k=k, featuresCol="_unit", predictionCol="cluster", seed=seed, maxIter=max_iter)
+def _unit_rows(batch) -> np.ndarray:
+    """The batch's vectors as rows of length one; zero vectors stay zero."""
+    column = batch.column("v")
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
 
 
-def _choose_k(points: DataFrame, n: int, row_id: str, max_topics: int, seed: int, max_iter: int) -> int | None:
-    """The k of best variance ratio (Calinski & Harabasz, 1974).
+def _whole(values: np.ndarray) -> np.ndarray:
+    """Fixed-point whole numbers: their sums do not hang on the order of rows."""
+    return np.round(values * FIXED_POINT).astype(np.int64)
 
-    It needs the fit's own cost and one total, no pass per k to judge a
-    clustering. Only this choice may look at a share of the rows: above
-    ``CHOICE_ROWS`` a hash cut-off keeps about that many, and the model itself is
-    then fitted on every row. Candidates are fitted side by side.
+
+def _draw_seeds(points: DataFrame, count: int, seed: int) -> np.ndarray:
+    """Up to ``count`` distinct points, each drawn in proportion to its squared distance from those before.
+
+    The draw of Arthur & Vassilvitskii (2007) as a race: the least
+    -ln(u) / distance wins, u being a hash of the row's id and the round. The first k
+    seeds serve every k, and no partitioning changes them.
     """
-    seen = points
-    if n > CHOICE_ROWS:
-        cutoff = int(-(2**63) + CHOICE_ROWS / n * (2**64 - 1))
-        seen = points.where(F.xxhash64(F.lit(seed), F.col(row_id)) <= F.lit(cutoff)).persist()
-    figures = seen.agg(
-        F.count("*").alias("n"),
-        Summarizer.mean(F.col("_unit")).alias("mean"),
-        F.sum(F.pow(norm(vector_to_array("_unit")), 2)).alias("squares"),
-    ).first()
+    chosen: list[list[float]] = []
+    for turn in range(count):
+        fixed = np.array(chosen)
+
+        def gaps(batches, fixed=fixed):
+            for batch in batches:
+                rows = _unit_rows(batch)
+                near = np.full(len(rows), 1.0)
+                if len(fixed):
+                    near = np.maximum(0.0, 2.0 - 2.0 * np.round(rows @ fixed.T, SCORE_DIGITS)).min(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), pa.array(near), pa.array(list(rows), pa.list_(pa.float64()))], ["key", "gap", "u"]
+                )
+
+        drawn = points.mapInArrow(gaps, "key bigint, gap double, u array<double>").where(F.col("gap") > 1e-6)
+        unit = (F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "key"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        best = drawn.select("key", "u", (-F.log(unit) / F.col("gap")).alias("race")).orderBy("race", "key").limit(1).collect()
+        if not best:
+            break
+        chosen.append(best[0]["u"])
+    return np.array(chosen)
+
+
+def _assign(rows: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """For every number of clusters the row's nearest centre; ties go to the lower one."""
+    return [np.round(rows @ c.T, SCORE_DIGITS).argmax(axis=1) for c in centres]
+
+
+def _cluster_sums(points: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, summed vectors) of every cluster, for all numbers of clusters in one pass.
+
+    A task sends one row per cluster and dimension.
+    """
+    width = centres[0].shape[1]
+
+    def add(batches):
+        held = [(np.zeros(len(c), dtype=np.int64), np.zeros((len(c), width), dtype=np.int64)) for c in centres]
+        for batch in batches:
+            rows = _unit_rows(batch)
+            whole = _whole(rows)
+            for (n, sums), at in zip(held, _assign(rows, centres), strict=True):
+                n += np.bincount(at, minlength=len(n))
+                np.add.at(sums, at, whole)
+        n = np.concatenate([h[0] for h in held])
+        flat = np.concatenate([h[1] for h in held])
+        table = np.concatenate([n[:, None], flat], axis=1)
+        cluster, d = np.divmod(np.arange(table.size), width + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(d), pa.array(table.ravel())], ["c", "d", "s"])
+
+    total = points.mapInArrow(add, "c bigint, d bigint, s bigint").groupBy("c", "d").agg(F.sum("s").alias("s"))
+    table = np.zeros((sum(len(c) for c in centres), width + 1), dtype=np.int64)
+    for r in total.collect():  # clusters times dimensions
+        table[r["c"], r["d"]] = r["s"]
+    ends = np.cumsum([len(c) for c in centres])[:-1]
+    return [(t[:, 0], t[:, 1:] / FIXED_POINT) for t in np.split(table, ends)]
+
+
+def _spread(n: np.ndarray, sums: np.ndarray) -> float:
+    """Summed squared distances of unit vectors from their clusters' means."""
+    return float((n - (sums * sums).sum(axis=1) / np.maximum(n, 1)).sum())
+
+
+def _best_centres(points: DataFrame, max_topics: int, seed: int, max_iter: int) -> np.ndarray | None:
+    """Centres of the number of clusters with the best variance ratio (Calinski & Harabasz, 1974), seen on all rows."""
+    seeds = _draw_seeds(points, max_topics, seed)
+    centres = [seeds[:k] for k in range(2, len(seeds) + 1)]
+    if not centres:
+        return None
+    for _ in range(max_iter):
+        moved = []
+        for c, (_, sums) in zip(centres, _cluster_sums(points, centres), strict=True):
+            length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+            moved.append(np.where(length > 0, np.round(sums / np.maximum(length, 1e-12), SCORE_DIGITS), c))
+        settled = all(np.array_equal(m, c) for m, c in zip(moved, centres, strict=True))
+        centres = moved
+        if settled:
+            break
+    found = []
+    for c, (n, sums) in zip(centres, _cluster_sums(points, centres), strict=True):
+        k, rows = len(c), int(n.sum())
+        if rows > k:
+            within = max(_spread(n, sums), 1e-9)
+            total = _spread(np.array([rows]), sums.sum(axis=0, keepdims=True))
+            found.append((round((total - within) / (k - 1) / (within / (rows - k)), SCORE_DIGITS), -k, c))
+    return max(found, key=lambda f: f[:2])[2] if found else None  # ties: fewer topics
+
+
+def _noise_bounds(placed: DataFrame, width: float) -> dict[int, float]:
+    """For every cluster the distance beyond which its rows are noise: median + ``width`` median deviations.
+
+    Both come from one histogram of the distances per cluster, so at most
+    ``GAP_BINS`` rows a cluster reach the driver.
+    """
+    bins = placed.groupBy("cluster", F.floor(F.col("gap") * (GAP_BINS / 2)).alias("bin")).agg(F.count("*").alias("n"))
+    by_cluster: dict[int, list[tuple[float, int]]] = {}
+    for r in bins.collect():
+        by_cluster.setdefault(r["cluster"], []).append(((r["bin"] + 0.5) * 2 / GAP_BINS, r["n"]))
+
+    def median(pairs: list[tuple[float, int]]) -> float:
+        pairs = sorted(pairs)
+        counts = np.cumsum([n for _, n in pairs])
+        return pairs[int(np.searchsorted(counts, (counts[-1] + 1) // 2))][0]
 
-    @inheritable_thread_target(points.sparkSession)
-    def ratio(k: int) -> tuple[float, int]:
-        within = max(_kmeans(k, seed, max_iter).fit(seen).summary.trainingCost, 1e-12)
-        between = total - within
-        return (between / (k - 1)) / (within / (rows - k)), -k  # ties: fewer topics
-
-    try:
-        rows = figures["n"]
-        if rows < 3:
-            return None
-        total = figures["squares"] - rows * float(figures["mean"].dot(figures["mean"]))
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            found = list(pool.map(ratio, range(2, min(max_topics, rows - 1) + 1)))
-    finally:
-        if seen is not points:
-            seen.unpersist()
-    return -max(found)[1]
+    bounds = {}
+    for cluster, pairs in by_cluster.items():
+        middle = median(pairs)
+        deviation = median([(abs(gap - middle), n) for gap, n in pairs])
+        bounds[cluster] = middle + width * max(deviation, 2 / GAP_BINS)
+    return bounds
 
 
 def cluster_kmeans(
@@ -126,42 +209,41 @@ def cluster_kmeans(
     features: str = "components",
     row_id: str = "row_id",
     max_topics: int = MAX_TOPICS,
-    noise_quantile: float = NOISE_QUANTILE,
+    noise_width: float = NOISE_WIDTH,
     seed: int = SEED,
     max_iter: int = 10,
 ) -> DataFrame:
-    """Add ``topic_id`` by spherical k-means, choosing k.
-
-    Rows beyond the ``noise_quantile`` of distance to their centre, and clusters
-    under the minimum size, are noise. Unit vectors are kept while the candidates are fitted.
+    """(row_id, topic_id) by spherical k-means, the number of topics chosen on all rows.
+
+    All numbers of topics are fitted side by side, one pass over the rows per
+    iteration. Seeds are drawn by hash and sums are of whole numbers, so neither
+    the number of rows nor their partitioning changes how an answer is found. Rows
+    farther from their centre than their cluster's median distance plus
+    ``noise_width`` median deviations are noise (there may be none), and so are
+    clusters under the minimum size.
     """
-    n = df.count()
-    unit = Normalizer(inputCol="_v", outputCol="_unit")
-    points = unit.transform(
-        df.select(row_id, array_to_vector(F.col(features).cast("array<double>")).alias("_v"))
-    ).select(row_id, "_unit")
-    # Few rows in many partitions would make every iteration mostly scheduling.
-    if n < SMALL_FIT_ROWS:
-        points = points.coalesce(1 + n // ROWS_PER_TASK)
-    points = points.persist()
-    try:
-        k = _choose_k(points, n, row_id, max_topics, seed, max_iter)
-        if k is None:
-            return df.withColumn("topic_id", F.lit(NOISE))
-        model = _kmeans(k, seed, max_iter).fit(points)
-        centres = [[float(x) for x in c] for c in model.clusterCenters()]  # k small vectors
-        placed = (
-            model.transform(points)
-            .withColumn("_gap", distance(vector_to_array("_unit"), F.get(literal(centres, "array<array<double>>"), F.col("cluster"))))
-            .select(row_id, "cluster", F.round("_gap", SCORE_DIGITS).alias("_gap"))
-        )
-        placed = cut_lineage(placed)
-        limit = exact_quantile(placed, "_gap", noise_quantile)
-    finally:
-        points.unpersist()
-    near = placed.withColumn("cluster", F.when(F.col("_gap") > F.lit(limit), NOISE).otherwise(F.col("cluster")))
-    topics = drop_small_clusters(near, min_cluster_rows(n)).select(row_id, "topic_id")
-    return df.join(topics, row_id)
+    points = staged_columns(
+        df.select(F.col(row_id), F.xxhash64(row_id).alias("key"), F.col(features).cast("array<double>").alias("v")), "points"
+    )
+    n = points.count()
+    centres = _best_centres(points, max_topics, seed, max_iter)
+    if centres is None:
+        return points.select(row_id, F.lit(NOISE).alias("topic_id"))
+
+    def place(batches):
+        for batch in batches:
+            rows = _unit_rows(batch)
+            near = np.round(rows @ centres.T, SCORE_DIGITS)
+            at = near.argmax(axis=1)
+            gap = np.round(np.sqrt(np.maximum(0.0, 2.0 - 2.0 * near[np.arange(len(at)), at])), SCORE_DIGITS)
+            yield pa.RecordBatch.from_arrays([batch.column(row_id), pa.array(at, pa.int32()), pa.array(gap)], [row_id, "cluster", "gap"])
+
+    kind = points.schema[row_id].dataType.simpleString()
+    placed = staged_columns(points.mapInArrow(place, f"{row_id} {kind}, cluster int, gap double"), "placed")
+    bounds = _noise_bounds(placed, noise_width)
+    limit = F.get(literal([bounds.get(c, 2.0) for c in range(len(centres))]), F.col("cluster"))
+    near = placed.withColumn("cluster", F.when(F.col("gap") > limit, NOISE).otherwise(F.col("cluster")))
+    return drop_small_clusters(near, min_cluster_rows(n)).select(row_id, "topic_id")
 
 
 def cluster_grid(

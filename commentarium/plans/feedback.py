@@ -44,9 +44,9 @@ class Feedback:
 
 
 def _cluster_side(side: str, vectors: DataFrame, labels: DataFrame) -> DataFrame:
-    members = labels.where(F.col("sentiment") == side).select("row_id", "sentiment")
+    members = labels.where(F.col("sentiment") == side).select("row_id")
     points = members.join(vectors.select("row_id", "components"), "row_id")
-    return topics.cluster_kmeans(points).select("row_id", "sentiment", "topic_id")
+    return topics.cluster_kmeans(points).withColumn("sentiment", F.lit(side)).select("row_id", "sentiment", "topic_id")
 
 
 def _name_topics(

@@ -46,7 +46,8 @@ def planted(spark, sizes, seed=1):
 
 
 def test_kmeans_finds_planted_clusters(spark):
-    done = tp.cluster_kmeans(planted(spark, [80, 60, 60])).cache()
+    df = planted(spark, [80, 60, 60])
+    done = df.join(tp.cluster_kmeans(df), "row_id").cache()
     assert done.count() == 200
     pairs = done.where("topic_id >= 0").groupBy("planted").agg(F.count_distinct("topic_id").alias("n")).collect()
     assert [r["n"] for r in pairs] == [1, 1, 1]
@@ -54,6 +55,21 @@ def test_kmeans_finds_planted_clusters(spark):
     assert done.where("topic_id = -1").count() <= 10
 
 
+def test_kmeans_does_not_hang_on_the_layout(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(
+        F.col("vec_id").alias("row_id"), F.col("embedding").alias("components")
+    )
+    found = [sorted(map(tuple, tp.cluster_kmeans(df.repartition(p)).collect())) for p in (1, 2, 8)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 500
+
+
+def test_kmeans_edges(spark):
+    schema = "row_id bigint, components array<double>"
+    assert tp.cluster_kmeans(spark.createDataFrame([], schema)).count() == 0
+    same = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(30)], schema)
+    assert {r["topic_id"] for r in tp.cluster_kmeans(same).collect()} == {-1}
+
+
 def test_grid_finds_blobs_and_drops_small_ones(spark):
     rng = np.random.default_rng(2)
     rows = []
