@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,8 @@ from commentarium.llm.common import bounded_batches
 
 CACHE_WORDS = 400_000
 REPLAY_WORDS = 20_000  # words replayed together
+_SHIFT = 24  # a pair of tokens as one number
+_GAP, _GONE = (1 << 22) + 1, -1  # no token: between words; merged into its left neighbour
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,94 +39,117 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of the token that two tokens make, for every pair that makes one; see ``_pair``."""
+    found = {}
+    for token, rank in ranks.items():
+        for at in range(1, len(token)):
+            left, right = ranks.get(token[:at]), ranks.get(token[at:])
+            if left is not None and right is not None:
+                found[left << _SHIFT | right] = rank
+    return found
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] | None = None) -> list[list[int]]:
     """Token ids of every word: all merges in rank order, as a tokenizer with these ranks does one by one.
 
-    A word that is itself a token is that token. Within a word the lowest rank goes
-    first and of equal ranks the leftmost. Should a merge create a pair of lower
-    rank than its own (vocabularies need not be closed under their merges), that
-    word is finished on its own, in the same order.
+    ``pairs`` is ``pair_ranks(ranks)``. A word that is itself a token is that token.
+    Within a word the lowest rank goes first and of equal ranks the leftmost. Should a
+    merge create a pair of no higher rank than its own (vocabularies need not
+    be closed under their merges), that word is finished on its own, in the same
+    order.
     """
+    pairs = pair_ranks(ranks) if pairs is None else pairs
+    rank_of = pairs.get
+    bytes_ids = [ranks.get(bytes([i]), -1) for i in range(256)]
     done: list[list[int] | None] = [[ranks[w]] if w in ranks else None for w in words]
-    tokens: list[bytes | None] = []
-    word_of: list[int] = []
-    follows: list[int] = []
-    leads: list[int] = []
-    index: dict[int, list[int]] = {}  # rank of the merged pair -> positions of its left parts
-    rank_of = ranks.get
-    starts = {}
+    # The corpus: tokens of all words one after another, linked within each word.
+    tokens: list[int] = []
+    starts: list[tuple[int, int]] = []
     for w, word in enumerate(words):
-        if done[w] is not None or not word:
-            continue
-        starts[w] = base = len(tokens)
-        size = len(word)
-        tokens += [word[i : i + 1] for i in range(size)]
-        word_of += [w] * size
-        leads += [-1, *range(base, base + size - 1)]
-        follows += [*range(base + 1, base + size), -1]
-        for i in range(size - 1):
-            r = rank_of(word[i : i + 2])
-            if r is not None:
-                index.setdefault(r, []).append(base + i)
+        if done[w] is None:
+            starts.append((w, len(tokens)))
+            tokens += [bytes_ids[b] for b in word]
+            tokens.append(_GAP)
+    follows = list(range(1, len(tokens) + 1))
+    leads = list(range(-1, len(tokens) - 1))
+    index: dict[int, list[int]] = {}  # rank of a pair -> positions of its left tokens
+    for at in range(len(tokens) - 1):
+        r = rank_of(tokens[at] << _SHIFT | tokens[at + 1])
+        if r is not None:
+            if r in index:
+                index[r].append(at)
+            else:
+                index[r] = [at]
     heap = list(index)
     heapq.heapify(heap)
-    alone = set()
+    early: list[int] = []  # positions in words that must be finished on their own
     while heap:
         rank = heapq.heappop(heap)
-        for at in sorted(index.pop(rank)):
-            left = tokens[at]
+        places = index.pop(rank)
+        places.sort()
+        for at in places:
             after = follows[at]
-            if left is None or after < 0 or word_of[at] in alone:
-                continue
-            merged = left + tokens[after]
-            if rank_of(merged) != rank:
+            if rank_of(tokens[at] << _SHIFT | tokens[after]) != rank:
                 continue  # a neighbour has changed since
-            tokens[at], tokens[after] = merged, None
-            beyond = follows[at] = follows[after]
+            tokens[at], tokens[after] = rank, _GONE
+            beyond = follows[after]
+            follows[at], leads[beyond] = beyond, at
+            r = rank_of(rank << _SHIFT | tokens[beyond])
+            if r is not None:
+                if r <= rank:
+                    early.append(at)
+                elif r in index:
+                    index[r].append(at)
+                else:
+                    index[r] = [at]
+                    heapq.heappush(heap, r)
             before = leads[at]
-            if beyond >= 0:
-                leads[beyond] = at
-                r = rank_of(merged + tokens[beyond])
-                if r is not None:
-                    if r <= rank:
-                        alone.add(word_of[at])
-                    elif r in index:
-                        index[r].append(at)
-                    else:
-                        index[r] = [at]
-                        heapq.heappush(heap, r)
             if before >= 0:
-                r = rank_of(tokens[before] + merged)
+                r = rank_of(tokens[before] << _SHIFT | rank)
                 if r is not None:
                     if r <= rank:
-                        alone.add(word_of[at])
+                        early.append(at)
                     elif r in index:
                         index[r].append(before)
                     else:
                         index[r] = [before]
                         heapq.heappush(heap, r)
-    for w, base in starts.items():
-        parts, at = [], base
-        while at >= 0:
-            parts.append(tokens[at])
-            at = follows[at]
-        if w in alone:
-            parts = _finish(parts, rank_of)
-        done[w] = [ranks[p] for p in parts]
-    return [d if d is not None else [] for d in done]
-
-
-def _finish(parts: list[bytes], rank_of) -> list[bytes]:
-    """The rest of one word's merges, lowest rank first."""
+    alone = set()
+    if early:
+        bases = [base for _, base in starts]
+        alone = {bisect_right(bases, at) - 1 for at in early}
+    ends = [base for _, base in starts[1:]] + [len(tokens)] * bool(starts)
+    for k, ((w, base), end) in enumerate(zip(starts, ends, strict=True)):
+        if k in alone:
+            done[w] = _finish([bytes_ids[b] for b in words[w]], rank_of)
+        else:
+            done[w] = [t for t in tokens[base : end - 1] if t >= 0]
+    return done
+
+
+def _finish(parts: list[int], rank_of) -> list[int]:
+    """One word's merges, lowest rank first."""
     while len(parts) > 1:
-        options = [(r, i) for i in range(len(parts) - 1) if (r := rank_of(parts[i] + parts[i + 1])) is not None]
+        options = [(r, i) for i in range(len(parts) - 1) if (r := rank_of(parts[i] << _SHIFT | parts[i + 1])) is not None]
         if not options:
             break
-        _, i = min(options)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        rank, i = min(options)
+        parts[i : i + 2] = [rank]
     return parts
 
 
+class _Known(dict):
+    """Ids of remembered words; those that found no room are in ``extra`` for a while."""
+
+    def __init__(self):
+        super().__init__()
+        self.extra: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+
 class Encoder:
     """Encodes texts with a bounded memory of words; one per worker process, kept from task to task."""
 
@@ -132,7 +158,8 @@ class Encoder:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.pairs = pair_ranks(self.ranks)
+        self.known = _Known()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as native 32-bit numbers."""
@@ -150,13 +177,15 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
         missing = list({w for words in split for w in words}.difference(self.known))
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known.clear()
-            missing = list({w for words in split for w in words})
+        found: dict[str, bytes] = {}
         for at in range(0, len(missing), REPLAY_WORDS):
             part = missing[at : at + REPLAY_WORDS]
-            ids = replay([w.encode("utf-8") for w in part], self.ranks)
-            self.known.update((w, array("i", i).tobytes()) for w, i in zip(part, ids, strict=True))
+            ids = replay([w.encode("utf-8") for w in part], self.ranks, self.pairs)
+            found.update((w, array("i", i).tobytes()) for w, i in zip(part, ids, strict=True))
+        # Common words come early and stay; a word without room is replayed when it comes again.
+        if len(self.known) + len(found) <= CACHE_WORDS:
+            self.known.update(found)
+        self.known.extra = found
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

@@ -115,10 +115,11 @@ def token_counts(
             for chunk in chunks(texts):
                 split = [t.split() for t in chunk]
                 missing = list({w for words in split for w in words}.difference(tiers, tiers.cache))
-                if len(tiers.cache) + len(missing) > CACHE_ENTRIES:
-                    tiers.cache.clear()
-                    missing = list({w for words in split for w in words}.difference(tiers))
-                tiers.cache.update(zip(missing, _lengths(tokenizer, missing), strict=True))
+                found = dict(zip(missing, _lengths(tokenizer, missing), strict=True))
+                # Common words come early and stay; a word without room is encoded when it comes again.
+                if len(tiers.cache) + len(found) <= CACHE_ENTRIES:
+                    tiers.cache.update(found)
+                tiers.extra = found
                 totals += [sum(map(tiers.__getitem__, words)) for words in split]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(totals, pa.int64())],
@@ -130,11 +131,13 @@ def token_counts(
 
 
 class _Tiers(dict):
-    """The broadcast table first, then the worker's cache."""
+    """The broadcast table first, then the worker's cache, then what found no room in it for a while."""
 
     def __init__(self, table):
         super().__init__(table)
         self.cache: dict[bytes, int] = {}
+        self.extra: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        return self.cache[word]
+        count = self.cache.get(word)
+        return self.extra[word] if count is None else count
