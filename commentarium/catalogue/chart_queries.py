@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from commentarium.catalogue import inputs as i
 from commentarium.operators import charts as ch
+from commentarium.operators.storage import scratch_path, staged_columns
+from commentarium.sources.sinks import write_run
 
 POINTS = 300  # below the row count of every scale, so that sampling happens
 
@@ -71,8 +73,10 @@ def _grams(n):
 
 
 def no_grams(spark, sf_dir):
-    """Nothing is both in two rows and in at most none: the empty chart."""
-    return ch.ngram_counts(i.prepared(spark, sf_dir), 1, max_doc_share=0.0)
+    """Nothing is both in two rows and in none: no grams, beside what the usual share gives."""
+    rows = staged_columns(i.prepared(spark, sf_dir), "prepared")
+    counts = [ch.ngram_counts(rows, 1, max_doc_share=s).agg(F.lit(s).alias("max_doc_share"), F.count("*").alias("n_grams")) for s in (0.0, 0.9)]
+    return counts[0].unionByName(counts[1])
 
 
 def clouds(spark, sf_dir):
@@ -96,6 +100,19 @@ def _sql_grams(n):
     )
 
 
+def chart_tables(spark, sf_dir):
+    """Word weights of three parts, written with a run's points and one-word counts, and read back."""
+    rows = i.with_given_topics(spark, sf_dir).withColumn("is_outlier", F.length("clean_text") % 10 == 0)
+    rows = staged_columns(rows.withColumn("part", ch.part_of()), "parted")
+    base = write_run(
+        {"weights": ch.word_weights(rows), "grams": ch.ngram_counts(rows.where("is_outlier"), 1), "points": rows.select("row_id", "part")},
+        scratch_path(spark, "charts"), "charts",
+    )
+    points = spark.read.parquet(f"{base}/points").groupBy("part").agg(F.count("*").alias("n_points"))
+    weights = spark.read.parquet(f"{base}/weights").select("part", "token", "n", F.round("weight", 6).alias("weight"), "place")
+    return weights.join(F.broadcast(points), "part")  # three parts
+
+
 _REPS = """firsts AS (SELECT min(row_id) AS row_id FROM given GROUP BY source),
 marked AS (SELECT g.*, f.row_id IS NOT NULL AS representative_doc FROM given g LEFT JOIN firsts f USING (row_id))"""
 _KEY = "md5(row_id || '|42')"
@@ -164,7 +181,25 @@ QUERIES = {
     "viz08_unigrams": (_grams(1), _sql_grams(1)),
     "viz08_bigrams": (_grams(2), _sql_grams(2)),
     "viz08_trigrams": (_grams(3), _sql_grams(3)),
-    "viz09_no_ngrams": (no_grams, "SELECT text AS gram, 0 AS n_total, 0 AS n_docs FROM documents WHERE false"),
+    "viz09_no_ngrams": (
+        no_grams,
+        f"SELECT 0.0::DOUBLE AS max_doc_share, 0 AS n_grams UNION ALL SELECT 0.9::DOUBLE, count(*) FROM ({_sql_grams(1)})",
+    ),
+    "src10_chart_tables": (
+        chart_tables,
+        i.with_ctes(
+            *i.GIVEN_TOPICS, i.STOPS,
+            """parted AS (SELECT *, CASE WHEN length(clean_text) % 10 = 0 THEN 'outliers' WHEN sentiment = 'pos' THEN 'positive'
+              ELSE 'negative' END AS part FROM given)""",
+            "w AS (SELECT part, lang, lower(unnest(tokens)) AS token FROM parted)",
+            """n AS (SELECT part, token, count(*) AS n FROM w WHERE length(token) >= 2 AND NOT EXISTS
+              (SELECT 1 FROM stops s WHERE s.lang = w.lang AND s.token = w.token) GROUP BY ALL)""",
+            "r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, token) AS place FROM n)",
+            "p AS (SELECT part, count(*) AS n_points FROM parted GROUP BY part)",
+            select="""SELECT part, token, n, round(n / max(n) OVER (PARTITION BY part), 6) AS weight, place, n_points
+              FROM r JOIN p USING (part) QUALIFY place <= 200""",
+        ),
+    ),
     "viz10_word_weights": (
         clouds,
         i.with_ctes(

@@ -80,10 +80,20 @@ def _quality_model(spark, sf_dir, rows):
 
 
 def model_predictions(spark, sf_dir):
-    """A classifier fitted on the labelled comments, applied to all of them."""
+    """A classifier fitted on the labelled comments, applied to all; every label follows from its probabilities."""
     rows = i.prepared(spark, sf_dir)
     scored = st.classify(rows, _quality_model(spark, sf_dir, rows))
-    return st.resolve_probabilities(scored, text="clean_text").selectExpr(*_CONTRACT)
+    done = st.resolve_probabilities(scored.withColumn("p", F.col("probabilities")), text="clean_text")
+    blank = st.is_blank(F.col("clean_text"))
+    side = F.when(~blank & (F.col("p.p_pos") >= F.col("p.p_neg")), "pos").otherwise("neg")
+    polarity = F.when(blank, 0.0).otherwise(F.col("p.p_pos") - F.col("p.p_neg"))
+    return done.select(
+        "row_id",
+        blank.alias("is_blank"),
+        (F.abs(F.col("p.p_pos") + F.col("p.p_neg") + F.col("p.p_neu") - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("sentiment") == side).alias("side_follows"),
+        (F.abs(F.col("polarity") - polarity) < 1e-9).alias("polarity_follows"),
+    )
 
 
 def plugin_predictions(spark, sf_dir):
@@ -109,7 +119,13 @@ def mixed_routes(spark, sf_dir):
     rows = i.prepared(spark, sf_dir)
     model = _quality_model(spark, sf_dir, rows)
     done = st.analyse_sentiment(rows, i.lexicon(rows), predict=lambda df: st.classify(df, model))
-    return st.sentiment_summary(done, "lang").select("lang", "n_pos", "n_neg", "n_rows")
+    english = F.col("lang") == "en"
+    return done.select(
+        "row_id",
+        F.when(english, F.col("sentiment")).otherwise("by model").alias("sentiment"),
+        F.when(english, F.round("polarity", 6)).alias("polarity"),
+        (F.col("sentiment").isin("pos", "neg") & F.col("polarity").between(-1, 1)).alias("in_range"),
+    )
 
 
 def summary(spark, sf_dir):
@@ -157,7 +173,14 @@ QUERIES = {
     "sen05_blank_rows": (
         blank_rows, i.with_ctes(*i.SENTIMENT, select=f"SELECT {_SQL_CONTRACT} FROM sent WHERE trim(clean_text) = ''")
     ),
-    "sen06_classifier": (model_predictions, None),
+    "sen06_classifier": (
+        model_predictions,
+        i.with_ctes(
+            *i.PREPARED,
+            select="""SELECT row_id, trim(clean_text) = '' AS is_blank, true AS sums_to_one, true AS side_follows,
+              true AS polarity_follows FROM prep""",
+        ),
+    ),
     "sen06_plugin": (
         plugin_predictions,
         i.with_ctes(
@@ -198,5 +221,12 @@ QUERIES = {
               FROM (VALUES ('pos'), ('neg')) s(sentiment) LEFT JOIN sent USING (sentiment) GROUP BY s.sentiment""",
         ),
     ),
-    "sen12_mixed_routes": (mixed_routes, None),
+    "sen12_mixed_routes": (
+        mixed_routes,
+        i.with_ctes(
+            *i.SENTIMENT,
+            select="""SELECT row_id, CASE WHEN lang = 'en' THEN sentiment ELSE 'by model' END AS sentiment,
+              CASE WHEN lang = 'en' THEN round(polarity, 6) END AS polarity, true AS in_range FROM sent""",
+        ),
+    ),
 }

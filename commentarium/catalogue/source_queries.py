@@ -41,6 +41,16 @@ def mixed_encodings(spark, sf_dir):
     return loaded.select(F.col("row_id").cast("bigint").alias("row_id"), "raw_text")
 
 
+def mixed_column_orders(spark, sf_dir):
+    """Files of two column orders, one of them without the source column, read together."""
+    rows = _csv_rows(spark, sf_dir)
+    one, two = scratch_path(spark, "order-a"), scratch_path(spark, "order-b")
+    _write_csv(rows.where("lang <> 'en'"), one)
+    _write_csv(rows.where("lang = 'en'").select("lang", "comment", "row_id"), two)
+    loaded = cm.standardise(cm.read_csv(spark, [one, two]), "comment", key="row_id")
+    return loaded.select(F.col("row_id").cast("bigint").alias("row_id"), "raw_text", "lang", "source")
+
+
 def missing_texts(spark, sf_dir):
     """Unlabelled rows have no text, low-quality rows hold one of the missing marks."""
     labels = i.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), "quality", "toxic")
@@ -106,6 +116,10 @@ QUERIES = {
         r"""SELECT doc_id AS row_id, CASE WHEN lang IN ('fr', 'de') THEN regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') ELSE text END AS raw_text
           FROM documents""",
     ),
+    "src02_mixed_column_orders": (
+        mixed_column_orders,
+        """SELECT doc_id AS row_id, text AS raw_text, lang, CASE WHEN lang <> 'en' THEN source END AS source FROM documents""",
+    ),
     "src03_missing_texts": (
         missing_texts,
         """SELECT d.doc_id AS row_id, d.text AS raw_text FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic <> 1""",

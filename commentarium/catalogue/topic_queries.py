@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from commentarium.catalogue import inputs as i
 from commentarium.functions.dictionaries import TOPIC_NAMES, is_stopword
-from commentarium.operators import outliers
+from commentarium.operators import embed, outliers
 from commentarium.operators import sentiment as st
 from commentarium.operators import topics as tp
+from commentarium.operators.storage import staged_columns
 from commentarium.operators.tokens import each
 
 KEY = ("topic_id",)
-SIMILAR = 0.9
+SIMILAR = tp.MERGE_SIMILARITY
 
 
 def _counts(spark, sf_dir):
@@ -69,28 +70,50 @@ def grid_clusters(spark, sf_dir):
 
 
 def projection(spark, sf_dir):
+    """Two components of every vector: centred, unrelated, the first one wider."""
     rows = i.vectors(spark, sf_dir)
     reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows, components=2))
-    c = F.col("components")
-    return reduced.select("row_id", F.round(F.get(c, F.lit(0)), 6).alias("x"), F.round(F.get(c, F.lit(1)), 6).alias("y"))
+    x, y = F.get("components", F.lit(0)), F.get("components", F.lit(1))
+    return reduced.agg(
+        F.count("*").alias("n_rows"),
+        F.abs(F.round(F.avg(x), 6)).alias("mean_x"),
+        F.abs(F.round(F.avg(y), 6)).alias("mean_y"),
+        F.abs(F.round(F.corr(x, y), 6)).alias("correlation"),
+        (F.var_samp(x) >= F.var_samp(y)).alias("first_is_wider"),
+    )
 
 
 def kmeans_clusters(spark, sf_dir):
-    rows = i.vectors(spark, sf_dir).drop("topic_id").persist()
-    reduced = outliers.reduce_vectors(rows, outliers.fit_reduction(rows)).persist()
-    return tp.cluster_kmeans(reduced).groupBy("topic_id").agg(F.count("*").alias("n_rows"))
+    """Four directions planted by the label, the vectors as spread: each is one topic, and few rows are noise."""
+    rows = i.vectors(spark, sf_dir).withColumn("planted", F.col("topic_id") % 4)
+    pull = F.transform("embedding", lambda x, k: x.cast("double") + F.when(k == F.col("planted"), 8.0).otherwise(0.0))
+    rows = rows.select("row_id", "planted", pull.alias("components"))
+    done = rows.join(tp.cluster_kmeans(rows), "row_id")
+    clear = F.col("topic_id") != tp.NOISE
+    return done.groupBy("planted").agg(
+        F.count("*").alias("n_rows"),
+        F.count_distinct(F.when(clear, F.col("topic_id"))).alias("n_topics"),
+        (F.count_if(~clear) <= 0.1 * F.count("*")).alias("mostly_kept"),
+    )
 
 
 def diverse_words(spark, sf_dir):
-    rows = i.with_given_topics(spark, sf_dir).join(i.vectors(spark, sf_dir).drop("topic_id"), "row_id")
-    weights = tp.topic_word_weights(tp.topic_token_counts(rows))
-    return tp.diversify_words(tp.top_words(weights, tp.CANDIDATES), rows).select("sentiment", "topic_id", "place", "token")
+    """Ten of each topic's thirty best words, by the texts' own vectors: distinct, of the candidates, placed from 1."""
+    rows = i.with_given_topics(spark, sf_dir)
+    model = embed.fit_hashed_encoder(rows)
+    rows = staged_columns(embed.hashed_vectors(rows, model), "coded")
+    candidates = staged_columns(tp.top_words(tp.topic_word_weights(tp.topic_token_counts(rows)), tp.CANDIDATES), "candidates")
+    chosen = tp.diversify_words(candidates, rows)
+    known = candidates.select("sentiment", "topic_id", "token", F.lit(True).alias("known"))
+    return chosen.join(known, ["sentiment", "topic_id", "token"], "left").groupBy("sentiment", "topic_id").agg(
+        F.count_distinct("token").alias("n_words"), F.max("place").cast("bigint").alias("last_place"), F.count("known").alias("n_known")
+    )
 
 
 def merged_topics(spark, sf_dir):
     rows = i.with_given_topics(spark, sf_dir)
     weights = tp.topic_word_weights(tp.topic_token_counts(rows))
-    return tp.merge_map(weights, tp.topic_sizes(rows), SIMILAR)
+    return tp.merge_map(weights, tp.topic_sizes(rows))
 
 
 def similarities(spark, sf_dir):
@@ -205,7 +228,10 @@ QUERIES = {
               FROM (VALUES ('pos'), ('neg')) s(sentiment) LEFT JOIN sent USING (sentiment) GROUP BY s.sentiment""",
         ),
     ),
-    "top02_projection": (projection, None),
+    "top02_projection": (
+        projection,
+        "SELECT count(*) AS n_rows, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS correlation, true AS first_is_wider FROM embeddings",
+    ),
     "top03_grid_clusters": (
         grid_clusters,
         i.with_ctes(
@@ -214,12 +240,21 @@ QUERIES = {
             recursive=True,
         ),
     ),
-    "top03_kmeans_clusters": (kmeans_clusters, None),
+    "top03_kmeans_clusters": (
+        kmeans_clusters, "SELECT label % 4 AS planted, count(*) AS n_rows, 1 AS n_topics, true AS mostly_kept FROM embeddings GROUP BY 1"
+    ),
     "top04_word_weights": (
         word_weights,
         i.with_ctes(*WEIGHTED, select="SELECT sentiment, topic_id, token, tf, round(weight, 9) AS weight FROM weights"),
     ),
-    "top05_diverse_words": (diverse_words, None),
+    "top05_diverse_words": (
+        diverse_words,
+        i.with_ctes(
+            *WEIGHTED,
+            select="""SELECT sentiment, topic_id, least(10, count(*)) AS n_words, least(10, count(*)) AS last_place,
+              least(10, count(*)) AS n_known FROM weights GROUP BY ALL""",
+        ),
+    ),
     "top06_similarities": (
         similarities, i.with_ctes(*WEIGHTED, SIMS, select="SELECT sentiment, a, b, round(similarity, 6) AS similarity FROM sims")
     ),

@@ -157,7 +157,7 @@ def language(code: str) -> Language:
         if entry.code == code:
             return entry
     raise ValueError(
-        f"Unsupported language code: '{code}'. Supported codes: {', '.join(sorted(LANGUAGE_CODES))}."
+        f"No language is registered as {code!r}; registered are {', '.join(sorted(LANGUAGE_CODES))}."
     )
 
 

@@ -156,6 +156,11 @@ def ngram_counts(
 # --- Word weights ------------------------------------------------------------------
 
 
+def part_of(is_outlier: str = "is_outlier", side: str = "sentiment") -> Column:
+    """The part of the data a row's words are weighed in: outliers, positive or negative."""
+    return F.when(F.col(is_outlier), "outliers").when(F.col(side) == "pos", "positive").otherwise("negative")
+
+
 def word_weights(
     df: DataFrame,
     part: str = "part",

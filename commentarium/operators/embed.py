@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from commentarium.functions.keys import content_hash
 from commentarium.functions.text import clean, split_tokens
 from commentarium.operators.joins import join_on_content
-from commentarium.operators.storage import cut_lineage
+from commentarium.operators.storage import cut_lineage, path_exists
 
 VECTOR_WIDTH = 384  # fixed value
 ENCODE_BATCH = 32  # fixed value
@@ -95,8 +95,7 @@ def model_fingerprint(model: PipelineModel) -> str:
 def _read_cache(df: DataFrame, path: str, model_id: str) -> DataFrame | None:
     """The model's part of the cache; None if nothing is cached yet. Other faults of the store are not hidden."""
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not path_exists(spark, path):
         return None
     schema = "content_hash string, embedding array<float>, model_id string"
     return spark.read.schema(schema).parquet(path).where(F.col("model_id") == model_id).select("content_hash", "embedding")

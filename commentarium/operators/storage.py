@@ -25,9 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_paths: list[str] = []
+_tables: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _hadoop(spark, path)
+    return files.exists(folder)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop the tables and files that this process has staged; frames that read them are of no use then."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    while _paths:
+        files, folder = _hadoop(spark, _paths.pop())
+        files.delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -62,6 +86,7 @@ def stage(df: DataFrame, key: str = "row_id", partitioned: bool = False) -> Data
         .option("path", scratch_path(spark, name))
         .saveAsTable(name)
     )
+    _tables.append(name)
     return spark.table(name)
 
 

@@ -21,7 +21,7 @@ from commentarium.functions.dictionaries import is_stopword
 from commentarium.functions.keys import SEED
 from commentarium.functions.vectors import SCORE_DIGITS, cosine, distance, literal, mean_vector, norm
 from commentarium.operators.components import connected_components
-from commentarium.operators.joins import lookup_join
+from commentarium.operators.joins import lookup_join, small_table
 from commentarium.operators.naming import GENERAL, SEPARATOR, topic_name
 from commentarium.operators.storage import cut_lineage, staged_columns
 from commentarium.operators.tokens import each
@@ -33,8 +33,11 @@ FALLBACK_KEYWORDS = 20
 FALLBACK_LABEL = "word_frequency_fallback"
 DIVERSITY = 0.7
 
+MERGE_SIMILARITY = 0.9
+
 MAX_TOPICS = 10  # follows from the minimum cluster size of a tenth
 CANDIDATES = 30
+MAX_WANTED_WORDS = 10_000
 MIN_WORD_CHARS = 2
 NOISE_WIDTH = 3 * 1.4826  # three standard deviations, if distances were normal
 GAP_BINS = 4_096
@@ -389,10 +392,15 @@ def diversify_words(
     keys = list(keys)
     listed = candidates.where(F.col("place") <= CANDIDATES)
     wanted = listed.select("token").distinct()
-    held = each(rows, F.array_distinct(F.transform(tokens, lambda t: F.lower(t))), "token", vector)
-    vectors = lookup_join(held, wanted, "token", "inner", spread_by="token", small=True).groupBy("token").agg(
-        mean_vector(F.col(vector)).alias("v")
-    )
+    lowered = F.transform(tokens, lambda t: F.lower(t))
+    local = small_table(wanted, MAX_WANTED_WORDS)
+    if local is not None:  # ten topics a side have a few hundred words: tokens that are not wanted never leave their row
+        words = F.lit([r["token"] for r in local.collect()]).cast("array<string>")
+        held = each(rows, F.array_intersect(lowered, words), "token", vector)
+    else:
+        held = each(rows, F.array_distinct(lowered), "token", vector)
+        held = lookup_join(held, wanted, "token", "inner", spread_by="token")
+    vectors = held.where(F.col("token").isNotNull()).groupBy("token").agg(mean_vector(F.col(vector)).alias("v"))
     pool = listed.join(vectors, "token").select(*keys, "token", "weight", "place", "v")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
@@ -447,7 +455,7 @@ def topic_similarities(weights: DataFrame, keys: Sequence[str] = TOPIC_KEYS) ->
 
 
 def merge_map(
-    weights: DataFrame, sizes: DataFrame, threshold: float = 0.5, keys: Sequence[str] = TOPIC_KEYS
+    weights: DataFrame, sizes: DataFrame, threshold: float = MERGE_SIMILARITY, keys: Sequence[str] = TOPIC_KEYS
 ) -> DataFrame:
     """(keys, merged_id): topics linked by similarity >= threshold become one.
 

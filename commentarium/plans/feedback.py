@@ -3,44 +3,109 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, fields
-from functools import reduce
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentarium.operators import charts, embed, outliers, search, sentiment, summary, topics
 from commentarium.operators.preprocess import preprocess
-from commentarium.operators.storage import cut_lineage, stage
+from commentarium.operators.storage import clear_scratch, cut_lineage, stage
 from commentarium.sources.languages import require_supported
 from commentarium.sources.sinks import write_run
 
 
 @dataclass(frozen=True)
 class Feedback:
-    """Result tables. ``rows`` are the clean comments, ``outliers`` the rest."""
+    """The staged results: ``rows`` are the clean comments, ``outliers`` the rest.
+
+    Every other table is derived when it is first asked for, and once.
+    """
 
     rows: DataFrame
     outliers: DataFrame
     topics: DataFrame
-    top_texts: DataFrame
-    similarity: DataFrame
-    kpi: DataFrame
-    kpi_by_language: DataFrame
-    breakdown: DataFrame
-    headlines: DataFrame
-    cards: DataFrame
-    topic_points: DataFrame
-    concept_points: DataFrame
-    concept_scale: DataFrame
-    word_weights: DataFrame
-    unigrams: DataFrame
-    bigrams: DataFrame
-    trigrams: DataFrame
+
+    @cached_property
+    def _everything(self) -> DataFrame:
+        return self.rows.withColumn("is_outlier", F.lit(False)).unionByName(
+            self.outliers.withColumn("is_outlier", F.lit(True)), allowMissingColumns=True
+        )
+
+    @cached_property
+    def _n_outliers(self) -> int:
+        return self.outliers.count()
+
+    @cached_property
+    def top_texts(self) -> DataFrame:
+        return search.top_similar_texts(self.rows)
+
+    @cached_property
+    def similarity(self) -> DataFrame:
+        return search.similarity_spread(self.rows)
+
+    @cached_property
+    def kpi_by_language(self) -> DataFrame:
+        return summary.kpis(self._everything, "lang")
+
+    @cached_property
+    def kpi(self) -> DataFrame:
+        return summary.kpis(self._everything)
+
+    @cached_property
+    def breakdown(self) -> DataFrame:
+        return summary.breakdown(self.kpi)
+
+    @cached_property
+    def headlines(self) -> DataFrame:
+        return summary.headline_topics(self.topics)
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return summary.topic_cards(self.rows)
+
+    @cached_property
+    def topic_points(self) -> DataFrame:
+        return charts.scatter_points(self.rows)
+
+    @cached_property
+    def concept_points(self) -> DataFrame:
+        sampled = charts.sample_points(self.rows.where(F.col("x").isNotNull()))
+        return sampled.select("row_id", "x", "y", "concept_similarity", "sentiment", "clean_text")
+
+    @cached_property
+    def concept_scale(self) -> DataFrame:
+        return charts.colour_scale(self.concept_points)
+
+    @cached_property
+    def word_weights(self) -> DataFrame:
+        return charts.word_weights(self._everything.withColumn("part", charts.part_of("is_outlier", "sentiment")))
+
+    @cached_property
+    def unigrams(self) -> DataFrame:
+        return charts.ngram_counts(self.outliers, 1, n_rows=self._n_outliers)
+
+    @cached_property
+    def bigrams(self) -> DataFrame:
+        return charts.ngram_counts(self.outliers, 2, n_rows=self._n_outliers)
+
+    @cached_property
+    def trigrams(self) -> DataFrame:
+        return charts.ngram_counts(self.outliers, 3, n_rows=self._n_outliers)
 
     def write(self, root: str, run_id: str, parameters: dict | None = None, file_format: str = "parquet") -> str:
-        tables = {f.name: getattr(self, f.name) for f in fields(self)}
-        return write_run(tables, root, run_id, parameters, file_format)
+        return write_run({name: getattr(self, name) for name in TABLES}, root, run_id, parameters, file_format)
+
+    def release(self) -> None:
+        """Drop what this process has staged; the tables of this result cannot be read any more."""
+        clear_scratch(self.rows.sparkSession)
+
+
+TABLES = (
+    "rows", "outliers", "topics", "top_texts", "similarity", "kpi", "kpi_by_language", "breakdown", "headlines", "cards",
+    "topic_points", "concept_points", "concept_scale", "word_weights", "unigrams", "bigrams", "trigrams",
+)
 
 
 def _cluster_side(side: str, vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,15 +146,23 @@ def analyse(
     lemmas: DataFrame | None = None,
     max_chars: int | None = None,
     outlier_method: str = "forest",
-    merge_at: float | None = 0.95,
+    merge_at: float | None = topics.MERGE_SIMILARITY,
     diversity: float | None = None,
     keys: Sequence[str] = ("token",),
+    labelled: DataFrame | None = None,
+    cache: str | None = None,
+    cache_id: str | None = None,
 ) -> Feedback:
     """Analyse ``comments(row_id, lang, raw_text, …)``.
 
     ``lexicon`` is a table from ``merge_lexicons``, or a function of the prepared
     rows. ``encode`` adds ``embedding`` (default: hashed TF-IDF fitted here),
-    ``predict`` adds ``probabilities`` for languages of the model route.
+    ``predict`` adds ``probabilities`` for languages of the model route; with
+    ``labelled(row_id, label)`` instead, the built-in classifier is fitted on those
+    rows and serves it. With neither, every language takes the lexicon route.
+    ``cache`` is a folder of vectors kept from run to run: each distinct text is then
+    encoded once ever per ``cache_id``, which names a given ``encode`` (the built-in
+    encoder is named by its fitted weights).
 
     Rows are laid out by ``row_id`` once. After that, joining scores, labels and
     topics to texts is a join of staged tables with equal buckets, and only
@@ -99,15 +172,25 @@ def analyse(
     require_supported(comments)
 
     prepared = preprocess(comments, max_chars=max_chars, lemmas=lemmas)
-    if encode is None:
+    if encode is None or cache is not None:
         texts = stage(prepared)
-        model = embed.fit_hashed_encoder(texts)
-        encode = lambda df: embed.hashed_vectors(df, model)
-        coded = stage(encode(texts).select("row_id", "embedding"), partitioned=True)
+        if encode is None:
+            model = embed.fit_hashed_encoder(texts)
+            encode = lambda df: embed.hashed_vectors(df, model)
+            cache_id = embed.model_fingerprint(model)
+        elif cache_id is None:
+            raise ValueError("A cache for your own encoder needs a cache_id that names it.")
+        if cache is None:
+            coded = stage(encode(texts).select("row_id", "embedding"), partitioned=True)
+        else:
+            coded = stage(embed.cached_vectors(texts, cache, cache_id, encode).select("row_id", "embedding"))
     else:
         both = stage(encode(prepared))
         texts = both.drop("embedding")
         coded = both.select("row_id", "embedding")
+    if predict is None and labelled is not None:
+        classifier = sentiment.fit_classifier(texts.join(labelled.select("row_id", "label"), "row_id"))
+        predict = lambda df: sentiment.classify(df, classifier)
 
     # Outliers: two model fits over vectors, one scoring pass.
     reduction = outliers.fit_reduction(coded)
@@ -161,39 +244,9 @@ def analyse(
         parts.append(named.join(placed, "row_id"))
     rows = reduce(DataFrame.unionByName, parts)
 
-    rows = stage(rows)
+    # Every part is laid out by row_id already: writing it needs no shuffle.
     removed = texts.join(flags.where("is_outlier"), "row_id")
-    everything = rows.withColumn("is_outlier", F.lit(False)).unionByName(
-        removed.withColumn("is_outlier", F.lit(True)), allowMissingColumns=True
-    )
-    kpi = summary.kpis(everything)
-    n_removed = removed.count()
-    parted = everything.withColumn(
-        "part", F.when(F.col("is_outlier"), "outliers").when(F.col("sentiment") == "pos", "positive").otherwise("negative")
-    )
-    points = charts.scatter_points(rows)
-    concept_points = charts.sample_points(rows.where(F.col("x").isNotNull())).select(
-        "row_id", "x", "y", "concept_similarity", "sentiment", "clean_text"
-    )
-    return Feedback(
-        rows=rows,
-        outliers=removed,
-        topics=topic_list,
-        top_texts=search.top_similar_texts(rows),
-        similarity=search.similarity_spread(rows),
-        kpi=kpi,
-        kpi_by_language=summary.kpis(everything, "lang"),
-        breakdown=summary.breakdown(kpi),
-        headlines=summary.headline_topics(topic_list),
-        cards=summary.topic_cards(rows),
-        topic_points=points,
-        concept_points=concept_points,
-        concept_scale=charts.colour_scale(concept_points),
-        word_weights=charts.word_weights(parted),
-        unigrams=charts.ngram_counts(removed, 1, n_rows=n_removed),
-        bigrams=charts.ngram_counts(removed, 2, n_rows=n_removed),
-        trigrams=charts.ngram_counts(removed, 3, n_rows=n_removed),
-    )
+    return Feedback(rows=stage(rows, partitioned=True), outliers=removed, topics=topic_list)
 
 
 def _no_topics(df: DataFrame) -> DataFrame:

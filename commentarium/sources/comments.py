@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commentarium.operators.joins import lookup_join
+from commentarium.operators.storage import staged_columns
+
 # Cells that count as missing, matched exactly.
 MISSING_VALUES = (
     "",
@@ -50,15 +53,23 @@ def require_rows(df: DataFrame, where: str) -> DataFrame:
     return df
 
 
-def undecodable_files(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
-    """(valid UTF-8 files, other files), by one aggregate over raw lines per file."""
+def file_layouts(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto") -> DataFrame:
+    """(file, is_utf8, header): one row per file, by one aggregate over raw lines.
+
+    ``header`` is the file's first line, in the file's own encoding.
+    """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok")
+        F.col("_metadata.file_path").alias("file"),
+        F.is_valid_utf8("value").alias("ok"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("n"),
+        F.col("value").cast("binary").alias("line"),
     )
-    verdicts = lines.groupBy("file").agg(F.min("ok").alias("ok")).collect()  # one row per file
-    good = sorted(unquote(r["file"]) for r in verdicts if r["ok"])
-    bad = sorted(unquote(r["file"]) for r in verdicts if not r["ok"])
-    return good, bad
+    files = lines.groupBy("file").agg(F.min("ok").alias("is_utf8"), F.min_by("line", "n").alias("line"))
+    if encoding != "auto":
+        text = F.decode("line", encoding)
+    else:
+        text = F.when(F.col("is_utf8"), F.decode("line", "UTF-8")).otherwise(F.decode("line", LATIN1))
+    return files.select("file", "is_utf8", F.regexp_replace(text, "^\\uFEFF|\\r$", "").alias("header"))
 
 
 def read_csv(
@@ -68,33 +79,62 @@ def read_csv(
     encoding: str = "auto",
     multiline: bool = True,
 ) -> DataFrame:
-    """A headed CSV with every column as a string; quoted fields may span lines.
-
-    ``auto`` reads each file as UTF-8, or whole as Latin-1 if any byte of it is not
-    UTF-8. The check is one extra pass over the bytes; name the encoding to skip
-    it. ``multiline`` makes a file one split: turn it off for large files
-    without line breaks in fields, or convert to parquet once.
+    """Headed CSV files with every column as a string; quoted fields may span lines.
+
+    Each file's own header says which column is which: files may order their
+    columns differently or lack some (then null). ``auto`` reads a file as UTF-8, or
+    whole as Latin-1 if any byte of it is not UTF-8. Both take one extra pass over the
+    bytes; with ``columns`` (names by place, for all files) and an ``encoding``
+    there is none. ``multiline`` makes a file one split: turn it off for large
+    files without line breaks in fields, or convert to parquet once.
     """
 
-    def scan(paths: str | Sequence[str], charset: str) -> DataFrame:
-        reader = (
+    def scan(names: Sequence[str], charset: str) -> DataFrame:
+        return (
             spark.read.option("header", True)
             .option("multiLine", multiline)
             .option("quote", '"')
             .option("escape", '"')
             .option("encoding", charset)
+            .schema(T.StructType([T.StructField(c, T.StringType()) for c in names]))
+            .csv(path if isinstance(path, str) else list(path))
         )
-        if columns:
-            reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-        return reader.csv(paths if isinstance(paths, str) else list(paths))
 
-    if encoding != "auto":
-        return scan(path, encoding)
-    good, bad = undecodable_files(spark, path)
-    if not bad:
-        return scan(path, "UTF-8")
-    latin = scan(bad, LATIN1)
-    return latin if not good else scan(good, "UTF-8").unionByName(latin, allowMissingColumns=True)
+    if columns and encoding != "auto":
+        return scan(columns, encoding)
+    files = staged_columns(file_layouts(spark, path, encoding), "layouts")
+    # Distinct layouts, of which there are few; files stay in their table.
+    layouts = files.select("is_utf8", "header").distinct().collect()
+    heads = {r["header"]: next(csv.reader([r["header"] or ""]), []) for r in layouts}
+    if columns:
+        heads = dict.fromkeys(heads, list(columns))
+    names = list(dict.fromkeys(n for h in heads.values() for n in h))
+    if not names:
+        return scan(list(columns or ["_c0"]), "UTF-8").limit(0)
+    alike = {r["is_utf8"] for r in layouts} if encoding == "auto" else {True}
+    if len(alike) == 1 and len({tuple(h) for h in heads.values()}) == 1:
+        return scan(names, encoding if encoding != "auto" else "UTF-8" if alike == {True} else LATIN1)
+    # One scan of all files by place, in an encoding that keeps every byte; each row's file says the rest.
+    width = max(len(h) for h in heads.values())
+    places = [f"_p{k}" for k in range(width)]
+    rows = scan(places, encoding if encoding != "auto" else LATIN1).select(
+        F.col("_metadata.file_path").alias("_file"), F.array(*places).alias("_cells")
+    )
+    place_of = spark.createDataFrame(
+        [(header, [h.index(n) + 1 if n in h else None for n in names]) for header, h in heads.items()],
+        "_header string, _places array<int>",
+    )
+    known = files.select(F.col("file").alias("_file"), F.col("is_utf8").alias("_ok"), F.col("header").alias("_header"))
+    known = known.join(F.broadcast(place_of), "_header").drop("_header")  # a row per layout
+    rows = lookup_join(rows, known, "_file", "inner", spread_by="_cells")
+
+    def cell(k: int) -> Column:
+        value = F.get("_cells", F.get("_places", F.lit(k)) - 1)
+        if encoding != "auto":
+            return value
+        return F.when(F.col("_ok"), F.decode(F.encode(value, LATIN1), "UTF-8")).otherwise(value)
+
+    return rows.select(*[cell(k).alias(n) for k, n in enumerate(names)])
 
 
 def standardise(df: DataFrame, text_column: str, key: str | None = None) -> DataFrame:

@@ -25,6 +25,6 @@ def require_supported(df: DataFrame, lang: str = "lang") -> DataFrame:
     row = df.where(~known).select(lang).first()
     if row is not None:
         raise ValueError(
-            f"Unsupported language code: '{row[0]}'. Supported codes: {', '.join(sorted(LANGUAGE_CODES))}."
+            f"No language is registered as {row[0]!r}; registered are {', '.join(sorted(LANGUAGE_CODES))}."
         )
     return df

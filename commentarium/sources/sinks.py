@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commentarium.operators.storage import path_exists
+
 
 def write_split(df: DataFrame, path: str, column: str, file_format: str = "parquet", mode: str = "errorifexists") -> None:
     """One folder per value of ``column``, all values in one pass.
@@ -32,15 +34,21 @@ def write_run(
     parameters: Mapping[str, object] | None = None,
     file_format: str = "parquet",
 ) -> str:
-    """Write result tables under ``root/run_id=…/``; an existing run is an error.
+    """Write result tables under ``root/run_id=…/``; a complete run of that name is an error.
 
-    Run parameters are stored as a one-row ``parameters`` table of strings.
+    Run parameters are stored as a one-row ``parameters`` table of strings. The
+    ``complete`` table comes last: a run that broke off lacks it, and its retry writes
+    over what it left.
     """
     base = f"{root.rstrip('/')}/run_id={run_id}"
+    spark = next(iter(tables.values())).sparkSession
+    if path_exists(spark, f"{base}/complete"):
+        raise FileExistsError(f"Run {run_id!r} is complete in {root}.")
     for name, table in tables.items():
-        table.write.mode("errorifexists").format(file_format).save(f"{base}/{name}")
+        table.write.mode("overwrite").format(file_format).save(f"{base}/{name}")
     if parameters:
-        spark = next(iter(tables.values())).sparkSession
         listed = spark.range(1).select(*[F.lit(str(v)).alias(k) for k, v in parameters.items()])
-        listed.write.mode("errorifexists").format(file_format).save(f"{base}/parameters")
+        listed.write.mode("overwrite").format(file_format).save(f"{base}/parameters")
+    names = spark.createDataFrame([(name,) for name in tables], "table string")
+    names.write.mode("overwrite").format(file_format).save(f"{base}/complete")
     return base

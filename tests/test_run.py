@@ -83,3 +83,19 @@ def test_given_encoder_and_predictor(spark, lexicon):
     rows = check_contract(result, 50)
     assert rows.where("lang = 'fr' and sentiment <> 'neg'").count() == 0
     assert rows.where("lang = 'en' and sentiment = 'pos'").count() > 0
+
+
+def test_cache_and_fitted_classifier(spark, lexicon, tmp_path):
+    df = comments(spark, 30, 20).withColumn("lang", F.when(F.col("row_id") % 2 == 0, "en").otherwise("fr"))
+    labelled = df.select("row_id", (F.col("row_id") < 30).cast("int").alias("label"))
+    path = str(tmp_path / "vectors")
+    first = analyse(df, lexicon, labelled=labelled, cache=path)
+    french = first.rows.where("lang = 'fr'")
+    assert french.where((F.col("sentiment") == "pos") != (F.col("row_id") < 30)).count() <= 2
+    stored = spark.read.parquet(path).count()
+    assert 0 < stored <= 50
+    again = analyse(df, lexicon, labelled=labelled, cache=path)
+    assert again.rows.count() == first.rows.count()
+    assert spark.read.parquet(path).count() == stored
+    with pytest.raises(ValueError, match="cache_id"):
+        analyse(df, lexicon, encode=lambda rows: rows, cache=path)

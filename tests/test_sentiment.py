@@ -40,9 +40,9 @@ PROBS = "row_id bigint, clean_text string, probabilities struct<output: string,
 @pytest.mark.parametrize(
     "output,pos,neg,label,sure",
     [
-        ("NEU", 0.6, 0.2, "pos", False),
-        ("NEU", 0.2, 0.6, "neg", False),
-        ("NEU", 0.3, 0.3, "pos", False),
+        ("NEU", 0.31, 0.24, "pos", False),
+        ("NEU", 0.11, 0.35, "neg", False),
+        ("NEU", 0.25, 0.25, "pos", False),
         ("POS", 0.9, 0.05, "pos", True),
         ("NEG", 0.1, 0.8, "neg", True),
     ],

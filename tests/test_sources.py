@@ -12,35 +12,46 @@ def write(path, data: bytes):
 
 
 def test_utf8_keeps_extra_columns(spark, tmp_path):
-    path = write(tmp_path / "a.csv", "review_text,rating,date\nBuena habitación,5,2024-01-01\n\"dos\nlíneas, \"\"sí\"\"\",4,2024-01-02\n".encode())
-    df = cm.load_comments(spark, path, "review_text", lang="es")
-    rows = df.orderBy("rating").collect()
-    assert [r["raw_text"] for r in rows] == ["dos\nlíneas, \"sí\"", "Buena habitación"]
-    assert set(df.columns) == {"review_text", "rating", "date", "row_id", "raw_text", "lang"}
+    path = write(tmp_path / "a.csv", "opinion,stars,day\nCama cómoda,5,mon\n\"dos\nlíneas, \"\"sí\"\"\",4,tue\n".encode())
+    df = cm.load_comments(spark, path, "opinion", lang="es")
+    rows = df.orderBy("stars").collect()
+    assert [r["raw_text"] for r in rows] == ["dos\nlíneas, \"sí\"", "Cama cómoda"]
+    assert set(df.columns) == {"opinion", "stars", "day", "row_id", "raw_text", "lang"}
 
 
 def test_latin1_fallback_is_per_file(spark, tmp_path):
-    write(tmp_path / "b.csv", b"texto,puntaje\nMa\xf1ana,5\nCami\xf3n,3\n")
-    write(tmp_path / "c d.csv", "texto,puntaje\nniño,1\n".encode())
-    df = cm.load_comments(spark, str(tmp_path), "texto")
-    assert {r["raw_text"] for r in df.collect()} == {"Mañana", "Camión", "niño"}
+    write(tmp_path / "b.csv", b"frase,nota\nPi\xf1ata,2\nJam\xf3n,9\n")
+    write(tmp_path / "c d.csv", "frase,nota\notoño,1\n".encode())
+    df = cm.load_comments(spark, str(tmp_path), "frase")
+    assert {r["raw_text"] for r in df.collect()} == {"Piñata", "Jamón", "otoño"}
     assert df.select("row_id").distinct().count() == 3
 
 
+def test_files_may_order_their_columns_differently(spark, tmp_path):
+    write(tmp_path / "a.csv", "words,stars\nuno,1\n".encode())
+    write(tmp_path / "b.csv", 'stars,"words",place\n2,"dos, ó",x\n'.encode())
+    write(tmp_path / "c.csv", "\ufeffplace,words\r\ny,tr\u00e9s\r\n".encode("utf-8"))
+    write(tmp_path / "d.csv", b"words\ncu\xe1tro\n")
+    rows = cm.read_csv(spark, str(tmp_path)).collect()
+    assert {(r["words"], r["stars"], r["place"]) for r in rows} == {
+        ("uno", "1", None), ("dos, ó", "2", "x"), ("trés", None, "y"), ("cuátro", None, None)
+    }
+
+
 def test_missing_marks_are_dropped(spark, tmp_path):
-    path = write(tmp_path / "d.csv", b"text,val\nhello,1\n,2\nworld,3\nNaN,4\n")
-    assert [r["raw_text"] for r in cm.load_comments(spark, path, "text").collect()] == ["hello", "world"]
+    path = write(tmp_path / "d.csv", b"n,words\n1,first line\n2,\n3,NULL\n4,n/a\n5,last line\n")
+    assert [r["raw_text"] for r in cm.load_comments(spark, path, "words").collect()] == ["first line", "last line"]
 
 
 def test_all_missing_is_an_error(spark, tmp_path):
-    path = write(tmp_path / "e.csv", b"text,val\n,\n,\n")
+    path = write(tmp_path / "e.csv", b"n,words\n7,NA\n8,\n")
     with pytest.raises(ValueError, match="No rows"):
-        cm.load_comments(spark, path, "text")
+        cm.load_comments(spark, path, "words")
 
 
 def test_unknown_column_lists_the_others(spark, tmp_path):
-    path = write(tmp_path / "f.csv", b"review_text,rating,date\ngood,5,2024\n")
-    with pytest.raises(ValueError, match="review_text, rating, date"):
+    path = write(tmp_path / "f.csv", b"opinion,stars,day\nfine,5,mon\n")
+    with pytest.raises(ValueError, match="opinion, stars, day"):
         cm.load_comments(spark, path, "comment")
 
 
@@ -61,14 +72,20 @@ def test_run_folder_is_written_once(spark, tmp_path):
     df = spark.range(3)
     base = sinks.write_run({"kpi": df}, str(tmp_path), "r1", {"concept": "precio"}, "json")
     assert spark.read.json(f"{base}/parameters").first()["concept"] == "precio"
-    with pytest.raises(Exception, match="already exists"):
+    with pytest.raises(FileExistsError, match="r1"):
         sinks.write_run({"kpi": df}, str(tmp_path), "r1")
 
 
+def test_half_written_run_does_not_block_its_retry(spark, tmp_path):
+    spark.range(2).write.parquet(f"{tmp_path}/run_id=r2/kpi")
+    base = sinks.write_run({"kpi": spark.range(3)}, str(tmp_path), "r2")
+    assert spark.read.parquet(f"{base}/kpi").count() == 3
+
+
 def test_language_checks(spark):
     df = spark.createDataFrame([(1, "en"), (2, "xx"), (3, None)], "row_id bigint, lang string")
     assert lg.unsupported(df).count() == 2
     assert lg.with_language(df).where(F.col("scorer") == "lexicon").count() == 1
-    with pytest.raises(ValueError, match="Unsupported language"):
+    with pytest.raises(ValueError, match="No language is registered"):
         lg.require_supported(df)
     lg.require_supported(df.where("lang = 'en'"))
