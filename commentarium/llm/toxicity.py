@@ -22,8 +22,10 @@ from commentarium.llm.common import bounded_batches, mixed, odd_constants, plain
 
 COORDINATES_LOG2 = 20
 ROWS_PER_CLASS = 6_000  # bound of the training sample: of each class, those first by hash of their id
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L2 = 1.0, 1.0, 1.0
+L1_NOISE = 0.2  # L1 is this times the root of the number of rows: the size that chance gradients add up to
+TOXIC_WEIGHT = 3.0  # of a toxic row's gradient; toxic rows are few
 THRESHOLD = 0.7
 _BIAS = 1 << COORDINATES_LOG2  # the coordinate after the hashed ones
 _EDGES = b".,;:!?\"'()[]{}<>-_*`"
@@ -67,22 +69,22 @@ class Features:
 
 
 class Ftrl:
-    """FTRL-proximal: per-coordinate rates, L1 and L2; the bias is not penalised."""
+    """FTRL-proximal for about ``rows`` rows: per-coordinate rates, L1 and L2; L1 spares the bias."""
 
-    def __init__(self):
+    def __init__(self, rows: int):
         self.z = np.zeros(_BIAS + 1)
         self.n = np.zeros(_BIAS + 1)
-        self.l1 = np.full(1, L1)
+        self.l1 = L1_NOISE * np.sqrt(rows)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        l1 = np.where(at == _BIAS, 0.0, L1)
+        l1 = np.where(at == _BIAS, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
         """One row; ``at`` holds distinct coordinates, the bias among them."""
         w = self.weights(at)
-        gradient = sigmoid(w.sum()) - label
+        gradient = (TOXIC_WEIGHT if label else 1.0) * (sigmoid(w.sum()) - label)
         n = self.n[at]
         more = n + gradient * gradient
         self.z[at] += gradient - (np.sqrt(more) - np.sqrt(n)) / ALPHA * w
@@ -126,9 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     seen = written(rows.select("text", "turn", "toxic").mapInArrow(extract, "turn bigint, toxic int, at binary"), "features")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = Ftrl(), []
+        held: list[tuple[bytes, int]] = []
         for batch in batches:
             held += zip(batch.column("at").to_pylist(), batch.column("toxic").to_pylist(), strict=True)
+        model = Ftrl(len(held))
         for _ in range(EPOCHS if held else 0):
             for blob, label in held:
                 model.learn(np.append(np.frombuffer(blob, dtype=np.int32).astype(np.int64), _BIAS), label)
