@@ -24,7 +24,7 @@ COORDINATES_LOG2 = 20
 ROWS_PER_CLASS = 6_000  # bound of the training sample: of each class, those first by hash of their id
 EPOCHS = 5
 ALPHA, BETA, L2 = 1.0, 1.0, 1.0
-L1_NOISE = 0.2  # L1 is this times the root of the number of rows: the size that chance gradients add up to
+L1_LEAST, L1_NOISE = 1.0, 0.2  # L1 is the least plus this times the root of the number of rows: what chance adds up to
 TOXIC_WEIGHT = 3.0  # of a toxic row's gradient; toxic rows are few
 THRESHOLD = 0.7
 _BIAS = 1 << COORDINATES_LOG2  # the coordinate after the hashed ones
@@ -74,7 +74,7 @@ class Ftrl:
     def __init__(self, rows: int):
         self.z = np.zeros(_BIAS + 1)
         self.n = np.zeros(_BIAS + 1)
-        self.l1 = L1_NOISE * np.sqrt(rows)
+        self.l1 = L1_LEAST + L1_NOISE * np.sqrt(rows)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z, n = self.z[at], self.n[at]
