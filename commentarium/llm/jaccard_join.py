@@ -51,6 +51,7 @@ FIRST_DIAGRAMS = 4  # their cells are joined first, so that close copies are one
 REGION_SHINGLES = 2_000_000  # of a region joined in one task: 16 MB of hashes
 PIVOTS = 16
 ROUNDS = 4  # of document pivots, before what is still larger is compared in blocks
+GROWTH = 2  # copies a document that a round may make; beyond it, pivots do not separate the region and blocks are cheaper
 _EPS = 1.0 - PERCENT / 100.0
 _SLACK = 1e-9
 
@@ -230,7 +231,7 @@ def _join_in_tasks(members: DataFrame, *keys: str) -> DataFrame:
 
 
 def _pivot_round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One descent by document pivots of ``members(region, id, shingles)``: links, members of the new regions."""
+    """One descent by document pivots of ``members(region, id, shingles)``: links, and (region, id) of the new regions."""
     draw = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS))
     chosen = members.groupBy("region", draw.alias("n")).agg(F.min("id").alias("id")).select("region", "id")
     pivots = (
@@ -254,23 +255,20 @@ def _pivot_round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
                     union = len(mine) + len(theirs) - shared
                     gaps.append((1.0 - shared / union, bool(_links(shared, len(mine), len(theirs))), p["id"]))
                 near = min(g for g, _, _ in gaps)
-                out += [(pivot, own, blob, g, inner) for g, inner, pivot in gaps if inner or g <= near + 2 * _EPS + _SLACK]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("region", "id", "shingles", "gap", "inner"), r, strict=True)) for r in out], schema=shape
+                out += [(pivot, own, g, inner) for g, inner, pivot in gaps if inner or g <= near + 2 * _EPS + _SLACK]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)],
+                ["region", "id", "gap", "inner"],
             )
 
-    shape = pa.schema(
-        [("region", pa.int64()), ("id", pa.int64()), ("shingles", pa.binary()), ("gap", pa.float64()), ("inner", pa.bool_())]
-    )
     joined = lookup_join(members, pivots, "region", "inner", spread_by="id").select("id", "shingles", "pivots")
-    placed = written(
-        joined.mapInArrow(place, "region bigint, id bigint, shingles binary, gap double, inner boolean"), "placed"
-    )
+    placed = written(joined.mapInArrow(place, "region bigint, id bigint, gap double, inner boolean"), "placed")
     among = _join_in_tasks(pivots.select("region", F.explode("pivots").alias("p")).select("region", "p.*"), "region")
     links = placed.where("inner").select(F.col("region").alias("src"), F.col("id").alias("dst")).unionByName(among)
     edge = placed.where("NOT inner").groupBy("region").agg(F.min("gap").alias("edge"))
     stay = lookup_join(placed, edge, "region", "inner", spread_by="id").where(f"NOT inner OR gap >= edge - {_EPS + _SLACK}")
-    return links, stay.select("region", "id", "shingles")
+    return links, stay.select("region", "id").distinct()
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -290,9 +288,15 @@ def region_components(members: DataFrame, limit: int = REGION_SHINGLES) -> DataF
             break
         small = lookup_join(members, large, "region", "left_anti", spread_by="id")
         links.append(_join_in_tasks(small, "region"))
-        found, members = _pivot_round(lookup_join(members, large, "region", "left_semi", spread_by="id"))
+        members = written(lookup_join(members, large, "region", "left_semi", spread_by="id"), "large-regions")
+        found, deeper = _pivot_round(members)
+        deeper = written(deeper, "deeper")
+        if deeper.count() > GROWTH * members.count():
+            links.append(_join_in_blocks(members, limit))
+            break
         links.append(found)
-        members = written(members, "regions")
+        sets = members.select("id", "shingles").dropDuplicates(["id", "shingles"])
+        members = written(deeper.join(sets, "id"), "regions")
     else:
         links.append(_join_in_blocks(members, limit))
     whole = links[0]
@@ -303,7 +307,7 @@ def region_components(members: DataFrame, limit: int = REGION_SHINGLES) -> DataF
 
 def _join_in_blocks(members: DataFrame, limit: int) -> DataFrame:
     """What pivots could not split: every two blocks of a region meet in one task of bounded size."""
-    sizes = _sizes(members).select("region", F.ceil(F.col("weight") / (limit / 4) ).cast("int").alias("blocks"))
+    sizes = _sizes(members).select("region", F.ceil(F.col("weight") / (limit / 4)).cast("int").alias("blocks"))
     rows = lookup_join(members, sizes, "region", "inner", spread_by="id")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

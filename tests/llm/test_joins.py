@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from commentarium.llm import jaccard_join, lattice
 from commentarium.llm.jaccard_join import join_region, near_duplicates
@@ -47,11 +48,20 @@ def test_chains_and_exact_threshold(spark):
     checked(spark, texts)
 
 
-def test_large_regions_split_by_pivots(spark, monkeypatch):
-    checked(spark, variants(2, groups=6, size=30), limit=1500)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-    checked(spark, variants(3, groups=4, size=30), limit=1500)
+@pytest.mark.parametrize(("rounds", "pivots", "limit"), [(4, 4, 2500), (4, 16, 6000), (0, 4, 2500)])
+def test_large_regions_are_split(spark, monkeypatch, rounds, pivots, limit):
+    """By document pivots and then by blocks; by blocks alone."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "GROWTH", 2 if pivots == 4 else 20)
+    texts = variants(2, groups=2, size=24)
+    docs = list(texts.items())
+    sets = {i: np.array(sorted(hash(s) & (1 << 60) - 1 for s in shingles(t)), dtype=np.uint64) for i, t in docs}
+    rows = [(0, i, bytearray(v.tobytes())) for i, v in sets.items()]
+    members = spark.createDataFrame(rows, "region bigint, id bigint, shingles binary")
+    found = {r["node"]: r["component"] for r in jaccard_join.region_components(members, limit).collect()}
+    want = components(texts, near_pairs(texts))
+    assert {i: found.get(i, i) for i in texts} == want
 
 
 def test_region_join_is_exact():
