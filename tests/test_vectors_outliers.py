@@ -52,7 +52,7 @@ def test_quantile_of_nothing(spark):
 
 @pytest.mark.parametrize("share", [-1.0, 0.0, 0.009, 0.151, 0.4, 2.0])
 def test_bad_contamination(spark, share):
-    with pytest.raises(ValueError, match="Contamination"):
+    with pytest.raises(ValueError, match="share of outliers"):
         outliers.check_contamination(share)
 
 
