@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commentarium.llm.common import bounded_batches
+from commentarium.llm.common import bounded_batches, byte_slices
 
 CACHE_WORDS = 400_000
 REPLAY_WORDS = 20_000  # words replayed together
@@ -129,14 +129,26 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] |
 
 
 def _finish(parts: list[int], rank_of) -> list[int]:
-    """One word's merges, lowest rank first."""
-    while len(parts) > 1:
-        options = [(r, i) for i in range(len(parts) - 1) if (r := rank_of(parts[i] << _SHIFT | parts[i + 1])) is not None]
-        if not options:
-            break
-        rank, i = min(options)
-        parts[i : i + 2] = [rank]
-    return parts
+    """One word's merges, lowest rank first and of equal ranks the leftmost; n log n in its length."""
+    count = len(parts)
+    follows, leads = list(range(1, count + 1)), list(range(-1, count - 1))
+    heap = [(r, i) for i in range(count - 1) if (r := rank_of(parts[i] << _SHIFT | parts[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, at = heapq.heappop(heap)
+        after = follows[at]
+        if parts[at] == _GONE or after >= count or rank_of(parts[at] << _SHIFT | parts[after]) != rank:
+            continue  # a neighbour has changed since
+        parts[at], parts[after] = rank, _GONE
+        follows[at] = beyond = follows[after]
+        before = leads[at]
+        if beyond < count:
+            leads[beyond] = at
+            if (r := rank_of(rank << _SHIFT | parts[beyond])) is not None:
+                heapq.heappush(heap, (r, at))
+        if before >= 0 and (r := rank_of(parts[before] << _SHIFT | rank)) is not None:
+            heapq.heappush(heap, (r, before))
+    return [p for p in parts if p != _GONE]
 
 
 class _Known(dict):
@@ -159,6 +171,7 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.pairs = pair_ranks(self.ranks)
+        self.table = {i: w for w, i in self.ranks.items()}
         self.known = _Known()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -190,30 +203,50 @@ class Encoder:
         return [b"".join(map(get, words)) for words in split]
 
 
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.table.__getitem__, ids))
+
+
 @lru_cache(maxsize=1)
 def _worker(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text", into: str = "ids") -> DataFrame:
+@lru_cache(maxsize=1)
+def _table(path: str) -> dict[int, bytes]:
+    return {i: w for w, i in load_ranks(path).items()}
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, text_column: str = "text", into: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """``docs`` with the column ``into array<int>``: the token ids of every whole text.
 
     No special tokens: their strings are ordinary text. A null or empty text has no
-    ids. All other columns stay (one named ``into`` is replaced).
+    ids. All other columns stay (one named ``into`` is replaced). ``decoded`` names a further
+    binary column for the bytes that the ids stand for, made from the ids in the same pass.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.drop(into)
+    docs = docs.drop(into, *([decoded] if decoded else []))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _worker(path, pattern)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(text_column).to_pylist()]
-            blobs = encoder.encode(texts)
-            ends = np.cumsum([0] + [len(b) // 4 for b in blobs], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
-
-    return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+        for whole in batches:
+            for batch in byte_slices(whole, text_column):
+                texts = ["" if t is None else t for t in batch.column(text_column).to_pylist()]
+                blobs = encoder.encode(texts)
+                ends = np.cumsum([0] + [len(b) // 4 for b in blobs], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32)))
+                out = pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
+                if decoded:
+                    read = [encoder.decode(np.frombuffer(b, dtype=np.int32).tolist()) for b in blobs]
+                    out = out.append_column(decoded, pa.array(read, pa.binary()))
+                yield out
+
+    fields = [*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
+    return docs.mapInArrow(add, T.StructType(fields))
 
 
 def decode(docs: DataFrame, path: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -224,8 +257,7 @@ def decode(docs: DataFrame, path: str, ids_column: str = "ids", into: str = "dec
     docs = docs.drop(into)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = {i: w for w, i in load_ranks(path).items()}
-        get = words.__getitem__
+        get = _table(path).__getitem__
         for batch in batches:
             ids = batch.column(ids_column)
             out = [None if i is None else b"".join(map(get, i.tolist())) for i in _arrays(ids)]

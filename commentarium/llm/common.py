@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,18 @@ def chunks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text each; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if held and held + size > limit:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    yield batch.slice(start)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

@@ -109,3 +109,15 @@ def test_memory_bound_and_clashing_columns(spark, reference, monkeypatch):
     assert encode(docs.limit(0), MULTI, public_tokenizers.PATTERN).count() == 0
     nulls = decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>"), MULTI).first()
     assert nulls["decoded"] is None
+
+
+def test_one_very_long_word(spark, reference):
+    long = "ab" * 100_000
+    docs = spark.createDataFrame([(1, long), (2, "z" * 200_000)], "doc_id bigint, text string")
+    for r in encode(docs, MULTI, public_tokenizers.PATTERN, decoded="read").collect():
+        assert bytes(r["read"]).decode() == (long if r["doc_id"] == 1 else "z" * 200_000)
+    word = b"abcab" * 30_000
+    ranks = {b"a": 0, b"b": 5, b"c": 6, b"ab": 3, b"abc": 2, b"bc": 4, b"ca": 1}  # not closed: abc before ab
+    assert b"".join({i: t for t, i in ranks.items()}[i] for i in replay([word], ranks)[0]) == word
+    short = b"abcab" * 30
+    assert replay([short], ranks)[0] == merged_one_by_one(short, ranks)
