@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from commentarium.llm import (
     byte_bpe,
     chat_format,
+    collocations,
     fingerprints,
     jaccard_join,
     lattice,
     line_dedup,
     mixing,
+    prefix_bpe,
     token_counts,
     toxicity,
     warc,
+    whitening,
 )
 from commentarium.llm.common import table
 
@@ -136,9 +139,9 @@ FROM firsts
 
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(encoded.select("doc_id", "ids"), path)
-    return decoded.select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(byte_bpe.joined_ids(F.col("ids")), 256).alias("ids_sha256"),
@@ -156,6 +159,68 @@ def lattice_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(part, '[^ \t]+') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part
+    FROM documents)
+), placed AS (
+  SELECT piece, lang, unnest(words) AS word, unnest(range(len(words))) AS spot FROM pieces
+), rows AS (
+  SELECT lang, word AS w1, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4
+  FROM placed WINDOW p AS (PARTITION BY piece ORDER BY spot)
+), sizes AS (
+  SELECT lang, count(*)::BIGINT AS n FROM rows GROUP BY lang
+), grams AS (
+  SELECT lang, 1 AS m, w1 AS phrase, count(*)::BIGINT AS f FROM rows GROUP BY lang, w1 HAVING count(*) >= 30
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 AS phrase, count(*) FROM rows WHERE w2 IS NOT NULL GROUP BY lang, phrase HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 AS phrase, count(*) FROM rows WHERE w3 IS NOT NULL
+            GROUP BY lang, phrase HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 AS phrase, count(*) FROM rows WHERE w4 IS NOT NULL
+            GROUP BY lang, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+         array_to_string(list_slice(string_split(phrase, ' '), k + 1, m), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM grams WHERE m >= 2)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r, ((2000000::HUGEINT * c.a) // (h.f::HUGEINT + t.f))::BIGINT AS score
+  FROM cuts c JOIN grams h ON h.lang = c.lang AND h.phrase = c.head JOIN grams t ON t.lang = c.lang AND t.phrase = c.tail
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, f, array_to_string(list_slice(string_split(phrase, ' '), first, last), ' ') AS phrase
+  FROM grams JOIN (VALUES (3, 1, 2), (3, 2, 3), (4, 1, 2), (4, 2, 3), (4, 3, 4), (4, 1, 3), (4, 2, 4)) AS v(m, first, last) USING (m)
+), swallowed AS (
+  SELECT DISTINCT i.lang, i.phrase FROM inner_parts i JOIN grams g ON g.lang = i.lang AND g.phrase = i.phrase
+  WHERE 100::HUGEINT * i.f >= 80::HUGEINT * g.f
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best b WHERE NOT EXISTS (SELECT 1 FROM swallowed s WHERE s.lang = b.lang AND s.phrase = b.phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+def prefix_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = prefix_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded="decoded")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(byte_bpe.joined_ids(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": (line_dedup_query, LINE_DEDUP_SQL),
     "op2_chat_format": (chat_format_query, CHAT_FORMAT_SQL),
@@ -167,4 +232,7 @@ QUERIES = {
     "op8_byte_bpe": (byte_bpe_query, None),
     "op9_toxicity": (toxicity_query, None),
     "op10_lattice": (lattice_query, None),
+    "op11_whitening": (whitening_query, None),
+    "op12_collocations": (collocations_query, COLLOCATIONS_SQL),
+    "op13_prefix_bpe": (prefix_bpe_query, None),
 }
