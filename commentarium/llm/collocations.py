@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ CONTAINED_PERCENT = 80
 TOP = 2_000
 NO_LANGUAGE = "und"
 
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 _CHUNK = 1 << 20
 _EMIT_ROWS = 100_000
 _FILTER_BITS = (1 << 16, 1 << 27)  # least and most: 16 MB are broadcast at most
@@ -249,7 +250,11 @@ class _Half:
         self.bwt, self.symbols = bwt, symbols
         self.counts = np.bincount(bwt, minlength=symbols)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
-        self.places = np.sort(bwt.astype(np.int64) * (len(bwt) + 1) + np.arange(len(bwt)))
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Symbols with their places, in order."""
+        return np.sort(self.bwt.astype(np.int64) * (len(self.bwt) + 1) + np.arange(len(self.bwt)))
 
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The first row of ``symbol`` followed by the pattern whose rows start at ``at``."""
@@ -277,8 +282,18 @@ class Intervals:
     backward: np.ndarray
     size: np.ndarray
 
-    def where(self, kept: np.ndarray) -> "Intervals":
-        return Intervals(self.words[kept], self.forward[kept], self.backward[kept], self.size[kept])
+
+@dataclass
+class Neighbours:
+    """Words beside phrases on one side: the phrase, the longer phrase, its count and the count of smaller words there."""
+
+    parent: np.ndarray
+    words: np.ndarray
+    size: np.ndarray
+    smaller: np.ndarray
+
+    def where(self, kept: np.ndarray) -> "Neighbours":
+        return Neighbours(self.parent[kept], self.words[kept], self.size[kept], self.smaller[kept])
 
 
 class Index:
@@ -291,18 +306,21 @@ class Index:
         words = np.arange(1, self.forward.symbols)
         return Intervals(words[:, None], self.forward.starts[1:], self.backward.starts[1:], self.forward.counts[1:])
 
-    def extend(self, given: Intervals, left: bool) -> Intervals:
+    def neighbours(self, given: Intervals, left: bool) -> Neighbours:
         """All phrases of one more word, on the left or on the right, that occur."""
-        own, other = (self.forward, self.backward) if left else (self.backward, self.forward)
-        low, low_other = (given.forward, given.backward) if left else (given.backward, given.forward)
+        own, low = (self.forward, given.forward) if left else (self.backward, given.backward)
         parent, word, size, smaller = own.before(low, given.size)
         kept = word != _BREAK
-        parent, word, size, smaller = parent[kept], word[kept], size[kept], smaller[kept]
-        stepped, shifted = own.step(word, low[parent]), low_other[parent] + smaller
-        held = given.words[parent]
+        parent, word, held = parent[kept], word[kept], given.words[parent[kept]]
+        return Neighbours(parent, np.column_stack([word, held] if left else [held, word]), size[kept], smaller[kept])
+
+    def extend(self, given: Intervals, found: Neighbours, left: bool) -> Intervals:
+        """The intervals of longer phrases: a backward step in one transform, a shift in the other."""
         if left:
-            return Intervals(np.column_stack([word, held]), stepped, shifted, size)
-        return Intervals(np.column_stack([held, word]), shifted, stepped, size)
+            forward = self.forward.step(found.words[:, 0], given.forward[found.parent])
+            return Intervals(found.words, forward, given.backward[found.parent] + found.smaller, found.size)
+        backward = self.backward.step(found.words[:, -1], given.backward[found.parent])
+        return Intervals(found.words, given.forward[found.parent] + found.smaller, backward, found.size)
 
 
 _INDEX = "forward binary, backward binary, langs array<string>, words array<string>, lang_of array<int>"
@@ -359,16 +377,17 @@ def phrases(index: DataFrame, length: int, filters: dict[int, Broadcast]) -> Dat
                 held = index.single()
                 for words in range(2, length + 1):
                     left = words % 2 == 1
-                    held = index.extend(held, left)
-                    if words > 2:  # the phrase without the word that came before this one's side
-                        other = held.words[:, :-1] if left else held.words[:, 1:]
-                        held = held.where(_passes(filters[words - 1].value, _phrase_hashes([hashes[c] for c in other.T])))
+                    found = index.neighbours(held, left)
+                    if words > 2:  # the part that does not come from the shorter phrase
+                        other = found.words[:, :-1] if left else found.words[:, 1:]
+                        found = found.where(_passes(filters[words - 1].value, _phrase_hashes([hashes[c] for c in other.T])))
                     if words < length:
-                        held = held.where(_passes(filters[words].value, _phrase_hashes([hashes[c] for c in held.words.T])))
-                for start in range(0, len(held.size), _EMIT_ROWS):
-                    part = held.words[start : start + _EMIT_ROWS] - 1
+                        found = found.where(_passes(filters[words].value, _phrase_hashes([hashes[c] for c in found.words.T])))
+                        held = index.extend(held, found, left)
+                for start in range(0, len(found.size), _EMIT_ROWS):
+                    part = found.words[start : start + _EMIT_ROWS] - 1
                     phrase = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in part.T], " ")
-                    counts = pa.array(held.size[start : start + _EMIT_ROWS], pa.int64())
+                    counts = pa.array(found.size[start : start + _EMIT_ROWS], pa.int64())
                     yield pa.RecordBatch.from_arrays([langs.take(pa.array(part[:, 0])), phrase, counts], ["lang", "phrase", "f"])
 
     return index.mapInArrow(find, "lang string, phrase string, f bigint")

@@ -102,7 +102,7 @@ def test_intervals_of_both_directions_agree():
     for sides in ([True, True, True], [False, False, False], [False, True, False], [True, False, True]):
         held = index.single()
         for left in sides:
-            held = index.extend(held, left)
+            held = index.extend(held, index.neighbours(held, left), left)
             length = held.words.shape[1]
             seen = Counter(tuple(w) for i in range(len(sequence) - length + 1) if 0 not in (w := sequence[i : i + length].tolist()))
             assert {tuple(w): n for w, n in zip(held.words.tolist(), held.size.tolist(), strict=True)} == seen
