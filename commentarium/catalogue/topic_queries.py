@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from commentarium.catalogue import inputs as i
 from commentarium.functions.dictionaries import TOPIC_NAMES, is_stopword
+from commentarium.operators import density as dn
 from commentarium.operators import embed, outliers
 from commentarium.operators import sentiment as st
 from commentarium.operators import topics as tp
+from commentarium.operators.neighbours import nearest
 from commentarium.operators.storage import staged_columns
 from commentarium.operators.tokens import each
 
@@ -83,6 +85,23 @@ def projection(spark, sf_dir):
     )
 
 
+def reachability(spark, sf_dir):
+    """Mutual reachability of every vector and its nearest neighbours."""
+    points = i.vectors(spark, sf_dir).select(F.col("row_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"))
+    return dn.reachability(nearest(points)).select("src", "dst", F.round("w", 6).alias("w"))
+
+
+def density_clusters(spark, sf_dir):
+    """Four far groups planted by the label, the vectors as spread: every row's topic is its whole group and nothing else."""
+    rows = i.vectors(spark, sf_dir).withColumn("planted", F.col("topic_id") % 4)
+    pull = F.transform("embedding", lambda x, k: x.cast("double") + F.when(k == F.col("planted"), 40.0).otherwise(0.0))
+    rows = rows.select("row_id", "planted", pull.alias("components"))
+    done = rows.select("row_id", "planted").join(dn.cluster_density(rows), "row_id")
+    topic = done.groupBy("topic_id").agg(F.count("*").alias("topic_rows"), F.count_distinct("planted").alias("n_groups"))
+    clear = F.col("topic_id") != tp.NOISE
+    return done.join(F.broadcast(topic), "topic_id").select("row_id", "topic_rows", "n_groups", clear.alias("clear"))  # a handful of topics
+
+
 def kmeans_clusters(spark, sf_dir):
     """Four directions planted by the label, the vectors as spread: each is one topic, and few rows are noise."""
     rows = i.vectors(spark, sf_dir).withColumn("planted", F.col("topic_id") % 4)
@@ -240,6 +259,23 @@ QUERIES = {
             recursive=True,
         ),
     ),
+    "top03_reachability": (
+        reachability,
+        i.with_ctes(
+            i.VECS,
+            """near AS (
+              SELECT a.row_id AS src, b.row_id AS dst, round(list_distance(a.v, b.v), 9) AS d FROM vecs a JOIN vecs b ON a.row_id <> b.row_id
+              QUALIFY row_number() OVER (PARTITION BY a.row_id ORDER BY round(list_distance(a.v, b.v), 9), b.row_id) <= 15
+            )""",
+            "core AS (SELECT src, max(d) AS core FROM near GROUP BY src)",
+            select="""SELECT DISTINCT least(n.src, n.dst) AS src, greatest(n.src, n.dst) AS dst, round(greatest(d, a.core, b.core, 1e-9), 6) AS w
+              FROM near n JOIN core a ON a.src = n.src JOIN core b ON b.src = n.dst""",
+        ),
+    ),
+    "top03_density_clusters": (
+        density_clusters,
+        """SELECT vec_id AS row_id, count(*) OVER (PARTITION BY label % 4) AS topic_rows, 1 AS n_groups, true AS clear FROM embeddings""",
+    ),
     "top03_kmeans_clusters": (
         kmeans_clusters, "SELECT label % 4 AS planted, count(*) AS n_rows, 1 AS n_topics, true AS mostly_kept FROM embeddings GROUP BY 1"
     ),
