@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from commentarium.llm.common import bounded_batches, mixed, odd_constants, plain, written
+from commentarium.llm.common import batch_rows, bounded_batches, mixed, odd_constants, plain, written
 
 # Fixed values of the contract.
 LONGEST = 4
@@ -47,7 +47,7 @@ NO_LANGUAGE = "und"
 
 SHARD_WORDS = 1_000_000
 _CHUNK = 1 << 20
-_EMIT_ROWS = 100_000
+_EMIT_ROWS = 20_000
 _FILTER_BITS = (1 << 16, 1 << 27)  # least and most: 16 MB are broadcast at most
 _BITS_A_PHRASE = 16
 _BREAK, _BLANK = 0, -1
@@ -400,10 +400,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = {1: words.where(F.col("f") >= least)}
     filters = {1: frequent_filter(found[1])}
-    index = written(indexes(cut, filters[1]), "fm-index")
+    spark = docs.sparkSession
+    with batch_rows(spark, 1):  # a row is a shard of several MB
+        index = written(indexes(cut, filters[1]), "fm-index")
     for length in range(2, LONGEST + 1):
         counted = phrases(index, length, filters).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        found[length] = written(counted.where(F.col("f") >= least), f"phrases-{length}")
+        with batch_rows(spark, 1):
+            found[length] = written(counted.where(F.col("f") >= least), f"phrases-{length}")
         if length < LONGEST:
             filters[length] = frequent_filter(found[length])
     return sizes, found

@@ -7,6 +7,7 @@ only. ``bytes.lower`` and ``bytes.split`` on UTF-8 do exactly that.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,18 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside; the session's own size afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    current = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, current)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and go on from the files.
 
