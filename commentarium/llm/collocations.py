@@ -45,7 +45,7 @@ CONTAINED_PERCENT = 80
 TOP = 2_000
 NO_LANGUAGE = "und"
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 _CHUNK = 1 << 20
 _EMIT_ROWS = 20_000
 _FILTER_BITS = (1 << 16, 1 << 27)  # least and most: 16 MB are broadcast at most
@@ -262,10 +262,12 @@ class _Half:
 
     def before(self, low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(interval, symbol, count, count of smaller symbols) of all symbols before the rows of every interval."""
-        interval = np.repeat(np.arange(len(low)), size)
-        first = np.cumsum(size) - size
-        rows = np.arange(len(interval)) + np.repeat(low - first, size)
-        keys, counts = np.unique(interval * self.symbols + self.bwt[rows], return_counts=True)
+        rows = np.repeat(low - np.cumsum(size) + size, size)
+        rows += np.arange(len(rows))
+        keys = np.repeat(np.arange(len(low)) * self.symbols, size)
+        keys += self.bwt[rows]
+        del rows
+        keys, counts = np.unique(keys, return_counts=True)
         interval, symbol = np.divmod(keys, self.symbols)
         done = np.cumsum(counts) - counts
         starts = np.searchsorted(interval, np.arange(len(low)))
