@@ -12,7 +12,7 @@ without its first or last word are, so a shard extends just those intervals whos
 passes a filter of the frequent phrases of the level before. The filter is a bitmap
 of bounded size: it lets all frequent phrases pass and few others, whose true
 counts then decide. So the rows shuffled are those of phrases made of frequent ones, not of
-all word sequences.
+all word sequences. Pairs of words, most of which are rare, are first summed by a short hash alone.
 
 Edges. Null texts have no words; a null language is ``und``. Repeated rows count each. Extra columns
 are ignored. Very long texts are spread over shards piece by piece (a piece ends at
@@ -22,7 +22,7 @@ frequent phrases, gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from commentarium.llm.common import batch_rows, bounded_batches, mixed, odd_constants, plain, written
+from commentarium.llm.common import batch_rows, bounded_batches, discard, mixed, odd_constants, plain, written
 
 # Fixed values of the contract.
 LONGEST = 4
@@ -199,33 +199,48 @@ def _passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return inside
 
 
-def frequent_filter(frequent: DataFrame) -> Broadcast:
-    """A bitmap that all phrases of ``frequent(lang, phrase)`` pass, at most 16 MB whatever their number."""
-    least, most = _FILTER_BITS
-    bits = least
-    count = frequent.count()
+def _bitmap(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray]) -> Broadcast:
+    """A bitmap that the hashes of all rows pass, at most 16 MB whatever their number."""
+    bits, most = _FILTER_BITS
+    count = rows.count()
     while bits < most and bits < count * _BITS_A_PHRASE:
         bits *= 2
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, phrases = batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()
-            split = [p.split(" ") for p in phrases]
-            width = len(split[0]) if split else 0
-            columns = [_word_hashes([s[k] for s in split], langs) for k in range(width)]
-            if not columns:
+            if not batch.num_rows:
                 continue
-            place = np.unique(np.concatenate(_places(_phrase_hashes(columns), bits)))
+            place = np.unique(np.concatenate(_places(hashes_of(batch), bits)))
             slots, first = np.unique(place >> 6, return_index=True)
             marks = np.left_shift(np.uint64(1), (place & 63).astype(np.uint64))
             merged = np.bitwise_or.reduceat(marks, first).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(merged)], ["slot", "marks"])
 
-    marked = frequent.select("lang", "phrase").mapInArrow(mark, "slot bigint, marks bigint")
+    marked = rows.mapInArrow(mark, "slot bigint, marks bigint")
     table = marked.groupBy("slot").agg(F.bit_or("marks").alias("marks")).toArrow()  # at most two million slots
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[table.column("slot").to_numpy()] = table.column("marks").to_numpy()
-    return frequent.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+    return rows.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
+
+
+def frequent_filter(frequent: DataFrame) -> Broadcast:
+    """A bitmap that all phrases of ``frequent(lang, phrase)`` pass; they have equally many words."""
+
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        langs, split = batch.column("lang").to_pylist(), [p.split(" ") for p in batch.column("phrase").to_pylist()]
+        return _phrase_hashes([_word_hashes([s[k] for s in split], langs) for k in range(len(split[0]))])
+
+    return _bitmap(frequent.select("lang", "phrase"), hashes)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The 32 bits of a phrase's hash that candidates are counted by."""
+    return hashes & np.uint64(0xFFFFFFFF)
+
+
+def candidate_filter(counted: DataFrame) -> Broadcast:
+    """A bitmap that all phrases pass whose short hash is among ``counted(h)``."""
+    return _bitmap(counted.select("h"), lambda batch: mixed(batch.column("h").to_numpy().astype(np.uint64)))
 
 
 # --- FM-index ----------------------------------------------------------------------
@@ -360,8 +375,8 @@ def indexes(cut: DataFrame, words: Broadcast) -> DataFrame:
     return cut.select("ids", "langs", "words", "lang_of").mapInArrow(build, _INDEX)
 
 
-def phrases(index: DataFrame, length: int, filters: dict[int, Broadcast]) -> DataFrame:
-    """(lang, phrase, f): phrases of ``length`` words and their counts, a row for each shard that holds one.
+def _found(index: DataFrame, length: int, filters: dict[int, Broadcast], emit: Callable, schema: str) -> DataFrame:
+    """What ``emit(words, counts, hashes, names, langs)`` makes of every shard's phrases of ``length`` words.
 
     ``filters`` has the filter of every length below (those of single words are in the index).
     """
@@ -387,12 +402,35 @@ def phrases(index: DataFrame, length: int, filters: dict[int, Broadcast]) -> Dat
                         found = found.where(_passes(filters[words].value, _phrase_hashes([hashes[c] for c in found.words.T])))
                         held = index.extend(held, found, left)
                 for start in range(0, len(found.size), _EMIT_ROWS):
-                    part = found.words[start : start + _EMIT_ROWS] - 1
-                    phrase = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in part.T], " ")
-                    counts = pa.array(found.size[start : start + _EMIT_ROWS], pa.int64())
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(part[:, 0])), phrase, counts], ["lang", "phrase", "f"])
+                    part = found.words[start : start + _EMIT_ROWS]
+                    yield emit(part, found.size[start : start + _EMIT_ROWS], _phrase_hashes([hashes[c] for c in part.T]), names, langs)
+
+    return index.mapInArrow(find, schema)
+
+
+def phrase_hashes(index: DataFrame, length: int, filters: dict[int, Broadcast]) -> DataFrame:
+    """(h, f): short hashes of phrases and their counts, a row for each shard and phrase."""
+
+    def emit(words, counts, hashes, names, langs):
+        columns = [pa.array(_short(hashes).astype(np.int64)), pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["h", "f"])
+
+    return _found(index, length, filters, emit, "h bigint, f bigint")
+
+
+def phrases(index: DataFrame, length: int, filters: dict[int, Broadcast], candidates: Broadcast | None = None) -> DataFrame:
+    """(lang, phrase, f): phrases (that pass ``candidates``) and their counts, a row for each shard that holds one."""
+
+    def emit(words, counts, hashes, names, langs):
+        if candidates is not None:
+            kept = _passes(candidates.value, mixed(_short(hashes)))
+            words, counts = words[kept], counts[kept]
+        words = words - 1
+        phrase = pc.binary_join_element_wise(*[names.take(pa.array(c)) for c in words.T], " ")
+        columns = [langs.take(pa.array(words[:, 0])), phrase, pa.array(counts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
-    return index.mapInArrow(find, "lang string, phrase string, f bigint")
+    return _found(index, length, filters, emit, "lang string, phrase string, f bigint")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, dict[int, DataFrame]]:
@@ -405,12 +443,19 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int
     spark = docs.sparkSession
     with batch_rows(spark, 1):  # a row is a shard of several MB
         index = written(indexes(cut, filters[1]), "fm-index")
-    for length in range(2, LONGEST + 1):
-        counted = phrases(index, length, filters).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        with batch_rows(spark, 1):
+        discard(cut)
+        for length in range(2, LONGEST + 1):
+            candidates = None
+            if length == 2:
+                # Most pairs of words are rare. Their hashes are summed first, at half the shuffle; sums of pairs that share a
+                # hash are too great, never too small, and the pairs left are then counted by their words.
+                hashed = phrase_hashes(index, length, filters).groupBy("h").agg(F.sum("f").alias("f"))
+                candidates = candidate_filter(written(hashed.where(F.col("f") >= least), "hashes"))
+            counted = phrases(index, length, filters, candidates).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
             found[length] = written(counted.where(F.col("f") >= least), f"phrases-{length}")
-        if length < LONGEST:
-            filters[length] = frequent_filter(found[length])
+            if length < LONGEST:
+                filters[length] = frequent_filter(found[length])
+    discard(index)
     return sizes, found
 
 

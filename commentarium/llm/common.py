@@ -59,6 +59,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``written`` frame that no later frame reads."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra columns cannot clash."""
     return df.select(*[df[f"`{given}`"].alias(own) for own, given in columns.items()])
