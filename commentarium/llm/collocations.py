@@ -340,6 +340,11 @@ class Index:
         return Intervals(found.words, given.forward[found.parent] + found.smaller, backward, found.size)
 
 
+def _width(symbols: int) -> type:
+    """The narrowest numbers that hold a shard's symbols."""
+    return np.uint16 if symbols <= 1 << 16 else np.int32
+
+
 _INDEX = "forward binary, backward binary, langs array<string>, words array<string>, lang_of array<int>"
 
 
@@ -363,8 +368,8 @@ def indexes(cut: DataFrame, words: Broadcast) -> DataFrame:
                 kept = np.flatnonzero(inside)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([transform(sequence, symbols).tobytes()], pa.binary()),
-                        pa.array([transform(sequence[::-1], symbols).tobytes()], pa.binary()),
+                        pa.array([transform(sequence, symbols).astype(_width(symbols)).tobytes()], pa.binary()),
+                        pa.array([transform(sequence[::-1], symbols).astype(_width(symbols)).tobytes()], pa.binary()),
                         pa.array([langs], pa.list_(pa.string())),
                         pa.array([[names[k] for k in kept]], pa.list_(pa.string())),
                         pa.array([lang_of[kept].tolist()], pa.list_(pa.int32())),
@@ -387,7 +392,9 @@ def _found(index: DataFrame, length: int, filters: dict[int, Broadcast], emit: C
                 names, lang_of = batch.column("words")[row].values, batch.column("lang_of")[row].values
                 if not len(names):
                     continue
-                forward, backward = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int32) for c in ("forward", "backward"))
+                width = _width(len(names) + 1)
+                stored = (np.frombuffer(batch.column(c)[row].as_py(), dtype=width) for c in ("forward", "backward"))
+                forward, backward = (half.astype(np.int32) for half in stored)
                 langs = batch.column("langs")[row].values.take(lang_of)
                 hashes = np.concatenate([[np.uint64(0)], _word_hashes(names.to_pylist(), langs.to_pylist())])
                 index = Index(forward, backward, len(names) + 1)
@@ -441,20 +448,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int
     found = {1: words.where(F.col("f") >= least)}
     filters = {1: frequent_filter(found[1])}
     spark = docs.sparkSession
-    with batch_rows(spark, 1):  # a row is a shard of several MB
-        index = written(indexes(cut, filters[1]), "fm-index")
-        discard(cut)
-        for length in range(2, LONGEST + 1):
-            candidates = None
-            if length == 2:
-                # Most pairs of words are rare. Their hashes are summed first, at half the shuffle; sums of pairs that share a
-                # hash are too great, never too small, and the pairs left are then counted by their words.
-                hashed = phrase_hashes(index, length, filters).groupBy("h").agg(F.sum("f").alias("f"))
-                candidates = candidate_filter(written(hashed.where(F.col("f") >= least), "hashes"))
-            counted = phrases(index, length, filters, candidates).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-            found[length] = written(counted.where(F.col("f") >= least), f"phrases-{length}")
-            if length < LONGEST:
-                filters[length] = frequent_filter(found[length])
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        with batch_rows(spark, 1):  # a row read is a shard of several MB
+            return written(df, name)
+
+    index = saved(indexes(cut, filters[1]), "fm-index")
+    discard(cut)
+    for length in range(2, LONGEST + 1):
+        candidates = None
+        if length == 2:
+            # Most pairs of words are rare. Their hashes are summed first, at half the shuffle; sums of pairs that share a
+            # hash are too great, never too small, and the pairs left are then counted by their words.
+            hashed = phrase_hashes(index, length, filters).groupBy("h").agg(F.sum("f").alias("f"))
+            candidates = candidate_filter(saved(hashed.where(F.col("f") >= least), "hashes"))
+        counted = phrases(index, length, filters, candidates).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        found[length] = saved(counted.where(F.col("f") >= least), f"phrases-{length}")
+        if length < LONGEST:
+            filters[length] = frequent_filter(found[length])
     discard(index)
     return sizes, found
 
