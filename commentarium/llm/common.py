@@ -72,6 +72,11 @@ def plain(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{given}`"].alias(own) for own, given in columns.items()])
 
 
+def set_aside(df: DataFrame, *own: str) -> DataFrame:
+    """``df`` with all columns but ``own`` under names by place, which clash with no operator's; ``toDF(*df.columns)`` undoes it."""
+    return df.toDF(*[c if c in own else f"_{k}" for k, c in enumerate(df.columns)])
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

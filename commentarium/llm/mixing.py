@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commentarium.llm.common import plain, word_count, written
+from commentarium.llm.common import plain, set_aside, word_count, written
 from commentarium.operators.joins import lookup_join
 
 WEIGHTS = (1, 2, 3)
@@ -123,8 +123,8 @@ def mix(
     """What the mix takes of every row: doc_id, text_hash, source, size, source_size, target, repeats, spans, taken.
 
     ``repeats`` whole copies, then the word ranges ``spans`` (start, length; words
-    from 0) once more; ``taken`` counts the words. Rows without words, null texts
-    among them, are taken 0 times; null sources are one source, the last; rows
+    from 0) once more; ``taken`` counts the words, 0 for rows without words, null texts
+    among them, which are repeated as their shard is; null sources are one source, the last; rows
     that repeat an id count each by itself. Equal calls give equal results.
     """
     size = word_count(F.col("text"))
@@ -182,27 +182,39 @@ def mix(
     )
 
 
+def _row_key() -> Column:
+    """What tells rows apart, without nulls: id, text and source."""
+
+    def never_null(c: str) -> list[Column]:
+        return [F.coalesce(F.col(c).cast("string"), F.lit("")), F.isnull(c)]
+
+    return F.struct(*[c.alias(f"k{n}") for n, c in enumerate([*never_null("doc_id"), F.col("text_hash"), *never_null("source")])])
+
+
 def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed collection, with the columns of ``docs``: a row per whole copy and one for the words taken once more.
 
-    Rows of which nothing is taken are absent; a partial row's text is its words,
-    joined by blanks. ``n_chars`` follows the text where that column exists.
+    Rows without repeats and spans are absent; a partial row's text is its words, joined by
+    blanks. ``n_chars`` follows the text where that column exists.
+    Rows equal in id, text and source get one plan each, so that together they give
+    the words that ``mix`` takes of them. Other columns stay, whatever their names.
     """
-    own = docs.columns
-    plan = mix(docs, seed=seed).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "repeats", "spans"
-    ).dropDuplicates(["_id", "_hash", "_source"])
-    same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.xxhash64("text") == F.col("_hash"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-    )
-    rows = docs.join(plan, same)
+    plan = written(mix(docs, seed=seed).select(_row_key().alias("_key"), "repeats", "spans"), "mix-plan")
+    rows = set_aside(docs, "doc_id", "text", "source")
+    given = rows.columns
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("_key", _row_key()).drop("text_hash")
+    on = ["_key"]
+    if plan.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        on.append("_turn")
+        plan = plan.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy("repeats", "spans")))
+        rows = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*given))))
+    rows = rows.join(plan, on)
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["start"] + 1).cast("int"), s["length"].cast("int")))), " ")
     copies = F.when(F.col("repeats") > 0, F.array_repeat(F.lit(None).cast("string"), F.col("repeats").cast("int"))).otherwise(F.array().cast("array<string>"))
     pieces = F.concat(copies, F.when(F.size("spans") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     out = rows.withColumn("_piece", F.explode(pieces)).withColumn("text", F.coalesce("_piece", "text"))
-    if "n_chars" in own:
+    out = out.select(given).toDF(*docs.columns)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in own])
+    return out

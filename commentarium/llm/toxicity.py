@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commentarium.llm.common import bounded_batches, mixed, odd_constants, plain, texts_of, written
+from commentarium.llm.common import bounded_batches, mixed, odd_constants, plain, set_aside, texts_of, written
 
 COORDINATES_LOG2 = 20
 ROWS_PER_CLASS = 6_000  # bound of the training sample: of each class, those first by hash of their id
@@ -185,6 +185,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not find toxic, with the columns of ``docs``."""
-    own = docs.columns
-    return classify(docs, labels, threshold).where("predicted = 0").select(*[F.col(f"`{c}`") for c in own])
+    """The documents that the classifier does not find toxic, with the columns of ``docs``, whatever their names.
+
+    Each row is judged by its own text, so rows that repeat an id may part; texts
+    that are null or empty get the bias alone.
+    """
+    kept = classify(set_aside(docs, "doc_id", "text"), labels, threshold).where("predicted = 0")
+    return kept.drop("score", "held_out", "predicted").toDF(*docs.columns)
