@@ -8,46 +8,58 @@ encoded. Each stage works on all rows that the one before it kept.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentarium.llm import byte_bpe, jaccard_join, line_dedup, mixing, toxicity
-from commentarium.llm.common import table, written
+from commentarium.llm.common import set_aside, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier, learned from ``labels``, does not find toxic; null and empty texts stay."""
     return toxicity.reject_toxic(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines they lose; ``n_chars`` follows where a text has lost some."""
-    kept = line_dedup.deduplicate_lines(docs)
+    """Texts without the lines they lose; ``n_chars`` follows where a text has lost some.
+
+    Rows that repeat an id are one document. A text that loses all its lines stays as an empty one.
+    """
+    kept = line_dedup.deduplicate_lines(set_aside(docs, "doc_id", "text"))
     changed = F.col("n_dropped") > 0
-    return kept.select(
-        *[
-            F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text")
-            if c == "text"
-            else F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars")
-            if c == "n_chars"
-            else F.col(f"`{c}`")
-            for c in docs.columns
-        ]
-    )
+
+    def column(place: int, name: str) -> Column:
+        if name == "text":
+            return F.when(changed, F.col("kept_text")).otherwise(F.col("text")).alias("text")
+        own = F.col("doc_id" if name == "doc_id" else f"_{place}")
+        if name == "n_chars":
+            return F.when(changed, F.length("kept_text")).otherwise(own).cast(docs.schema[name].dataType).alias(name)
+        return own.alias(name)
+
+    return kept.select(*[column(k, c) for k, c in enumerate(docs.columns)])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    A document is all rows of one id: they stay or go together, equal or not. Rows without an id and
+    texts without words are in no group and stay.
+    """
     joined = jaccard_join.near_duplicates(docs)
     gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows taken as the mix plans it, each repeated row by its own plan; rows without words add none."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids, decoded_sha256): token ids, and the digest of what they decode to."""
+    """(doc_id, source, n_tokens, ids, decoded_sha256) of every row: token ids, and the digest of what they decode to.
+
+    Null and empty texts have no ids; other columns are left out.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
     decoded = byte_bpe.decode(encoded.drop("text"), path)
