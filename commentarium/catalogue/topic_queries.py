@@ -8,6 +8,7 @@ from commentarium.catalogue import inputs as i
 from commentarium.functions.dictionaries import TOPIC_NAMES, is_stopword
 from commentarium.operators import density as dn
 from commentarium.operators import embed, outliers
+from commentarium.operators import layout as ly
 from commentarium.operators import sentiment as st
 from commentarium.operators import topics as tp
 from commentarium.operators.neighbours import nearest
@@ -85,6 +86,27 @@ def projection(spark, sf_dir):
     )
 
 
+def neighbour_layout(spark, sf_dir):
+    """Four far groups planted by the label: in the plane, too, every row's nearest rows are of its group."""
+    rows = i.vectors(spark, sf_dir).withColumn("planted", F.col("topic_id") % 4)
+    pull = F.transform("embedding", lambda x, k: x.cast("double") + F.when(k == F.col("planted"), 40.0).otherwise(0.0))
+    rows = rows.select("row_id", "planted", pull.alias("components"))
+    places = staged_columns(ly.neighbour_layout(rows).select(F.col("row_id").alias("key"), F.array("x", "y").alias("v")), "places")
+    own, other = (rows.select(F.col("row_id").alias(end), F.col("planted").alias(name)) for end, name in (("src", "planted"), ("dst", "other")))
+    pairs = nearest(places).join(own, "src").join(other, "dst")
+    return pairs.groupBy(F.col("src").alias("row_id"), "planted").agg(F.count_if(F.col("other") == F.col("planted")).alias("n_own"))
+
+
+def kept_neighbours(spark, sf_dir):
+    """The layout keeps more of the vectors' neighbours than their two widest axes do."""
+    rows = i.vectors(spark, sf_dir)
+    points = rows.select(F.col("row_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"))
+    axes = outliers.reduce_vectors(rows, outliers.fit_reduction(rows, components=2)).select(F.col("row_id").alias("key"), F.col("components").alias("v"))
+    laid = ly.neighbour_layout(rows, features="embedding").select(F.col("row_id").alias("key"), F.array("x", "y").alias("v"))
+    kept = ly.kept_neighbours(points, staged_columns(laid, "places")).join(ly.kept_neighbours(points, axes).withColumnRenamed("n_kept", "n_axes"), "key")
+    return kept.agg(F.count("*").alias("n_rows"), (F.sum("n_kept") > F.sum("n_axes")).alias("more_than_axes"))
+
+
 def reachability(spark, sf_dir):
     """Mutual reachability of every vector and its nearest neighbours."""
     points = i.vectors(spark, sf_dir).select(F.col("row_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"))
@@ -251,6 +273,14 @@ QUERIES = {
         projection,
         "SELECT count(*) AS n_rows, 0.0 AS mean_x, 0.0 AS mean_y, 0.0 AS correlation, true AS first_is_wider FROM embeddings",
     ),
+    "top02_neighbour_layout": (
+        neighbour_layout,
+        """SELECT vec_id AS row_id, label % 4 AS planted, least(15, count(*) OVER (PARTITION BY label % 4) - 1) AS n_own FROM embeddings""",
+    ),
+    "top02_kept_neighbours": (
+        kept_neighbours,
+        "SELECT count(*) AS n_rows, true AS more_than_axes FROM embeddings",
+    ),
     "top03_grid_clusters": (
         grid_clusters,
         i.with_ctes(

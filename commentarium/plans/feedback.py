@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentarium.operators import charts, embed, outliers, search, sentiment, summary, topics
+from commentarium.operators.density import cluster_density
+from commentarium.operators.layout import neighbour_layout
 from commentarium.operators.preprocess import preprocess
 from commentarium.operators.storage import clear_scratch, cut_lineage, stage
 from commentarium.sources.languages import require_supported
@@ -108,10 +110,15 @@ TABLES = (
 )
 
 
-def _cluster_side(side: str, vectors: DataFrame, labels: DataFrame) -> DataFrame:
+def _cluster_side(side: str, vectors: DataFrame, labels: DataFrame, method: str) -> DataFrame:
+    cluster = {"kmeans": topics.cluster_kmeans, "density": cluster_density}[method]
+    points = _side_points(side, vectors, labels)
+    return cluster(points).withColumn("sentiment", F.lit(side)).select("row_id", "sentiment", "topic_id")
+
+
+def _side_points(side: str, vectors: DataFrame, labels: DataFrame) -> DataFrame:
     members = labels.where(F.col("sentiment") == side).select("row_id")
-    points = members.join(vectors.select("row_id", "components"), "row_id")
-    return topics.cluster_kmeans(points).withColumn("sentiment", F.lit(side)).select("row_id", "sentiment", "topic_id")
+    return members.join(vectors.select("row_id", "components"), "row_id")
 
 
 def _name_topics(
@@ -148,6 +155,8 @@ def analyse(
     outlier_method: str = "forest",
     merge_at: float | None = topics.MERGE_SIMILARITY,
     diversity: float | None = None,
+    topic_method: str = "kmeans",
+    layout: str = "axes",
     keys: Sequence[str] = ("token",),
     labelled: DataFrame | None = None,
     cache: str | None = None,
@@ -162,7 +171,9 @@ def analyse(
     rows and serves it. With neither, every language takes the lexicon route.
     ``cache`` is a folder of vectors kept from run to run: each distinct text is then
     encoded once ever per ``cache_id``, which names a given ``encode`` (the built-in
-    encoder is named by its fitted weights).
+    encoder is named by its fitted weights). ``topic_method`` is ``kmeans`` or ``density``;
+    ``layout`` places rows by the two widest ``axes`` of all vectors, or each side
+    by its ``neighbours``.
 
     Rows are laid out by ``row_id`` once. After that, joining scores, labels and
     topics to texts is a join of staged tables with equal buckets, and only
@@ -170,6 +181,8 @@ def analyse(
     """
     outliers.check_contamination(contamination)
     require_supported(comments)
+    if topic_method not in ("kmeans", "density") or layout not in ("axes", "neighbours"):
+        raise ValueError(f"Topics by {topic_method!r} or a layout by {layout!r} are not on offer.")
 
     prepared = preprocess(comments, max_chars=max_chars, lemmas=lemmas)
     if encode is None or cache is not None:
@@ -237,7 +250,10 @@ def analyse(
     ]
     topic_list = _no_topics(comments)
     if large:
-        given = reduce(DataFrame.unionByName, [_cluster_side(s, vectors, labels) for s in large])
+        given = reduce(DataFrame.unionByName, [_cluster_side(s, vectors, labels, topic_method) for s in large])
+        if layout == "neighbours":
+            laid = [neighbour_layout(_side_points(s, vectors, labels)) for s in large]
+            placed = stage(reduce(DataFrame.unionByName, laid))
         topic_list, given = _name_topics(stage(given), full, coded, merge_at, diversity)
         marked = topics.mark_representatives(given.join(coded, "row_id")).drop("embedding", "sentiment")
         named = topics.attach_topics(full.join(marked, "row_id"), topic_list)

@@ -69,6 +69,15 @@ def test_large_side_is_clustered(spark, lexicon):
     assert result.headlines.count() == 1
 
 
+def test_density_topics_and_neighbour_layout(spark, lexicon):
+    rows = check_contract(analyse(comments(spark, 160, 120), lexicon, topic_method="density", layout="neighbours"), 280)
+    assert rows.where("x is null or y is null").count() == 0
+    assert rows.select("x", "y").distinct().count() > 20
+    assert rows.where("topic_id < -1").count() == 0
+    with pytest.raises(ValueError, match="not on offer"):
+        analyse(comments(spark, 5, 5), lexicon, layout="circle")
+
+
 def test_given_encoder_and_predictor(spark, lexicon):
     df = comments(spark, 30, 20).withColumn("lang", F.when(F.col("row_id") % 2 == 0, "en").otherwise("fr"))
 
