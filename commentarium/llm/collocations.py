@@ -251,10 +251,14 @@ def transform(sequence: np.ndarray, symbols: int) -> np.ndarray:
 
     The sequence starts and ends with a break, so the transform has the same symbols. Intervals of patterns up to that length are those of the full transform.
     """
-    padded = np.concatenate([sequence, np.zeros(LONGEST, dtype=sequence.dtype)]).astype(np.int64)
-    pairs = padded[:-1] * symbols + padded[1:]
-    known, rank = np.unique(pairs, return_inverse=True)
-    order = np.argsort(rank[: len(sequence)] * len(known) + rank[2 : len(sequence) + 2])
+    padded = np.concatenate([sequence, np.zeros(LONGEST, dtype=sequence.dtype)]).astype(np.uint64)
+    pairs = padded[:-1] * np.uint64(symbols) + padded[1:]
+    if symbols <= 1 << 16:
+        unit = np.uint64(symbols * symbols)  # four symbols are one number
+    else:
+        known, pairs = np.unique(pairs, return_inverse=True)
+        unit = len(known)
+    order = np.argsort(pairs[: len(sequence)] * unit + pairs[2 : len(sequence) + 2])
     return np.concatenate([[_BREAK], sequence])[order].astype(np.int32)
 
 
@@ -279,11 +283,12 @@ class _Half:
         """(interval, symbol, count, count of smaller symbols) of all symbols before the rows of every interval."""
         rows = np.repeat(low - np.cumsum(size) + size, size)
         rows += np.arange(len(rows))
-        keys = np.repeat(np.arange(len(low)) * self.symbols, size)
-        keys += self.bwt[rows]
+        width = np.uint32 if len(low) * self.symbols < 1 << 32 else np.int64
+        keys = np.repeat((np.arange(len(low)) * self.symbols).astype(width), size)
+        keys += self.bwt[rows].astype(width)
         del rows
         keys, counts = np.unique(keys, return_counts=True)
-        interval, symbol = np.divmod(keys, self.symbols)
+        interval, symbol = np.divmod(keys.astype(np.int64), self.symbols)
         done = np.cumsum(counts) - counts
         starts = np.searchsorted(interval, np.arange(len(low)))
         smaller = done - done[np.minimum(starts, max(len(done) - 1, 0))][interval] if len(done) else done
@@ -345,7 +350,7 @@ def _width(symbols: int) -> type:
     return np.uint16 if symbols <= 1 << 16 else np.int32
 
 
-_INDEX = "forward binary, backward binary, langs array<string>, words array<string>, lang_of array<int>"
+_INDEX = "forward binary, backward binary, langs array<string>, words array<string>, lang_of array<int>, hashes binary"
 
 
 def indexes(cut: DataFrame, words: Broadcast) -> DataFrame:
@@ -356,7 +361,8 @@ def indexes(cut: DataFrame, words: Broadcast) -> DataFrame:
             for row in range(batch.num_rows):
                 ids, langs, names, lang_of = (batch.column(c)[row] for c in ("ids", "langs", "words", "lang_of"))
                 langs, names, lang_of = langs.as_py(), names.values.to_pylist(), lang_of.values.to_numpy()
-                inside = _passes(words.value, _phrase_hashes([_word_hashes(names, [langs[k] for k in lang_of])]))
+                hashes = _word_hashes(names, [langs[k] for k in lang_of])
+                inside = _passes(words.value, _phrase_hashes([hashes]))
                 number = np.zeros(len(names) + 1, dtype=np.int64)
                 number[1:][inside] = np.arange(1, int(inside.sum()) + 1)
                 sequence = number[np.frombuffer(ids.as_py(), dtype=np.int32)]
@@ -373,8 +379,9 @@ def indexes(cut: DataFrame, words: Broadcast) -> DataFrame:
                         pa.array([langs], pa.list_(pa.string())),
                         pa.array([[names[k] for k in kept]], pa.list_(pa.string())),
                         pa.array([lang_of[kept].tolist()], pa.list_(pa.int32())),
+                        pa.array([hashes[kept].tobytes()], pa.binary()),
                     ],
-                    ["forward", "backward", "langs", "words", "lang_of"],
+                    ["forward", "backward", "langs", "words", "lang_of", "hashes"],
                 )
 
     return cut.select("ids", "langs", "words", "lang_of").mapInArrow(build, _INDEX)
@@ -396,7 +403,7 @@ def _found(index: DataFrame, length: int, filters: dict[int, Broadcast], emit: C
                 stored = (np.frombuffer(batch.column(c)[row].as_py(), dtype=width) for c in ("forward", "backward"))
                 forward, backward = (half.astype(np.int32) for half in stored)
                 langs = batch.column("langs")[row].values.take(lang_of)
-                hashes = np.concatenate([[np.uint64(0)], _word_hashes(names.to_pylist(), langs.to_pylist())])
+                hashes = np.concatenate([[np.uint64(0)], np.frombuffer(batch.column("hashes")[row].as_py(), dtype=np.uint64)])
                 index = Index(forward, backward, len(names) + 1)
                 held = index.single()
                 for words in range(2, length + 1):
