@@ -30,6 +30,15 @@ def csv_round_trip(spark, sf_dir):
     return loaded.select(F.col("row_id").cast("bigint").alias("row_id"), "raw_text", "comment", "lang", "source")
 
 
+def quoted_records(spark, sf_dir):
+    """Texts with line breaks, each file of them cut into records by as many tasks as it has splits."""
+    path = scratch_path(spark, "quoted")
+    _write_csv(_csv_rows(spark, sf_dir), path)
+    loaded = cm.load_comments(spark, path, "comment", key="row_id", parallel=True)
+    n_lines = F.size(F.split("raw_text", "\n", -1)).cast("bigint")
+    return loaded.select(F.col("row_id").cast("bigint").alias("row_id"), "raw_text", "lang", "source", n_lines.alias("n_lines"))
+
+
 def mixed_encodings(spark, sf_dir):
     """French and German files in Latin-1, the rest in UTF-8; read together."""
     rows = _csv_rows(spark, sf_dir)
@@ -111,6 +120,11 @@ _DOC_TEXTS = "SELECT doc_id AS row_id, text AS raw_text, text AS comment, lang,
 
 QUERIES = {
     "src01_csv_round_trip": (csv_round_trip, _DOC_TEXTS),
+    "src01_quoted_records": (
+        quoted_records,
+        """SELECT doc_id AS row_id, text AS raw_text, lang, source,
+          (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents""",
+    ),
     "src02_mixed_encodings": (
         mixed_encodings,
         r"""SELECT doc_id AS row_id, CASE WHEN lang IN ('fr', 'de') THEN regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') ELSE text END AS raw_text
