@@ -169,6 +169,15 @@ def contamination_cut(spark, sf_dir):
     return _flagged(spark, sf_dir).select("row_id", "is_outlier")
 
 
+def running_cut(spark, sf_dir):
+    """Three batches leave a sketch of their scores each; all rows are flagged by the cut of the merged sketches."""
+    folder = scratch_path(spark, "score-sketches")
+    scored = outliers.centroid_distances(i.vectors(spark, sf_dir).persist()).select("row_id", "outlier_score").persist()
+    for batch in range(3):
+        outliers.store_scores(scored.where(F.col("row_id") % 3 == batch), folder, batch)
+    return outliers.flag_above(scored, outliers.stored_cut(spark, folder)).select("row_id", "is_outlier")
+
+
 def split_rows(spark, sf_dir):
     clean, out = outliers.split_outliers(_flagged(spark, sf_dir).persist())
     return clean.select("row_id", F.lit("clean").alias("part")).unionByName(out.select("row_id", F.lit("outlier").alias("part")))
@@ -252,6 +261,10 @@ QUERIES = {
         forest_on_texts, "SELECT lang, count(*) AS n_rows, true AS within_cut FROM documents GROUP BY lang"
     ),
     "out04_contamination_cut": (contamination_cut, i.with_ctes(*_DISTANCES, select="SELECT row_id, is_outlier FROM flagged")),
+    "out04_running_cut": (
+        running_cut,
+        i.with_ctes(*_DISTANCES, select="SELECT row_id, score > (SELECT quantile_disc(score, 0.95) FROM dist) AS is_outlier FROM dist"),
+    ),
     "out05_split": (
         split_rows,
         i.with_ctes(*_DISTANCES, select="SELECT row_id, CASE WHEN is_outlier THEN 'outlier' ELSE 'clean' END AS part FROM flagged"),

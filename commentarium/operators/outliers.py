@@ -8,14 +8,14 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from commentarium.functions.forest import MODEL_SCHEMA, Forest, grow_tree
 from commentarium.functions.keys import SEED
 from commentarium.functions.vectors import SCORE_DIGITS, distance, literal, mean_vector
-from commentarium.operators.quantiles import exact_quantile
+from commentarium.operators.quantiles import exact_quantile, quantile_of_sketches, sketch
 from commentarium.operators.storage import cut_lineage, staged_columns
 
 # Fixed values.
@@ -149,21 +149,45 @@ def centroid_distances(df: DataFrame, vector: str = "embedding", out: str = "out
     return df.withColumn(out, distance(F.col(vector), literal([float(x) for x in centre])))
 
 
-def flag_outliers(df: DataFrame, contamination: float = DEFAULT_CONTAMINATION, score: str = "outlier_score") -> DataFrame:
+def store_scores(df: DataFrame, folder: str, batch: str | int, score: str = "outlier_score") -> None:
+    """Keep a sketch of a batch's scores, one row of some 25 kB; the same batch stored again replaces its own."""
+    sketch(df, F.round(score, SCORE_DIGITS)).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch}")
+
+
+def stored_cut(spark: SparkSession, folder: str, contamination: float = DEFAULT_CONTAMINATION) -> float | None:
+    """The cut over all stored batches, without reading a score again; its share of rows is off by 0.13 % of them at most
+    99 times in 100. It is one of the scores, not a value between two; None without any."""
+    check_contamination(contamination)
+    sketches = spark.read.schema("n bigint, sketch binary").parquet(f"{folder.rstrip('/')}/batch=*")
+    return quantile_of_sketches(sketches, 1.0 - contamination)
+
+
+def flag_above(df: DataFrame, cut: float | None, score: str = "outlier_score") -> DataFrame:
+    """Add ``is_outlier`` by a given cut (``stored_cut``): a later batch needs no pass of its own.
+
+    Scores that are not finite are outliers, missing ones are not; without a cut no finite score is one.
+    """
+    rounded = df.withColumn(score, F.round(score, SCORE_DIGITS))
+    odd = F.isnan(score) | (F.abs(score) == float("inf"))
+    limit = F.lit(float("inf") if cut is None else cut)
+    return rounded.withColumn("is_outlier", F.coalesce(odd | (F.col(score) > limit), F.lit(False)))
+
+
+def flag_outliers(
+    df: DataFrame, contamination: float = DEFAULT_CONTAMINATION, score: str = "outlier_score", stored: bool = False
+) -> DataFrame:
     """Add ``is_outlier``: scores strictly above the ``1 - contamination`` quantile.
 
     Scores are rounded to 9 digits first, so that ties do not hang on summation noise.
     The quantile is that of the finite scores: a score that is not a number or infinite
     (a vector with such parts) is an outlier itself and moves no other row's flag.
-    Rows without a score are not flagged.
+    Rows without a score are not flagged. The quantile may take several passes, which
+    read eight bytes a row: ``stored`` says that ``df`` is in columnar files already.
     """
     check_contamination(contamination)
-    rounded = df.withColumn(score, F.round(score, SCORE_DIGITS))
-    # The quantile takes several passes: let them read eight bytes a row.
-    threshold = exact_quantile(staged_columns(rounded.select(score), "scores"), score, 1.0 - contamination)
-    limit = F.lit(float("inf") if threshold is None else threshold)
-    odd = F.isnan(score) | (F.abs(score) == float("inf"))
-    return rounded.withColumn("is_outlier", F.coalesce(odd | (F.col(score) > limit), F.lit(False)))
+    scores = df.select(F.round(score, SCORE_DIGITS).alias(score))
+    cut = exact_quantile(scores if stored else staged_columns(scores, "scores"), score, 1.0 - contamination)
+    return flag_above(df, cut, score)
 
 
 def detect_outliers(
@@ -190,7 +214,7 @@ def detect_outliers(
     reduced = staged_columns(reduced, "reduced")
     model, sample_size = grow_forest(reduced, row_id=row_id)
     scored = staged_columns(forest_scores(reduced, model, sample_size), "scored")
-    return flag_outliers(scored, contamination)
+    return flag_outliers(scored, contamination, stored=True)
 
 
 def split_outliers(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,25 +1,55 @@
-"""Exact quantiles of a distributed column.
+"""Exact quantiles of a distributed column, and sketches of it that can be stored and merged.
 
 ``percentile`` gathers every distinct value in one task, ``percentile_approx`` is
-not exact, and a global sort shuffles everything. Here a few histogram passes
-narrow the value range around the wanted rank until it is a single value or
-holds a few thousand rows.
+not exact, and a global sort shuffles everything. Here a mergeable sketch gives a
+bracket around the wanted rank, and one pass counts what lies below it and the values
+inside. Where the bracket holds many values, histogram passes narrow it first; if it
+misses the rank, which the counts show, they start from the whole range.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SKETCH_K = 4096  # about 25 kB; ranks are within 0.13 % of the rows 99 times in 100
+_HELD = SKETCH_K // 2  # a sketch of so few values holds every one of them
+_SLACK = 0.004  # three times that error, on either side of the rank
 _BINS = 1024
 _SMALL = 10_000
 
 
-def _order_statistic(values: DataFrame, rank: int, low: float, high: float, size: int) -> float:
-    """The value at 0-based ``rank`` of ``values.v``, known to lie in [low, high]."""
-    below = 0
+def finite(df: DataFrame, column: str | Column) -> DataFrame:
+    value = F.col(column) if isinstance(column, str) else column
+    return df.select(value.cast("double").alias("v")).where(F.abs("v") < float("inf"))
+
+
+def sketch(df: DataFrame, column: str | Column) -> DataFrame:
+    """One row (n, sketch) on the finite values; such rows of several batches can be merged."""
+    return finite(df, column).agg(F.count("*").alias("n"), F.kll_sketch_agg_double("v", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def quantile_of_sketches(sketches: DataFrame, q: float) -> float | None:
+    """The smallest value that at least ``q`` of all rows do not exceed, up to the sketch's error in rank.
+
+    Exact, whatever the number of sketches, while they have seen at most ``SKETCH_K`` // 2 values.
+    """
+    merged = sketches.where("n > 0").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("s"))
+    return merged.select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", F.lit(float(q))))).first()[0]
+
+
+def _at_ranks(spark: SparkSession, data: bytes, ranks: Sequence[float]) -> list[float]:
+    """Values of one sketch, which is of bounded size, at shares of its rows; no job runs."""
+    bounded = ", ".join(f"{min(max(r, 0.0), 1.0)!r}D" for r in ranks)
+    query = f"SELECT kll_sketch_get_quantile_double(:sketch, array({bounded}))"
+    return spark.sql(query, {"sketch": bytearray(data)}).first()[0]
+
+
+def _order_statistic(values: DataFrame, rank: int, low: float, high: float, size: int, below: int = 0) -> float:
+    """The value at 0-based ``rank`` of ``values.v``: one of ``size`` in [low, high], ``below`` being less than low."""
     while low < high:
         inside = values.where(F.col("v").between(low, high))
         if size <= _SMALL:
@@ -42,25 +72,69 @@ def _order_statistic(values: DataFrame, rank: int, low: float, high: float, size
     return low
 
 
+def _inside(values: DataFrame, rank: int, low: float, high: float) -> list[float] | None:
+    """The values at ``rank`` and the next one, by one pass that counts the distinct values in [low, high].
+
+    What lies outside becomes two rows. None if the bracket misses the rank or holds over ``_SMALL`` values.
+    """
+    side = F.when(F.col("v") < low, -1).when(F.col("v") > high, 1).otherwise(0)
+    counted = values.groupBy(side.alias("side"), F.when(side == 0, F.col("v")).alias("value"))
+    counted = counted.agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    rows = counted.orderBy("v").limit(_SMALL + 3).collect()
+    if len(rows) == _SMALL + 3:
+        return None
+    found, upto = [], 0
+    for r in rows:
+        for wanted in (rank, rank + 1):
+            if upto <= wanted < upto + r["n"]:
+                if r["side"] < 0 or (r["side"] > 0 and wanted > upto):
+                    return None
+                found.append(r["v"])
+        upto += r["n"]
+    return found
+
+
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     """Quantile ``q`` of the finite values, with linear interpolation between neighbours; None without any.
 
-    Reads ``df`` a handful of times: persist it first.
+    Reads ``df`` once for few values, else twice; past some million rows a few times more: write it first.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.abs("v") < float("inf"))
-    seen = values.agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    values = finite(df, column)
+    seen = values.agg(
+        F.count("*").alias("n"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        F.kll_sketch_agg_double("v", F.lit(SKETCH_K)).alias("sketch"),
+    ).first()
     n = seen["n"]
     if n == 0:
         return None
     position = (n - 1) * q
     rank = math.floor(position)
     share = position - rank
-    lower = _order_statistic(values, rank, seen["low"], seen["high"], n)
+    if n <= _HELD:
+        near = (rank + 0.5) / n, (min(rank + 1, n - 1) + 0.5) / n
+    else:
+        near = rank / n - _SLACK, (rank + 1) / n + _SLACK
+    low, high = _at_ranks(df.sparkSession, seen["sketch"], near)
+    if n <= _HELD:
+        return low + (high - low) * share
+    if 2 * _SLACK * n <= _SMALL:
+        found = _inside(values, rank, low, high)
+        if found:
+            return found[0] + (found[-1] - found[0]) * share
+    counts = values.agg(
+        F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("inside")
+    ).first()
+    if counts["below"] <= rank < counts["below"] + counts["inside"]:
+        lower = _order_statistic(values, rank, low, high, counts["inside"], counts["below"])
+    else:
+        lower = _order_statistic(values, rank, seen["low"], seen["high"], n)
     if share == 0:
         return lower
-    around = values.agg(
+    next_up = values.agg(
         F.count_if(F.col("v") <= lower).alias("upto"),
         F.min(F.when(F.col("v") > lower, F.col("v"))).alias("above"),
     ).first()
-    upper = lower if around["upto"] > rank + 1 or around["above"] is None else around["above"]
+    upper = lower if next_up["upto"] > rank + 1 or next_up["above"] is None else next_up["above"]
     return lower + (upper - lower) * share

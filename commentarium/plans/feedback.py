@@ -219,7 +219,7 @@ def analyse(
         else:
             scored = outliers.centroid_distances(reduced)
         scored = scored.select("row_id", "components", "outlier_score")
-        vectors = outliers.flag_outliers(stage(scored, partitioned=True), contamination)
+        vectors = outliers.flag_outliers(stage(scored, partitioned=True), contamination, stored=True)
     flags = vectors.select("row_id", "outlier_score", "is_outlier")
 
     # Sentiment and similarity of clean rows.

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,11 +35,15 @@ def test_cosine_matches_numpy(spark):
     assert same == 0
 
 
-@pytest.mark.parametrize("small", [4, 10_000])
+@pytest.mark.parametrize("slack, small", [(None, 10_000), (0.004, 10_000), (0.004, 4), (-0.02, 4), (-0.02, 10_000)])
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 1.0])
-def test_exact_quantile(spark, monkeypatch, q, small):
+def test_exact_quantile(spark, monkeypatch, q, slack, small):
+    """From the sketch alone; by a bracket; by one that holds too many values; by one that misses the rank."""
     from commentarium.operators import quantiles
 
+    if slack is not None:
+        monkeypatch.setattr(quantiles, "_HELD", 0)
+        monkeypatch.setattr(quantiles, "_SLACK", slack)
     monkeypatch.setattr(quantiles, "_SMALL", small)
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=400), np.full(300, 0.25), [1e6, -1e6]])
@@ -46,6 +51,29 @@ def test_exact_quantile(spark, monkeypatch, q, small):
     assert exact_quantile(df, "s", q) == pytest.approx(np.percentile(values, 100 * q), rel=1e-12)
 
 
+def test_exact_quantile_beyond_what_a_sketch_holds(spark):
+    df = spark.range(0, 300_000, 1, 8).select(F.pow(F.rand(7), 3).alias("s")).persist()
+    values = np.array([r[0] for r in df.collect()])
+    for q in (0.001, 0.5, 0.95, 0.9999):
+        assert exact_quantile(df, "s", q) == pytest.approx(np.percentile(values, 100 * q), rel=1e-12)
+    df.unpersist()
+
+
+def test_stored_sketches_give_the_cut_of_all_batches(spark, tmp_path):
+    scores = np.random.default_rng(3).normal(size=60_000)
+    df = spark.createDataFrame(pd.DataFrame({"k": range(60_000), "outlier_score": scores}))
+    for batch in (0, 1, 1):  # a batch stored twice counts once
+        outliers.store_scores(df.where(F.col("k") % 2 == batch), str(tmp_path), batch)
+    outliers.store_scores(df.limit(0), str(tmp_path), "none")
+    cut = outliers.stored_cut(spark, str(tmp_path))
+    assert abs((scores > cut).mean() - 0.05) < 0.003
+    odd = spark.createDataFrame([(1, 99.0), (2, -99.0), (3, float("nan")), (4, None)], "k int, outlier_score double")
+    flags = {r["k"]: r["is_outlier"] for r in outliers.flag_above(odd, cut).collect()}
+    assert flags == {1: True, 2: False, 3: True, 4: False}
+    outliers.store_scores(df.limit(0), str(tmp_path / "empty"), 0)
+    assert outliers.stored_cut(spark, str(tmp_path / "empty")) is None
+
+
 def test_quantile_of_nothing(spark):
     assert exact_quantile(spark.createDataFrame([], "s double"), "s", 0.5) is None
 
