@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentarium.operators.storage import cut_lineage
+from commentarium.operators.storage import staged_columns
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -14,10 +14,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``nodes(node)`` and ``edges(src, dst)``, in either direction or both. Each
     round takes the least label among neighbours, then jumps to that label's own
     label, so paths halve and the rounds are logarithmic. Every round is written
-    to the shared folder, which keeps plans short and survives lost executors.
+    to the shared folder, which keeps plans short and survives lost executors. Rounds read
+    files, whose sizes are known: a checkpoint would keep Spark's estimate of the joins' size,
+    a number that gets three times as many digits each round and fills the driver.
     """
-    both = cut_lineage(
-        edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = staged_columns(
+        edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(),
+        "edges",
     )
     labels = nodes.select("node", F.col("node").alias("component")).distinct()
     while True:
@@ -30,10 +33,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "node", "component", F.least("component", F.coalesce("near", "component")).alias("best")
         )
         jump = labels.select(F.col("node").alias("best"), F.col("component").alias("far"))
-        stepped = cut_lineage(
+        stepped = staged_columns(
             stepped.join(jump, "best", "left").select(
                 "node", "component", F.least("best", F.coalesce("far", "best")).alias("next")
-            )
+            ),
+            "components",
         )
         changed = stepped.where(F.col("next") != F.col("component")).limit(1).count()
         labels = stepped.select("node", F.col("next").alias("component"))

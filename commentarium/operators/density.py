@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from commentarium.operators.components import connected_components
 from commentarium.operators.joins import lookup_join
 from commentarium.operators.neighbours import NEIGHBOURS, nearest
-from commentarium.operators.storage import cut_lineage, staged_columns
+from commentarium.operators.storage import staged_columns
 from commentarium.operators.topics import NOISE, drop_small_clusters, min_cluster_rows
 
 LEVELS = 32
@@ -48,12 +48,13 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     Every round each part picks its least link to another part; parts linked so become one.
     The picks form trees with one pair that picked each other, so following them upwards, with doubled
     steps, leads to a common part. Parts at least halve each round, and links inside a part vanish.
+    Rounds read files of the round before: a checkpoint would keep Spark's estimate of the joins' size, which squares each step.
     """
     links = staged_columns(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("w", "src", "dst").alias("e")), "links")
     chosen: DataFrame | None = None
     while links.limit(1).count():
         both = links.select("a", "b", "e").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
-        pick = cut_lineage(both.groupBy("a").agg(F.min(F.struct("e", F.col("b").alias("to"))).alias("m")).select("a", "m.to", "m.e"))
+        pick = staged_columns(both.groupBy("a").agg(F.min(F.struct("e", F.col("b").alias("to"))).alias("m")).select("a", "m.to", "m.e"), "picks")
         picked = pick.select("e.src", "e.dst", "e.w").distinct()
         chosen = picked if chosen is None else chosen.unionByName(picked)
         back = pick.select(F.col("a").alias("to"), F.col("to").alias("back"))
@@ -61,7 +62,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         up = pick.join(back, "to").select("a", F.when(top, F.col("a")).otherwise(F.col("to")).alias("to"))
         while True:
             above = up.select(F.col("a").alias("to"), F.col("to").alias("above"))
-            stepped = cut_lineage(up.join(above, "to").select("a", "to", "above"))
+            stepped = staged_columns(up.join(above, "to").select("a", "to", "above"), "steps")
             up = stepped.select("a", F.col("above").alias("to"))
             if not stepped.where("to <> above").limit(1).count():
                 break

@@ -163,3 +163,15 @@ def test_the_more_stable_of_outer_and_inner_parts():
     assert (left.stability(cuts), right.stability(cuts)) == (40 * 0.25, 45 * 0.25 + 44 * 0.5)
     assert [(b.part, b.top) for b in stable(roots, cuts)] == [(1, 0), (7, 0), (50, 1)]
     assert stable([Branch(1, 0, 0, {0: 5})], [1.0], single=True)[0].part == 1
+
+
+def test_rounds_do_not_carry_the_estimate_of_their_joins(spark):
+    def bits(df):
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length()
+
+    path = [(i, i + 1) for i in range(60)]
+    nodes = spark.createDataFrame([(i,) for i in range(61)], "node bigint")
+    found = density.connected_components(nodes, spark.createDataFrame(path, "src bigint, dst bigint"))
+    assert {r["component"] for r in found.collect()} == {0} and bits(found) < 100
+    forest = spanning_forest(spark.createDataFrame([(a, b, 1.0 + a) for a, b in path], "src bigint, dst bigint, w double"))
+    assert forest.count() == 60 and bits(forest) < 100
