@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from commentarium.functions.dictionaries import LANGUAGES
 from commentarium.functions.text import NEGATION_PREFIX
-from commentarium.operators.joins import lookup_join
+from commentarium.operators.joins import MAX_BROADCAST_ROWS, fits_broadcast
+from commentarium.operators.storage import cut_lineage, staged_columns
 
 # Fixed values.
 POSITIVE_FROM = 0.05
@@ -27,6 +28,8 @@ NEGATION_FLIP = -0.74
 PREDICT_BATCH = 32
 MIN_SIDE_ROWS = 100
 SIDES = ("pos", "neg")
+FREQUENT_WORDS = 300_000  # broadcast of a larger lexicon
+_DRAWN = 64  # one row in so many tells which words are frequent
 
 PROBABILITIES = "output string, p_pos double, p_neg double, p_neu double"
 PredictBatch = Callable[[Sequence[str]], Sequence[tuple[str, float, float, float]]]
@@ -107,6 +110,7 @@ def lexicon_scores(
     keys: Sequence[str] = ("token",),
     negation: str = "mute",
     carry: Sequence[str] = (),
+    max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """(row_id, *carry, n_tokens, score_1, score_2) for every row, hits or none.
 
@@ -114,7 +118,8 @@ def lexicon_scores(
     of the second valences that hit. ``negation``: a ``NEG_`` token is unknown to
     the lexicon ("mute") or counts as its word times -0.74 ("flip"). A row's
     tokens leave the explode next to each other, so the map-side aggregate sends
-    one line per comment into the shuffle.
+    one line per comment into the shuffle. A lexicon of more than ``max_rows`` words
+    adds one line per comment and rare word.
     """
     keys = list(keys)
     side_keys = [k for k in keys if k != "token"]
@@ -129,21 +134,60 @@ def lexicon_scores(
         exploded = exploded.withColumn("_factor", F.lit(1.0)).withColumn("token", F.col("_word"))
     else:
         raise ValueError(f"negation must be 'mute' or 'flip', not {negation!r}")
-    hits = lookup_join(exploded, lexicon, keys, "left", spread_by=row_id)
     grouping = list(dict.fromkeys([row_id, *carry]))
-    return (
-        hits.groupBy(*grouping)
-        .agg(
-            F.count("_word").alias("n_tokens"),
-            F.sum(F.col("valence_1") * F.col("_factor")).alias("_sum_1"),
-            F.avg(F.col("valence_2") * F.col("_factor")).alias("_mean_2"),
-        )
-        .select(
-            *grouping,
-            "n_tokens",
-            compound(F.col("_sum_1")).alias("score_1"),
-            F.coalesce("_mean_2", F.lit(0.0)).alias("score_2"),
-        )
+    lexicon = cut_lineage(lexicon)
+    if fits_broadcast(lexicon, max_rows):
+        sums = _summed(exploded.join(F.broadcast(lexicon), keys, "left"), grouping)
+    else:
+        drawn = F.pmod(F.xxhash64(row_id), F.lit(_DRAWN)) == 0
+        sums = _sums_of_large(exploded, exploded.where(drawn), lexicon, keys, grouping)
+    return sums.select(
+        *grouping,
+        "n_tokens",
+        compound(F.col("_sum_1")).alias("score_1"),
+        F.coalesce(F.try_divide("_sum_2", "_hits_2"), F.lit(0.0)).alias("score_2"),
+    )
+
+
+def _summed(hits: DataFrame, by: Sequence[str | Column]) -> DataFrame:
+    """Number of words, their factors and the sums of both valences: a hash aggregate over fixed-width values."""
+    second = F.col("valence_2") * F.col("_factor")
+    return hits.groupBy(*by).agg(
+        F.count("_word").alias("n_tokens"),
+        F.sum("_factor").alias("_factors"),
+        F.sum(F.col("valence_1") * F.col("_factor")).alias("_sum_1"),
+        F.sum(second).alias("_sum_2"),
+        F.count(second).alias("_hits_2"),
+    )
+
+
+def _sums_of_large(words: DataFrame, drawn: DataFrame, lexicon: DataFrame, keys: list[str], grouping: list[str]) -> DataFrame:
+    """The same sums for a lexicon too large to broadcast: only rare words are shuffled.
+
+    The words most frequent in a fixed part of the rows are broadcast with their valences, or with the
+    knowledge that they have none. They settle most of the text in the pass that reads it; the
+    rest leaves it as one line per comment and rare word, which is looked up by a join. Which words are taken
+    for frequent sets what is shuffled, not what is returned.
+    """
+    counted = drawn.where(F.col("_word").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+    top = counted.orderBy(F.desc("_n"), *keys).limit(FREQUENT_WORDS).drop("_n")
+    frequent = cut_lineage(top.join(lexicon, keys, "left").withColumn("_settled", F.lit(True)))
+    met = words.join(F.broadcast(frequent), keys, "left")
+    open_word = F.when(F.col("_word").isNotNull() & F.col("_settled").isNull(), F.struct(*keys))
+    met = staged_columns(_summed(met, [*grouping, open_word.alias("_open")]), "words")
+    rare = met.where(F.col("_open").isNotNull()).select(
+        *grouping, *[F.col("_open")[k].alias(k) for k in keys if k not in grouping], "n_tokens", "_factors"
+    )
+    found = rare.join(lexicon, keys, "left").select(
+        *grouping,
+        "n_tokens",
+        (F.col("valence_1") * F.col("_factors")).alias("_sum_1"),
+        (F.col("valence_2") * F.col("_factors")).alias("_sum_2"),
+        F.when(F.col("valence_2").isNotNull(), F.col("n_tokens")).otherwise(0).alias("_hits_2"),
+    )
+    settled = met.where(F.col("_open").isNull()).drop("_open", "_factors")
+    return settled.unionByName(found).groupBy(*grouping).agg(
+        *[F.sum(c).alias(c) for c in ("n_tokens", "_sum_1", "_sum_2", "_hits_2")]
     )
 
 

@@ -92,3 +92,45 @@ def test_summary_and_sizes(spark):
     assert (s["n_pos"], s["n_neg"], s["confidence_rate"]) == (4, 0, 0.75)
     assert st.sentiment_summary(df.where("false")).first()["confidence_rate"] == 0.0
     assert {tuple(r) for r in st.side_sizes(df).collect()} == {("pos", 4, True), ("neg", 0, True)}
+
+
+def _worded(spark):
+    """Rows of common words, rare words, negated words, no words and none at all; two share an id."""
+    given = [(i, "en" if i % 2 else "fr", ["the", "room", "NEG_good", f"w{i % 40}"] + ["good"] * (i % 3)) for i in range(200)]
+    given += [(200, "en", []), (201, None, None), (7, "en", ["w3", "zzz", "NEG_w3"]), (None, "fr", ["w5", "the"])]
+    rows = spark.createDataFrame(given, "row_id bigint, lang string, tokens array<string>").repartition(5)
+    words = [("good", 2.0, 0.5), ("room", -2.0, None), ("w3", None, -0.5), ("w5", 2.0, 0.5), ("w5", -4.0, 0.25), ("unused", 1.0, 1.0)]
+    return rows, spark.createDataFrame(words, "token string, valence_1 double, valence_2 double")
+
+
+@pytest.mark.parametrize("negation", ["mute", "flip"])
+@pytest.mark.parametrize("frequent", [1, 3, 1000])
+def test_a_large_lexicon_gives_the_scores_of_a_small_one(spark, monkeypatch, negation, frequent):
+    monkeypatch.setattr(st, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(st, "_DRAWN", 2)
+    rows, lexicon = _worded(spark)
+    by_lang = lexicon.crossJoin(spark.createDataFrame([("en",), ("fr",)], "lang string")).where("lang = 'en' OR token <> 'good'")
+    for words, keys, carry in ((lexicon, ("token",), ()), (by_lang, ("lang", "token"), ("lang",))):
+        options = {"keys": keys, "carry": carry, "negation": negation}
+
+        def scored(**bound):
+            found = st.lexicon_scores(rows, words, **options, **bound).collect()
+            return sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found], key=str)
+
+        assert scored(max_rows=0) == scored()
+
+
+def test_a_large_lexicon_shuffles_rare_words_only(spark, monkeypatch):
+    lines = []
+    monkeypatch.setattr(st, "_DRAWN", 1)
+    monkeypatch.setattr(st, "FREQUENT_WORDS", 4)
+    monkeypatch.setattr(st, "staged_columns", lambda df, name, f=st.staged_columns: lines.append((out := f(df, name)).count()) or out)
+    rows = spark.range(300).select(
+        F.col("id").alias("row_id"),
+        F.expr("concat(array_repeat('the', 50), array('good', 'of', 'unknown'), if(id < 9, array(concat('w', id)), array()))").alias("tokens"),
+    )
+    lexicon = spark.range(20).selectExpr("concat('w', id) AS token", "2.0D AS valence_1", "0.5D AS valence_2")
+    scores = st.lexicon_scores(rows, lexicon, max_rows=10)
+    assert lines == [300 + 9]
+    assert "_salt" not in scores._jdf.queryExecution().toString()
+    assert scores.where("score_2 = 0.5").count() == 9 and scores.agg(F.sum("n_tokens")).first()[0] == 300 * 53 + 9
