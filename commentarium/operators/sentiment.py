@@ -28,8 +28,9 @@ NEGATION_FLIP = -0.74
 PREDICT_BATCH = 32
 MIN_SIDE_ROWS = 100
 SIDES = ("pos", "neg")
-FREQUENT_WORDS = 300_000  # broadcast of a larger lexicon
-_DRAWN = 64  # one row in so many tells which words are frequent
+FREQUENT_WORDS = MAX_BROADCAST_ROWS  # broadcast of a larger lexicon
+_DRAWN = 8  # one row in so many tells which words are frequent
+_MARKS = 1 << 19  # numbers of 64 bits that mark the words of a larger lexicon, broadcast too
 
 PROBABILITIES = "output string, p_pos double, p_neg double, p_neu double"
 PredictBatch = Callable[[Sequence[str]], Sequence[tuple[str, float, float, float]]]
@@ -119,7 +120,7 @@ def lexicon_scores(
     the lexicon ("mute") or counts as its word times -0.74 ("flip"). A row's
     tokens leave the explode next to each other, so the map-side aggregate sends
     one line per comment into the shuffle. A lexicon of more than ``max_rows`` words
-    adds one line per comment and rare word.
+    adds one line per comment and rare word of the lexicon.
     """
     keys = list(keys)
     side_keys = [k for k in keys if k != "token"]
@@ -162,18 +163,22 @@ def _summed(hits: DataFrame, by: Sequence[str | Column]) -> DataFrame:
 
 
 def _sums_of_large(words: DataFrame, drawn: DataFrame, lexicon: DataFrame, keys: list[str], grouping: list[str]) -> DataFrame:
-    """The same sums for a lexicon too large to broadcast: only rare words are shuffled.
+    """The same sums for a lexicon too large to broadcast: only its rare words are shuffled.
 
     The words most frequent in a fixed part of the rows are broadcast with their valences, or with the
-    knowledge that they have none. They settle most of the text in the pass that reads it; the
-    rest leaves it as one line per comment and rare word, which is looked up by a join. Which words are taken
-    for frequent sets what is shuffled, not what is returned.
+    knowledge that they have none. They settle most of the text in the pass that reads it. Of the rest, words
+    that no mark of the lexicon fits are in no lexicon and settled too; the others leave the pass as one
+    line per comment and rare word, which is looked up by a join. Which words are taken for frequent, and
+    which fit a mark by chance, sets what is shuffled, not what is returned.
     """
+    marks = _marks(lexicon)
     counted = drawn.where(F.col("_word").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
     top = counted.orderBy(F.desc("_n"), *keys).limit(FREQUENT_WORDS).drop("_n")
     frequent = cut_lineage(top.join(lexicon, keys, "left").withColumn("_settled", F.lit(True)))
     met = words.join(F.broadcast(frequent), keys, "left")
-    open_word = F.when(F.col("_word").isNotNull() & F.col("_settled").isNull(), F.struct(*keys))
+    place = F.when(F.col("_word").isNotNull() & F.col("_settled").isNull(), _mark_place())
+    met = met.withColumn("_place", place).join(F.broadcast(marks), "_place", "left")
+    open_word = F.when(F.getbit("_bits", _mark_bit()) == 1, F.struct(*keys))
     met = staged_columns(_summed(met, [*grouping, open_word.alias("_open")]), "words")
     rare = met.where(F.col("_open").isNotNull()).select(
         *grouping, *[F.col("_open")[k].alias(k) for k in keys if k not in grouping], "n_tokens", "_factors"
@@ -191,6 +196,21 @@ def _sums_of_large(words: DataFrame, drawn: DataFrame, lexicon: DataFrame, keys:
     )
 
 
+def _mark_place() -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(_MARKS)).cast("int")
+
+
+def _mark_bit() -> Column:
+    return F.pmod(F.shiftrightunsigned(F.xxhash64("token"), 32), F.lit(64)).cast("int")
+
+
+def _marks(lexicon: DataFrame) -> DataFrame:
+    """(_place, _bits): one bit per word, at most ``_MARKS`` rows whatever the lexicon; words may share a bit."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _mark_bit())
+    marked = lexicon.select(_mark_place().alias("_place"), bit.alias("_bit"))
+    return cut_lineage(marked.groupBy("_place").agg(F.bit_or("_bit").alias("_bits")))
+
+
 def lexicon_labels(df: DataFrame, lexicon: DataFrame, carry: Sequence[str] = (), **options) -> DataFrame:
     """(row_id, *carry, and the contract), without going back to the texts.
 

@@ -134,3 +134,31 @@ def test_a_large_lexicon_shuffles_rare_words_only(spark, monkeypatch):
     assert lines == [300 + 9]
     assert "_salt" not in scores._jdf.queryExecution().toString()
     assert scores.where("score_2 = 0.5").count() == 9 and scores.agg(F.sum("n_tokens")).first()[0] == 300 * 53 + 9
+
+
+def test_rare_words_of_no_lexicon_are_not_shuffled(spark, monkeypatch):
+    lines = []
+    monkeypatch.setattr(st, "FREQUENT_WORDS", 2)
+    monkeypatch.setattr(st, "staged_columns", lambda df, name, f=st.staged_columns: lines.append((out := f(df, name)).count()) or out)
+    rows = spark.range(300).select(
+        F.col("id").alias("row_id"),
+        F.expr("concat(array('the', 'room', concat('unknown', id), concat('NEG_w', id)), if(id < 9, array(concat('w', id)), array()))").alias("tokens"),
+    )
+    lexicon = spark.range(20).selectExpr("concat('w', id) AS token", "2.0D AS valence_1", "0.5D AS valence_2")
+    scores = st.lexicon_scores(rows, lexicon, max_rows=10)
+    assert lines[0] <= 300 + 9
+    assert scores.where("score_2 = 0.5").count() == 9 and scores.agg(F.sum("n_tokens")).first()[0] == 300 * 4 + 9
+
+
+@pytest.mark.parametrize("marks", [1, 2, 1 << 19])
+def test_marks_that_words_share_change_no_score(spark, monkeypatch, marks):
+    monkeypatch.setattr(st, "FREQUENT_WORDS", 1)
+    monkeypatch.setattr(st, "_MARKS", marks)
+    rows, _ = _worded(spark)
+    lexicon = spark.range(400).selectExpr("concat('w', id * 3 % 390) AS token", "if(id % 4 > 0, id - 200D, NULL) AS valence_1", "if(id % 5 > 0, id / 7D, NULL) AS valence_2")
+
+    def scored(**bound):
+        found = st.lexicon_scores(rows, lexicon, **bound).collect()
+        return sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found], key=str)
+
+    assert scored(max_rows=0) == scored()
