@@ -50,6 +50,7 @@ _CHUNK = 1 << 20
 _EMIT_ROWS = 20_000
 _FILTER_BITS = (1 << 16, 1 << 27)  # least and most: 16 MB are broadcast at most
 _BITS_A_PHRASE = 16
+_PACKED = "zstd"  # word ids and transforms are most of the disk
 _BREAK, _BLANK = 0, -1
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -449,18 +450,18 @@ def phrases(index: DataFrame, length: int, filters: dict[int, Broadcast], candid
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, dict[int, DataFrame]]:
     """(words of every language, frequent phrases by length): (lang, n) and, for each length from 1, (lang, phrase, f)."""
-    cut = written(shards(docs, shard_words), "shards")
+    cut = written(shards(docs, shard_words), "shards", _PACKED)
     words = written(word_counts(cut), "words")
     sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = {1: words.where(F.col("f") >= least)}
     filters = {1: frequent_filter(found[1])}
     spark = docs.sparkSession
 
-    def saved(df: DataFrame, name: str) -> DataFrame:
+    def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         with batch_rows(spark, 1):  # a row read is a shard of several MB
-            return written(df, name)
+            return written(df, name, compression)
 
-    index = saved(indexes(cut, filters[1]), "fm-index")
+    index = saved(indexes(cut, filters[1]), "fm-index", _PACKED)
     discard(cut)
     for length in range(2, LONGEST + 1):
         candidates = None

@@ -48,14 +48,14 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, current)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write to the shared folder as Parquet and go on from the files.
 
     Columns not asked for later are not read again, and a lost executor costs a
-    re-read of files.
+    re-read of files. ``compression`` is the session's own unless given.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -118,3 +118,12 @@ def test_a_very_long_text(spark):
     rows = [("en", "one two three. " * 40_000), ("en", "word " * 150_000)]
     found = {r["phrase"]: r for r in collocations(frame(spark, rows), shard_words=20_000).collect()}
     assert found["one two three"]["a"] == 40_000 and found["word word word word"]["a"] == 149_997
+
+
+def test_shards_and_indexes_are_packed(spark, monkeypatch):
+    files = []
+    monkeypatch.setattr(module, "discard", lambda df, f=module.discard: (files.extend(df.inputFiles()), f(df)))
+    rows = random_rows(5)
+    assert sorted(map(tuple, collocations(frame(spark, rows)).collect())) == plain_version(rows)
+    assert {"shards", "fm-index"} <= {f.split("/")[-2].rsplit("-", 1)[0] for f in files}
+    assert all(f.endswith(".zstd.parquet") for f in files)
