@@ -28,12 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lower the session's Arrow batch size where it is larger: whole texts are wide rows."""
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Lower the session's Arrow batch size, in rows and (if given) in bytes, where it is larger: whole texts are wide rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     current = int(spark.conf.get(key))
     if current <= 0 or current > rows:
         spark.conf.set(key, str(rows))
+    if size is not None:
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= size:
+            spark.conf.set(key, str(size))
 
 
 @contextmanager

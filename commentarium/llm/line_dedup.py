@@ -35,6 +35,7 @@ from commentarium.operators.storage import scratch_path
 
 MIN_KEY_CHARS = 10
 SHARDS = 64
+BATCH_BYTES = 1 << 20  # of text that a task holds in Arrow at once
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -181,7 +182,7 @@ class LineIndex:
         self.spark, self.shards = spark, shards
         self.root = root or scratch_path(spark, "lines")
         self.version = 0
-        bounded_batches(spark)
+        bounded_batches(spark, size=BATCH_BYTES)
 
     # Tables ---------------------------------------------------------------
 
@@ -393,20 +394,30 @@ class LineIndex:
         )
         rows = packed.join(self.dropped_keys().withColumnRenamed("doc_id", "_id"), "_id", "left")
 
-        @F.pandas_udf("n_lines bigint, n_dropped bigint, kept_text string")
+        @F.pandas_udf("n_dropped bigint, kept_text string")
         def keep(texts, lists):
             import pandas as pd
 
             out = []
             for text, keys in zip(texts, lists, strict=True):
+                if keys is None:
+                    out.append((0, None))
+                    continue
                 lines = (text or "").split("\n")
-                gone = frozenset(map(bytes, keys)) if keys is not None else ()
-                stay = [x for x in lines if line_key(x.encode("utf-8")) not in gone] if gone else lines
-                out.append((len(lines), len(lines) - len(stay), "\n".join(stay)))
-            return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_text"])
-
-        done = rows.select("_row", keep(F.col(f"_row.`{text_column}`"), "keys").alias("_k"))
-        return done.select("_row.*", "_k.n_lines", "_k.n_dropped", "_k.kept_text")
+                gone = frozenset(map(bytes, keys))
+                stay = [x for x in lines if line_key(x.encode("utf-8")) not in gone]
+                out.append((len(lines) - len(stay), "\n".join(stay)))
+            return pd.DataFrame(out, columns=["n_dropped", "kept_text"])
+
+        # Only texts that lose lines go to Python; the others stay where they are.
+        text, loses = F.coalesce(F.col(f"_row.`{text_column}`"), F.lit("")), F.col("keys").isNotNull()
+        done = rows.select("_row", loses.alias("_loses"), keep(F.when(loses, text), "keys").alias("_k"))
+        return done.select(
+            "_row.*",
+            F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
+            "_k.n_dropped",
+            F.when(F.col("_loses"), F.col("_k.kept_text")).otherwise(text).alias("kept_text"),
+        )
 
 
 def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -89,3 +89,21 @@ def test_cuckoo_filter(count):
     assert cuckoo.has(inside[count // 2 :]).all()
     if count >= 50:
         assert cuckoo.has(inside[: count // 2]).mean() < 0.05
+
+
+def test_few_texts_at_once(spark):
+    """Texts pass to Python in batches bounded by bytes, and only those that lose lines."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        kept = deduplicate_lines(frame(spark, TEXTS))
+        assert int(spark.conf.get(key)) <= 1 << 20
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert "CASE WHEN isnotnull(keys" in plan.split("keep(")[1]
+        assert decisions(kept) == kept_lines(TEXTS)
+        spark.conf.set(key, "1000b")  # a smaller size stays
+        deduplicate_lines(frame(spark, TEXTS))
+        assert spark.conf.get(key) == "1000b"
+    finally:
+        spark.conf.set(key, before)
