@@ -1,10 +1,11 @@
 """Byte-level BPE by merge replay over a corpus of distinct pre-tokens.
 
 The pre-tokens that a task has not met yet form a small corpus of distinct words.
-An inverted index leads from every pair of adjacent tokens to its positions in
-that corpus; a heap gives the pairs in rank order. Applying a merge visits the
-pair's positions only and updates just the two neighbours of each, in the corpus
-and in the index. Texts are then put together from the words' ids.
+An index keeps the rank of every pair of adjacent tokens in that corpus and gives
+the positions of the pair that each word merges next. Applying the merges visits
+those positions only and updates just the two neighbours of each, in the corpus
+and in the index. Corpus and index are arrays, so a round of merges is a few numpy
+operations. Texts are then put together from the words' ids.
 
 Workers remember words up to a bound, so common words are replayed once; nothing
 is shuffled, and a lost task is simply run again.
@@ -15,7 +16,6 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +29,10 @@ from commentarium.llm.common import bounded_batches, byte_slices
 
 CACHE_WORDS = 400_000
 REPLAY_WORDS = 20_000  # words replayed together
+REPLAY_BYTES = 200  # longer words, which would ask for as many rounds, are replayed on their own
 _SHIFT = 24  # a pair of tokens as one number
-_GAP, _GONE = (1 << 22) + 1, -1  # no token: between words; merged into its left neighbour
+_NONE = 1 << 40  # beyond all ranks: no pair
+_GONE = -1  # no token: merged into its left neighbour
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,84 +52,118 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return found
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] | None = None) -> list[list[int]]:
+class PairTable:
+    """Ranks of many pairs at once: the pairs' keys in order, and of two single bytes a square table."""
+
+    def __init__(self, ranks: dict[bytes, int], pairs: dict[int, int]):
+        self.rank_of = pairs.get
+        self.bytes_ids = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+        self.unknown = frozenset(np.flatnonzero(self.bytes_ids < 0).tolist())
+        # One key beyond all others, so that every search ends at an entry.
+        keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.ranks = np.append(np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))[order], _NONE)
+        left, right = np.divmod(np.arange(1 << 16), 256)
+        self.square = self.look_up(self.bytes_ids[left], self.bytes_ids[right])
+
+    def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair makes, ``_NONE`` where it makes none."""
+        wanted = left << _SHIFT | right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.ranks[at], _NONE)
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: PairTable | None = None) -> list[list[int]]:
     """Token ids of every word: all merges in rank order, as a tokenizer with these ranks does one by one.
 
-    ``pairs`` is ``pair_ranks(ranks)``. A word that is itself a token is that token.
+    ``pairs`` is ``PairTable(ranks, pair_ranks(ranks))``. A word that is itself a token is that token.
     Within a word the lowest rank goes first and of equal ranks the leftmost. Should a
     merge create a pair of no higher rank than its own (vocabularies need not
     be closed under their merges), that word is finished on its own, in the same
     order.
     """
-    pairs = pair_ranks(ranks) if pairs is None else pairs
-    rank_of = pairs.get
-    bytes_ids = [ranks.get(bytes([i]), -1) for i in range(256)]
-    done: list[list[int] | None] = [[ranks[w]] if w in ranks else None for w in words]
-    # The corpus: tokens of all words one after another, linked within each word.
-    tokens: list[int] = []
-    starts: list[tuple[int, int]] = []
+    pairs = PairTable(ranks, pair_ranks(ranks)) if pairs is None else pairs
+    return [np.frombuffer(ids, dtype=np.int32).tolist() for ids in replayed(words, ranks, pairs)]
+
+
+def replayed(words: list[bytes], ranks: dict[bytes, int], pairs: PairTable) -> list[bytes]:
+    """The ids of ``replay`` as native 32-bit numbers.
+
+    The corpus is one array of tokens, the index one of ranks beside it: entry i is the rank of
+    the pair at i. Words do not touch each other, so a round applies to every word the merge that is
+    next in that word, at all positions of its pair at once; only the entries at
+    those positions and before them are looked up anew.
+    """
+    done: list[bytes | None] = [None] * len(words)
+    corpus: list[int] = []  # words to replay together
     for w, word in enumerate(words):
-        if done[w] is None:
-            starts.append((w, len(tokens)))
-            tokens += [bytes_ids[b] for b in word]
-            tokens.append(_GAP)
-    follows = list(range(1, len(tokens) + 1))
-    leads = list(range(-1, len(tokens) - 1))
-    index: dict[int, list[int]] = {}  # rank of a pair -> positions of its left tokens
-    for at in range(len(tokens) - 1):
-        r = rank_of(tokens[at] << _SHIFT | tokens[at + 1])
-        if r is not None:
-            if r in index:
-                index[r].append(at)
-            else:
-                index[r] = [at]
-    heap = list(index)
-    heapq.heapify(heap)
-    early: list[int] = []  # positions in words that must be finished on their own
-    while heap:
-        rank = heapq.heappop(heap)
-        places = index.pop(rank)
-        places.sort()
-        for at in places:
-            after = follows[at]
-            if rank_of(tokens[at] << _SHIFT | tokens[after]) != rank:
-                continue  # a neighbour has changed since
-            tokens[at], tokens[after] = rank, _GONE
-            beyond = follows[after]
-            follows[at], leads[beyond] = beyond, at
-            r = rank_of(rank << _SHIFT | tokens[beyond])
-            if r is not None:
-                if r <= rank:
-                    early.append(at)
-                elif r in index:
-                    index[r].append(at)
-                else:
-                    index[r] = [at]
-                    heapq.heappush(heap, r)
-            before = leads[at]
-            if before >= 0:
-                r = rank_of(tokens[before] << _SHIFT | rank)
-                if r is not None:
-                    if r <= rank:
-                        early.append(at)
-                    elif r in index:
-                        index[r].append(before)
-                    else:
-                        index[r] = [before]
-                        heapq.heappush(heap, r)
-    alone = set()
-    if early:
-        bases = [base for _, base in starts]
-        alone = {bisect_right(bases, at) - 1 for at in early}
-    ends = [base for _, base in starts[1:]] + [len(tokens)] * bool(starts)
-    for k, ((w, base), end) in enumerate(zip(starts, ends, strict=True)):
-        if k in alone:
-            done[w] = _finish([bytes_ids[b] for b in words[w]], rank_of)
+        if word in ranks:
+            done[w] = _ids([ranks[word]])
+        elif len(word) > REPLAY_BYTES or (pairs.unknown and not pairs.unknown.isdisjoint(word)):
+            done[w] = _ids(_finish(pairs.bytes_ids[list(word)].tolist(), pairs.rank_of))
+        elif word:
+            corpus.append(w)
         else:
-            done[w] = [t for t in tokens[base : end - 1] if t >= 0]
+            done[w] = b""
+    number = np.array(corpus, dtype=np.int64)  # of each word that is left, its place in ``words``
+    length = np.fromiter((len(words[w]) for w in corpus), dtype=np.int64, count=len(corpus))
+    raw = np.frombuffer(b"".join([words[w] for w in corpus]), dtype=np.uint8).astype(np.int64)
+    token = pairs.bytes_ids[raw]
+    start = np.cumsum(length) - length
+    rank = np.full(len(token), _NONE)
+    rank[:-1] = pairs.square[raw[:-1] << 8 | raw[1:]]
+    rank[start + length - 1] = _NONE  # no pair leads out of its word
+    alone = np.zeros(len(words), dtype=bool)  # words that must be finished on their own
+    while len(number):
+        lowest = np.minimum.reduceat(rank, start)
+        more = (lowest < _NONE) & ~alone[number]
+        if not more.all():
+            blob, ends = token.astype(np.int32).tobytes(), (start + length) * 4
+            for w, a, b in zip(number[~more].tolist(), (start[~more] * 4).tolist(), ends[~more].tolist(), strict=True):
+                done[w] = blob[a:b]
+            left = np.repeat(more, length)
+            token, rank = token[left], rank[left]
+            number, length, lowest = number[more], length[more], lowest[more]
+            start = np.cumsum(length) - length
+            if not len(number):
+                break
+        places = np.flatnonzero(rank == np.repeat(lowest, length))
+        if (touching := np.diff(places) == 1).any():
+            # Of positions that overlap, the first, the third and so on from the left.
+            step = np.arange(len(places))
+            first = np.maximum.accumulate(np.where(np.append(True, ~touching), step, 0))
+            places = places[(step - first) % 2 == 0]
+        merged = rank[places]
+        # Pairs that are gone when the round ends: between a merged pair and the next one before that is merged.
+        close = np.flatnonzero(np.diff(places) == 2)
+        word = np.searchsorted(start, places, side="right") - 1
+        close = close[word[close] == word[close + 1]]
+        passing = pairs.look_up(merged[close], token[places[close] + 2])
+        alone[number[word[close[passing <= merged[close]]]]] = True
+        # The merges.
+        token[places], rank[places] = merged, _NONE
+        inner, led = places + 2 < (start + length)[word], places > start[word]
+        kept = np.ones(len(token), dtype=bool)
+        kept[places + 1] = False
+        token, rank = token[kept], rank[kept]
+        length = length - np.bincount(word, minlength=len(length))
+        start = np.cumsum(length) - length
+        places = places - np.arange(len(places))
+        # The index: pairs at the merged tokens, and those that lead to them.
+        for of, at in ((inner, places[inner]), (led, places[led] - 1)):
+            fresh = pairs.look_up(token[at], token[at + 1])
+            rank[at] = fresh
+            alone[number[word[of][fresh <= merged[of]]]] = True
+    for w in np.flatnonzero(alone).tolist():
+        done[w] = _ids(_finish(pairs.bytes_ids[list(words[w])].tolist(), pairs.rank_of))
     return done
 
 
+def _ids(numbers: list[int]) -> bytes:
+    return array("i", numbers).tobytes()
+
+
 def _finish(parts: list[int], rank_of) -> list[int]:
     """One word's merges, lowest rank first and of equal ranks the leftmost; n log n in its length."""
     count = len(parts)
@@ -170,7 +206,7 @@ class Encoder:
 
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.pairs = pair_ranks(self.ranks)
+        self.pairs = PairTable(self.ranks, pair_ranks(self.ranks))
         self.table = {i: w for w, i in self.ranks.items()}
         self.known = _Known()
 
@@ -193,8 +229,7 @@ class Encoder:
         found: dict[str, bytes] = {}
         for at in range(0, len(missing), REPLAY_WORDS):
             part = missing[at : at + REPLAY_WORDS]
-            ids = replay([w.encode("utf-8") for w in part], self.ranks, self.pairs)
-            found.update((w, array("i", i).tobytes()) for w, i in zip(part, ids, strict=True))
+            found.update(zip(part, replayed([w.encode("utf-8") for w in part], self.ranks, self.pairs), strict=True))
         # Common words come early and stay; a word without room is replayed when it comes again.
         if len(self.known) + len(found) <= CACHE_WORDS:
             self.known.update(found)

@@ -121,3 +121,29 @@ def test_one_very_long_word(spark, reference):
     assert b"".join({i: t for t, i in ranks.items()}[i] for i in replay([word], ranks)[0]) == word
     short = b"abcab" * 30
     assert replay([short], ranks)[0] == merged_one_by_one(short, ranks)
+
+
+def test_words_are_replayed_together(monkeypatch):
+    rng = random.Random(11)
+    ranks = load_ranks(MULTI)
+    table = byte_bpe.PairTable(ranks, byte_bpe.pair_ranks(ranks))
+    words = ["".join(rng.choice("etaoin shrdluéßü漢'") for _ in range(rng.randint(1, 12))).encode() for _ in range(3000)]
+    calls = []
+    monkeypatch.setattr(byte_bpe.PairTable, "look_up", lambda self, a, b, f=byte_bpe.PairTable.look_up: calls.append(len(a)) or f(self, a, b))
+    found = replay(words, ranks, table)
+    assert len(calls) <= 3 * max(map(len, words)) and sum(calls) <= 3 * sum(map(len, words))
+    assert found == [merged_one_by_one(w, ranks) for w in words]
+
+
+def test_replay_with_any_bound_on_long_words_and_bytes_without_token(monkeypatch):
+    rng = random.Random(13)
+    for _ in range(300):
+        tokens = [b"a", b"b", b"c"] + list({bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 6))) for _ in range(15)})
+        rng.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        words = [bytes(rng.choice(b"aab") for _ in range(rng.randint(1, 60))) for _ in range(20)]
+        expected = [merged_one_by_one(w, ranks) for w in words]
+        for bound in (0, 30, 200):
+            monkeypatch.setattr(byte_bpe, "REPLAY_BYTES", bound)
+            assert replay(words, ranks) == expected
+            assert replay([b"a?a", b"?"], ranks) == [[ranks[b"a"]] * 2, []]
