@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from commentarium.functions.dictionaries import LANGUAGE_CODES, language, stopwords
 from commentarium.functions.text import NEGATION_PREFIX
 from commentarium.operators.preprocess import preprocess
-from commentarium.operators.sentiment import analyse_sentiment, lexicon_labels, merge_lexicons
+from commentarium.operators.sentiment import FREQUENCY, analyse_sentiment, lexicon_labels, merge_lexicons
 from commentarium.operators.storage import spread
 from commentarium.operators.tokens import each
 
@@ -115,7 +115,8 @@ def lexicon(prepared_rows: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_docs"))
         .where(F.col("n_docs") >= MIN_TOKEN_DOCS)
     )
-    return words.select("token", _digit_valence(1, 2.0).alias("valence_1"), _digit_valence(2, 0.5).alias("valence_2"))
+    valences = _digit_valence(1, 2.0).alias("valence_1"), _digit_valence(2, 0.5).alias("valence_2")
+    return words.select("token", *valences, F.col("n_docs").alias(FREQUENCY))
 
 
 def _sql_digit(place: int, size: float) -> str:

@@ -29,7 +29,9 @@ PREDICT_BATCH = 32
 MIN_SIDE_ROWS = 100
 SIDES = ("pos", "neg")
 FREQUENT_WORDS = MAX_BROADCAST_ROWS  # broadcast of a larger lexicon
-_DRAWN = 8  # one row in so many tells which words are frequent
+FREQUENT_BYTES = 128  # longer words are not
+FREQUENCY = "frequency"  # a lexicon's optional column
+_DRAWN = 8  # without it, one row in so many tells which words are frequent
 _MARKS = 1 << 19  # numbers of 64 bits that mark the words of a larger lexicon, broadcast too
 
 PROBABILITIES = "output string, p_pos double, p_neg double, p_neu double"
@@ -120,7 +122,9 @@ def lexicon_scores(
     the lexicon ("mute") or counts as its word times -0.74 ("flip"). A row's
     tokens leave the explode next to each other, so the map-side aggregate sends
     one line per comment into the shuffle. A lexicon of more than ``max_rows`` words
-    adds one line per comment and rare word of the lexicon.
+    adds one line per comment and rare word of the lexicon. Which words are rare is
+    counted in a part of the rows, unless the lexicon has a column ``frequency`` (in how many
+    rows its words occur, say); that changes no score.
     """
     keys = list(keys)
     side_keys = [k for k in keys if k != "token"]
@@ -137,11 +141,16 @@ def lexicon_scores(
         raise ValueError(f"negation must be 'mute' or 'flip', not {negation!r}")
     grouping = list(dict.fromkeys([row_id, *carry]))
     lexicon = cut_lineage(lexicon)
-    if fits_broadcast(lexicon, max_rows):
-        sums = _summed(exploded.join(F.broadcast(lexicon), keys, "left"), grouping)
+    given = lexicon.drop(FREQUENCY)
+    if fits_broadcast(given, max_rows):
+        sums = _summed(exploded.join(F.broadcast(given), keys, "left"), grouping)
+    elif FREQUENCY in lexicon.columns:
+        counted = lexicon.groupBy(*keys).agg(F.max(FREQUENCY).alias("_n"))
+        sums = _sums_of_large(exploded, counted, given, keys, grouping, max_rows)
     else:
-        drawn = F.pmod(F.xxhash64(row_id), F.lit(_DRAWN)) == 0
-        sums = _sums_of_large(exploded, exploded.where(drawn), lexicon, keys, grouping)
+        drawn = exploded.where(F.pmod(F.xxhash64(row_id), F.lit(_DRAWN)) == 0)
+        counted = drawn.where(F.col("_word").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
+        sums = _sums_of_large(exploded, counted, given, keys, grouping, max_rows)
     return sums.select(
         *grouping,
         "n_tokens",
@@ -162,19 +171,23 @@ def _summed(hits: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     )
 
 
-def _sums_of_large(words: DataFrame, drawn: DataFrame, lexicon: DataFrame, keys: list[str], grouping: list[str]) -> DataFrame:
+def _sums_of_large(
+    words: DataFrame, counted: DataFrame, lexicon: DataFrame, keys: list[str], grouping: list[str], max_rows: int
+) -> DataFrame:
     """The same sums for a lexicon too large to broadcast: only its rare words are shuffled.
 
-    The words most frequent in a fixed part of the rows are broadcast with their valences, or with the
+    The most frequent words by ``counted`` (keys, _n) are broadcast with their valences, or with the
     knowledge that they have none. They settle most of the text in the pass that reads it. Of the rest, words
-    that no mark of the lexicon fits are in no lexicon and settled too; the others leave the pass as one
-    line per comment and rare word, which is looked up by a join. Which words are taken for frequent, and
-    which fit a mark by chance, sets what is shuffled, not what is returned.
+    that no mark of the lexicon's other words fits are in no lexicon and settled too; the others leave the pass
+    as one line per comment and rare word, which is looked up by a join: by broadcast if at most ``max_rows``
+    words are left. Which words are taken for frequent, and which fit a mark by
+    chance, sets what is shuffled, not what is returned.
     """
-    marks = _marks(lexicon)
-    counted = drawn.where(F.col("_word").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    top = counted.orderBy(F.desc("_n"), *keys).limit(FREQUENT_WORDS).drop("_n")
+    short = counted.where(F.octet_length("token") <= FREQUENT_BYTES)
+    top = short.orderBy(F.desc("_n"), *keys).limit(FREQUENT_WORDS).drop("_n")
     frequent = cut_lineage(top.join(lexicon, keys, "left").withColumn("_settled", F.lit(True)))
+    lexicon = cut_lineage(lexicon.join(F.broadcast(frequent.select(*keys)), keys, "left_anti"))
+    marks = _marks(lexicon)
     met = words.join(F.broadcast(frequent), keys, "left")
     place = F.when(F.col("_word").isNotNull() & F.col("_settled").isNull(), _mark_place())
     met = met.withColumn("_place", place).join(F.broadcast(marks), "_place", "left")
@@ -183,7 +196,8 @@ def _sums_of_large(words: DataFrame, drawn: DataFrame, lexicon: DataFrame, keys:
     rare = met.where(F.col("_open").isNotNull()).select(
         *grouping, *[F.col("_open")[k].alias(k) for k in keys if k not in grouping], "n_tokens", "_factors"
     )
-    found = rare.join(lexicon, keys, "left").select(
+    left = F.broadcast(lexicon) if fits_broadcast(lexicon, max_rows) else lexicon
+    found = rare.join(left, keys, "left").select(
         *grouping,
         "n_tokens",
         (F.col("valence_1") * F.col("_factors")).alias("_sum_1"),

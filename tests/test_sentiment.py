@@ -162,3 +162,34 @@ def test_marks_that_words_share_change_no_score(spark, monkeypatch, marks):
         return sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found], key=str)
 
     assert scored(max_rows=0) == scored()
+
+
+def test_a_lexicon_with_frequencies_leaves_its_rarest_words_to_the_shuffle(spark, monkeypatch):
+    lines = []
+    monkeypatch.setattr(st, "FREQUENT_WORDS", 4)
+    monkeypatch.setattr(st, "staged_columns", lambda df, name, f=st.staged_columns: lines.append((out := f(df, name)).count()) or out)
+    rows = spark.range(300).select(
+        F.col("id").alias("row_id"), F.expr("concat(array_repeat('the', 50), if(id < 9, array(concat('w', id)), array()))").alias("tokens")
+    )
+    lexicon = spark.range(20).selectExpr("concat('w', id) AS token", "2.0D AS valence_1", "0.5D AS valence_2", "20 - id AS frequency")
+    scores = st.lexicon_scores(rows, lexicon, max_rows=10)
+    assert lines == [300 + 5]
+    assert scores.where("score_2 = 0.5").count() == 9 and scores.columns == ["row_id", "n_tokens", "score_1", "score_2"]
+
+
+@pytest.mark.parametrize("frequent", [1, 3, 1000])
+def test_frequencies_change_no_score(spark, monkeypatch, frequent):
+    monkeypatch.setattr(st, "FREQUENT_WORDS", frequent)
+    rows, lexicon = _worded(spark)
+    both = lexicon.crossJoin(spark.createDataFrame([("en",), ("fr",), (None,)], "lang string"))
+    for words, keys in ((lexicon, ("token",)), (both, ("lang", "token"))):
+        counted = words.withColumn("frequency", F.when(F.col("valence_1") > 0, F.length("token")))
+
+        def scored(lexicon, **bound):
+            found = st.lexicon_scores(rows, lexicon, keys=keys, negation="flip", **bound).collect()
+            return sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in found], key=str)
+
+        expected = scored(words)
+        assert scored(counted, max_rows=0) == expected and scored(counted) == expected
+        monkeypatch.setattr(st, "FREQUENT_BYTES", 3)  # longer words are left to the join
+        assert scored(counted, max_rows=0) == expected
