@@ -450,19 +450,20 @@ def phrases(index: DataFrame, length: int, filters: dict[int, Broadcast], candid
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, dict[int, DataFrame]]:
     """(words of every language, frequent phrases by length): (lang, n) and, for each length from 1, (lang, phrase, f)."""
-    cut = written(shards(docs, shard_words), "shards", _PACKED)
-    words = written(word_counts(cut), "words")
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    found = {1: words.where(F.col("f") >= least)}
-    filters = {1: frequent_filter(found[1])}
     spark = docs.sparkSession
 
-    def saved(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    def saved(df: DataFrame, name: str, compression: str | None = None, wide: bool = False) -> DataFrame:
         with batch_rows(spark, 1):  # a row read is a shard of several MB
-            return written(df, name, compression)
+            return written(df, name, compression, wide)
 
-    index = saved(indexes(cut, filters[1]), "fm-index", _PACKED)
+    cut = written(shards(docs, shard_words), "shards", _PACKED, wide=True)
+    words = saved(word_counts(cut), "words")
+    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    found = {1: words.where(F.col("f") >= least)}
+    filters = {1: frequent_filter(found[1])}
+    index = saved(indexes(cut, filters[1]), "fm-index", _PACKED, wide=True)
     discard(cut)
+    filters[1].unpersist()
     for length in range(2, LONGEST + 1):
         candidates = None
         if length == 2:
@@ -472,9 +473,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, shard_words: int
             candidates = candidate_filter(saved(hashed.where(F.col("f") >= least), "hashes"))
         counted = phrases(index, length, filters, candidates).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         found[length] = saved(counted.where(F.col("f") >= least), f"phrases-{length}")
+        if candidates is not None:
+            candidates.unpersist()
         if length < LONGEST:
             filters[length] = frequent_filter(found[length])
     discard(index)
+    for used in filters.values():
+        used.unpersist()
     return sizes, found
 
 

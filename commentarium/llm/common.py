@@ -23,6 +23,14 @@ SHINGLE_WORDS = 5
 
 _MASK = (1 << 64) - 1
 
+_WIDE_ROWS = {
+    "parquet.block.size": str(8 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.page.size.row.check.max": "1",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,24 +50,28 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int | None = No
 
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for the jobs run inside; the session's own size afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    current = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Arrow batches and Parquet reads of at most ``rows`` rows for the jobs run inside; the session's own sizes afterwards."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    current = {key: spark.conf.get(key) for key in keys}
+    for key in keys:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, current)
+        for key, value in current.items():
+            spark.conf.set(key, value)
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None, wide: bool = False) -> DataFrame:
     """Write to the shared folder as Parquet and go on from the files.
 
     Columns not asked for later are not read again, and a lost executor costs a
-    re-read of files. ``compression`` is the session's own unless given.
+    re-read of files. ``compression`` is the session's own unless given. ``wide`` says that
+    rows have several MB: the writer then looks at its size after every row, as its own
+    first look comes after 100 rows, and a page or a row group holds a few rows.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**(_WIDE_ROWS if wide else {})).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

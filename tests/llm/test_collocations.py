@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from commentarium.llm import collocations as module
+from commentarium.llm import common
 from commentarium.llm.collocations import Index, collocations, frequent_phrases, transform
 
 from .plain import LOWER
@@ -127,3 +129,29 @@ def test_shards_and_indexes_are_packed(spark, monkeypatch):
     assert sorted(map(tuple, collocations(frame(spark, rows)).collect())) == plain_version(rows)
     assert {"shards", "fm-index"} <= {f.split("/")[-2].rsplit("-", 1)[0] for f in files}
     assert all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_shards_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    """A file's row groups and the reader's batches do not grow with the number of shards in it."""
+    groups, sizes = [], {}
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+
+    def looked(df, name, *rest, f=module.written, **named):
+        sizes[name] = spark.conf.get(key)
+        return f(df, name, *rest, **named)
+
+    def counted(df, f=module.discard):
+        found = [pq.read_metadata(file.removeprefix("file://")) for file in df.inputFiles()]
+        groups.append((sum(m.num_rows for m in found), [m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)]))
+        f(df)
+
+    monkeypatch.setattr(module, "written", looked)
+    monkeypatch.setattr(module, "discard", counted)
+    monkeypatch.setattr(common, "_WIDE_ROWS", common._WIDE_ROWS | {"parquet.block.size": "64"})
+    monkeypatch.setattr(module, "_CHUNK", 400)
+    rows = random_rows(6)
+    assert sorted(map(tuple, collocations(frame(spark, rows).coalesce(1), shard_words=200).collect())) == plain_version(rows)
+    assert len(groups) == 2 and all(n > 5 and set(held) == {1} for n, held in groups)
+    assert {sizes[name] for name in ("words", "fm-index", "hashes", "phrases-2", "phrases-3", "phrases-4")} == {"1"}
+    assert spark.conf.get(key) == before
