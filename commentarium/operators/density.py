@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentarium.operators.components import connected_components
+from commentarium.operators.components import connected_components, joined_ends  # noqa: F401
 from commentarium.operators.joins import lookup_join
 from commentarium.operators.neighbours import NEIGHBOURS, nearest
 from commentarium.operators.storage import staged_columns
@@ -93,19 +93,16 @@ def cut_levels(forest: DataFrame, levels: int = LEVELS) -> list[float]:
     return sorted({float(np.round(np.exp(low + (b + 1) * step), 12)) for b in bins if b < BINS - 1} | {ends["high"]})
 
 
-def parts_at(forest: DataFrame, cuts: list[float]) -> DataFrame:
-    """(level, node, part): for every cut the part of each row that has a link no longer than it; parts are named by their least row."""
+def parts_at(forest: DataFrame, cuts: list[float], least: int = 1) -> DataFrame:
+    """(level, node, part): for every cut the part of each row that has a link no longer than it; parts are named by their least row.
+
+    Parts of fewer than ``least`` rows are left out.
+    """
     level = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(c < F.col("w"), 1).otherwise(0))
     spread = F.explode(F.sequence(level, F.lit(len(cuts) - 1))).alias("level")
-    links = staged_columns(forest.select(spread, "src", "dst"), "levels")
-
-    def at(end: str):
-        return F.struct("level", F.col(end).alias("node"))
-
-    edges = links.select(at("src").alias("src"), at("dst").alias("dst"))
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    found = connected_components(nodes, edges)
-    return found.select("node.level", F.col("node.node").alias("node"), F.col("component.node").alias("part"))
+    found = joined_ends(forest.select(spread, "src", "dst"))
+    named = found.groupBy("level", "to").agg(F.min("node").alias("part"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return lookup_join(found, named.select("level", "to", "part"), ["level", "to"], "inner", spread_by="node", small=True).select("level", "node", "part")
 
 
 @dataclass
@@ -184,10 +181,11 @@ def cluster_density(
     cuts = cut_levels(forest)
     if not cuts:
         return given.select(row_id, F.lit(NOISE).alias("topic_id"))
-    parts = staged_columns(parts_at(forest, cuts), "parts")
-    sizes = parts.groupBy("level", "part").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    # The part that holds a part one level up holds the row that it is named after.
+    parts = staged_columns(parts_at(forest, cuts, least), "parts")
+    sizes = staged_columns(parts.groupBy("level", "part").agg(F.count("*").alias("n")), "sizes")
+    # The part that holds a part one level up holds the row that it is named after, and counts if that one does.
     above = parts.select((F.col("level") - 1).alias("level"), F.col("node").alias("part"), F.col("part").alias("outer"))
+    above = lookup_join(above, sizes.select("level", "part"), ["level", "part"], "left_semi", spread_by="outer", small=True)
     counted = sizes.join(above, ["level", "part"], "left").select("level", "part", "n", "outer").collect()  # few: see above
     found = stable(branches([tuple(r) for r in counted]), cuts, single)
     if not found:

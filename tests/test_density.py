@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from commentarium.operators import density, neighbours
+from commentarium.operators import components, density, neighbours
 from commentarium.operators.density import Branch, branches, cluster_density, cut_levels, reachability, spanning_forest, stable
 from commentarium.operators.neighbours import nearest
 
@@ -175,3 +175,41 @@ def test_rounds_do_not_carry_the_estimate_of_their_joins(spark):
     assert {r["component"] for r in found.collect()} == {0} and bits(found) < 100
     forest = spanning_forest(spark.createDataFrame([(a, b, 1.0 + a) for a, b in path], "src bigint, dst bigint, w double"))
     assert forest.count() == 60 and bits(forest) < 100
+
+
+@pytest.mark.parametrize("one_task", [8, 200_000])
+def test_parts_at_all_cuts_shrink_as_they_are_joined(spark, monkeypatch, one_task):
+    """Rounds move what is left of the links, not every row at every cut; self links keep their row."""
+    rng = np.random.default_rng(5)
+    path = [(i, i + 1) for i in range(300)]
+    star = [(1000, 1000 + k) for k in range(1, 80)]
+    tree = [(2000 + int(rng.integers(0, k)), 2000 + k) for k in range(1, 120)]
+    links = [(a, b, float(rng.integers(1, 7))) for a, b in path + star + tree] + [(5000, 5000, 1.0)]
+    cuts = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]
+    staged = []
+
+    def looked(df, name, f=components.staged_columns):
+        out = f(df, name)
+        staged.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(components, "staged_columns", looked)
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
+    want = {}
+    for level, cut in enumerate(cuts):
+        inside = [(a, b) for a, b, w in links if w <= cut]
+        sets = Sets({x for e in inside for x in e})
+        for a, b in inside:
+            sets.join(a, b)
+        want |= {(level, x): sets.top(x) for x in sets.up}
+    forest = spark.createDataFrame(links, "src bigint, dst bigint, w double").repartition(3)
+    assert {(r["level"], r["node"]): r["part"] for r in density.parts_at(forest, cuts).collect()} == want
+    edges = [n for name, n in staged if name == "edges"]
+    assert edges[-1] <= one_task and all(b <= 0.8 * a for a, b in zip(edges, edges[1:], strict=False) if a > 100)
+    assert sum(n for _, n in staged) < 8 * edges[0]
+
+    counts = {}
+    for (level, _), part in want.items():
+        counts[level, part] = counts.get((level, part), 0) + 1
+    large = {(level, x): part for (level, x), part in want.items() if counts[level, part] >= 20}
+    assert {(r["level"], r["node"]): r["part"] for r in density.parts_at(forest, cuts, 20).collect()} == large
